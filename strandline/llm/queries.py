@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from strandline.llm import exact, mixing
+from strandline.llm.exact import op10_exact
+from strandline.llm.mixing import op7_mixing
 from strandline.llm.quality import op1_quality
 from strandline.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
+    "op7_mixing": op7_mixing,
+    "op10_exact": op10_exact,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": mixing.ORACLE,
+    "op10_exact": exact.ORACLE,
+}
