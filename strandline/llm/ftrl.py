@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 
 @dataclass
@@ -45,5 +46,23 @@ class Ftrl:
         return w.astype(np.float32), float(bias)
 
 
+def sparse_rows(got: pa.Table, value: float | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Rows of label, idx and (unless a constant) val as fit() takes them, in an order that partitions don't affect.
+    They are views of the Arrow buffers: no Python object per feature."""
+    if not got.num_rows:
+        return []
+    label = got["label"].to_numpy()
+    idx = got["idx"].combine_chunks()
+    off, at = idx.offsets.to_numpy(), idx.values.to_numpy()
+    val = got["val"].combine_chunks().values.to_numpy() if value is None else None
+    total = np.r_[0, np.cumsum(at, dtype=np.int64)]
+    sums = total[off[1:]] - total[off[:-1]]
+    out = []
+    for k in np.lexsort((label, sums, np.diff(off))):
+        a, b = off[k], off[k + 1]
+        out.append((at[a:b], np.full(b - a, value) if val is None else val[a:b], int(label[k])))
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import common, textvec
-from strandline.llm.ftrl import Ftrl, sigmoid
+from strandline.llm.ftrl import Ftrl, sigmoid, sparse_rows
 
 #: At most so many labelled rows are learned from.
 MAX_TRAIN = 8000
@@ -91,7 +91,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, c in part.items():
                     out[k][i] = out[k].get(i, 0.0) + c * scale
         yield pa.RecordBatch.from_arrays(
-            [b.column("label"), pa.array([list(x) for x in out], pa.list_(pa.int32())), pa.array([list(x.values()) for x in out], pa.list_(pa.float32()))], ["label", "idx", "val"]
+            [b.column("label"), pa.array([sorted(x) for x in out], pa.list_(pa.int32())), pa.array([[x[i] for i in sorted(x)] for x in out], pa.list_(pa.float32()))], ["label", "idx", "val"]
         )
 
 
@@ -102,11 +102,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     chosen = common.bounded_rows(labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")), "doc_id", max_train)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")  # max_train rows of 12 bytes
     rows = sample.mapInArrow(_vectors, "label int, idx array<int>, val array<float>").toArrow()
-    got = [
-        (np.array(i, np.int64), np.array(v, np.float64), y)
-        for y, i, v in sorted(zip(rows["label"].to_pylist(), rows["idx"].to_pylist(), rows["val"].to_pylist()), key=lambda x: (len(x[1]), x[1][:8], x[0]))
-    ]
-    return Ftrl(bits=BITS).fit(got)
+    return Ftrl(bits=BITS).fit(sparse_rows(rows))
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:

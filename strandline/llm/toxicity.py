@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import common, textvec
-from strandline.llm.ftrl import Ftrl, sigmoid
+from strandline.llm.ftrl import Ftrl, sigmoid, sparse_rows
 
 MAX_TRAIN = 16000
 THRESHOLD = 0.3
@@ -212,8 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray, max_train: int =
     chosen = common.bounded_rows(labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")), "doc_id", max_train)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")  # max_train rows of 12 bytes
     rows = sample.mapInArrow(_vectors(cost), "label int, idx array<int>").toArrow()
-    got = [(np.array(i, np.int64), np.full(len(i), 0.5), y) for y, i in sorted(zip(rows["label"].to_pylist(), rows["idx"].to_pylist()), key=lambda x: (len(x[1]), x[1][:8], x[0]))]
-    return Ftrl(bits=BITS, alpha=0.3, l1=1.0, l2=0.1, epochs=4).fit(got)
+    return Ftrl(bits=BITS, alpha=0.3, l1=1.0, l2=0.1, epochs=4).fit(sparse_rows(rows, 0.5))
 
 
 def score(docs: DataFrame, cost: np.ndarray, weights: np.ndarray, bias: float) -> DataFrame:
