@@ -6,6 +6,7 @@ from strandline.llm import exact, mixing
 from strandline.llm.exact import op10_exact
 from strandline.llm.langid import op4_langid
 from strandline.llm.mixing import op7_mixing
+from strandline.llm.minhash import op6_minhash
 from strandline.llm.pii import op3_pii
 from strandline.llm.quality import op1_quality
 from strandline.llm.toxicity import op2_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_langid": op4_langid,
+    "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
     "op10_exact": op10_exact,
 }
