@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import importlib
 import os
 import shutil
@@ -79,3 +80,9 @@ def crc_mod(column, n: int):
 def bounded_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     """At most n rows, those with the smallest seeded hash of the key: a top-n, so no task holds more than n rows."""
     return df.orderBy(F.xxhash64(F.lit(20260), F.col(key)), F.col(key)).limit(n)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of results that are written: they go when their last reference is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from strandline.llm import exact, mixing
 from strandline.llm.exact import op10_exact
+from strandline.llm.flatgraph import op9_flatgraph
 from strandline.llm.langid import op4_langid
 from strandline.llm.mixing import op7_mixing
 from strandline.llm.minhash import op6_minhash
 from strandline.llm.pii import op3_pii
 from strandline.llm.quality import op1_quality
+from strandline.llm.suffix import op5_suffix
 from strandline.llm.toxicity import op2_toxicity
 
 QUERIES = {
@@ -16,8 +18,10 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_langid": op4_langid,
+    "op5_suffix": op5_suffix,
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
+    "op9_flatgraph": op9_flatgraph,
     "op10_exact": op10_exact,
 }
 
