@@ -1,8 +1,88 @@
-"""Corpus pipeline."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, encoding.
 
-STAGES = []
+Each stage takes the documents that its predecessor kept and returns rows with the columns of documents; the last one
+returns encoded documents. A stage's output is written as Parquet and read again. Stages name columns of their own only
+beside a packed row, so extra columns of any name pass through.
+
+Defined cases: documents that language ID rejects (null texts, texts without letters, texts that no model explains) go;
+of equal texts, and of a group of near duplicates, the row of the smallest doc_id stays, once if rows repeat; documents
+without words stay where only duplicates go, and are no part of a mix, which takes words; an empty table stays empty."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.llm import common, exact, langid, minhash, mixing, pieces
+
+#: SQL has no language models, sketches or lattices.
 ORACLE_SQL = None
+#: Dropped rows up to this many (20 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows that dropped lists by id and hash of the text; of rows that repeat both, one."""
+    columns = docs.columns
+    dropped = common.durable(dropped.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).distinct(), "dropped")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    key = docs.select("doc_id", F.xxhash64("text").alias("_key"))
+    if key.count() != key.distinct().count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    docs = docs.withColumn("_key", F.xxhash64("text"))
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]) & (docs["_key"] == dropped["_key"]), "left_anti").select(*columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what no language model explains."""
+    model = langid.learn(docs.select("doc_id", "text", "lang"))
+    others = [c for c in docs.columns if c != "text"]
+    out = langid.predict(docs.select("text", F.struct(*others).alias("row")), model, keep_text=True)
+    return out.where("not rejected").select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts keeps the one of the smallest id."""
+    found = exact.classes(docs.select("doc_id", "text"))
+    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 0.8 or more of their shingles of five words, keeps the one of the smallest id."""
+    found = minhash.near_duplicates(docs.select("doc_id", "text"), 5, 80)
+    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mix has it."""
+    rows = mixing.sized(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row")))
+    taken = mixing.take(rows).where("copies > 0 and size > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids, exact (they decode to the text)."""
+    out = pieces.encode(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), pieces.load())
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
+
+
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mix),
+    ("sentencepiece", encode),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stage's output cut off as Parquet in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = f"{common.shared_dir(spark)}/strandline/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -113,7 +113,7 @@ def _prints(with_text: bool):
                     sha[k] = hashlib.sha256(body[o[k - lo] : o[k - lo + 1]]).hexdigest()
                 lo = hi
             more = [b.column("text")] if with_text else []
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array(length), pa.array(sha), *more], ["doc_id", "fp", "length", "sha", *["text"] * with_text])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(fp), pa.array(length), pa.array(sha), *more], ["doc_id", "tkey", "fp", "length", "sha", *["text"] * with_text])
 
     return run
 
@@ -126,7 +126,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(b.num_rows):
             x, y = ld[lo[k] : lo[k + 1]], rd[ro[k] : ro[k + 1]]
             same[k] = np.array_equal(x, y) or _equal(x, y)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), b.column("fp"), b.column("length"), pa.array(same)], ["doc_id", "sha", "fp", "length", "same"])
+        names = ["doc_id", "tkey", "sha", "fp", "length"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(same)], [*names, "same"])
 
 
 def _chunks(body: np.ndarray) -> Iterator[bytes]:
@@ -155,23 +156,24 @@ def _equal(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. One row a document: doc_id, keep_id, group_size, text_sha256."""
+    """docs: doc_id, text. One row a document: doc_id, tkey (xxhash64 of the text as it was), keep_id, group_size,
+    text_sha256."""
     common.prepare(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     key = ["fp", "length"]
-    p = common.durable(docs.mapInArrow(_prints(False), "doc_id long, fp long, length long, sha string"), "prints")
+    p = common.durable(docs.mapInArrow(_prints(False), "doc_id long, tkey long, fp long, length long, sha string"), "prints")
     groups = common.durable(p.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     # from here on texts move only of groups with two members or more
-    members = docs.mapInArrow(_prints(True), "doc_id long, fp long, length long, sha string, text string").join(groups, key)
+    members = docs.mapInArrow(_prints(True), "doc_id long, tkey long, fp long, length long, sha string, text string").join(groups, key)
     members = common.durable(members.withColumn("salts", F.ceil(F.col("n") / SALT).cast("int")), "members")
     first = members.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(key)
     first = first.select(*key, F.col("text").alias("first_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "sha"), F.col("salts")).cast("int")).select("doc_id", "sha", *key, "salt", "text")
-    found = salted.join(first, [*key, "salt"]).select("doc_id", "sha", *key, "text", "first_text").mapInArrow(_compare, "doc_id long, sha string, fp long, length long, same boolean")
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "sha"), F.col("salts")).cast("int")).select("doc_id", "tkey", "sha", *key, "salt", "text")
+    found = salted.join(first, [*key, "salt"]).select("doc_id", "tkey", "sha", *key, "text", "first_text").mapInArrow(_compare, "doc_id long, tkey long, sha string, fp long, length long, same boolean")
     found = common.durable(found.withColumn("part", F.when(F.col("same"), F.lit("")).otherwise(F.col("sha"))), "compared")
     sizes = found.groupBy(*key, "part").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    many = found.join(sizes, [*key, "part"]).select("doc_id", "keep_id", "group_size", F.col("sha").alias("text_sha256"))
-    one = p.join(groups.select(*key), key, "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.col("sha").alias("text_sha256"))
+    many = found.join(sizes, [*key, "part"]).select("doc_id", "tkey", "keep_id", "group_size", F.col("sha").alias("text_sha256"))
+    one = p.join(groups.select(*key), key, "left_anti").select("doc_id", "tkey", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.col("sha").alias("text_sha256"))
     return one.unionByName(many)
 
 

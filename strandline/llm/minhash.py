@@ -72,7 +72,7 @@ def class_ids(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set), cid (its class), sketch (the K smallest hashes, as signed numbers)."""
+    """doc_id, tkey (xxhash64 of the text), n (size of the set), cid (its class), sketch (the K smallest hashes, as signed numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,9 +80,9 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate([np.zeros(0, np.uint64), *(s[:K] for s in sets)]).view(np.int64)
             off = np.r_[0, np.cumsum(np.minimum(n, K))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(class_ids(sets)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["doc_id", "n", "cid", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(n), pa.array(class_ids(sets)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["doc_id", "tkey", "n", "cid", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, sketch array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, "doc_id long, tkey long, n long, cid long, sketch array<long>")
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -218,13 +218,13 @@ class _Job:
         named = self.classes.select("cid", "rep").join(self.comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
         named = common.durable(named.join(smallest, "comp").select("cid", "component_id"), "named")
-        linked = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "cid").join(named, "cid").drop("cid")
-        alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        linked = rows.where("n > 0").select("doc_id", "tkey", F.col("n").alias("n_shingles"), "cid").join(named, "cid").drop("cid")
+        alone = rows.where("n = 0").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return linked.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_shingles, component_id: texts of percent / 100 similarity or more are linked."""
+    """docs: doc_id, text. doc_id, tkey, n_shingles, component_id: texts of percent / 100 similarity or more are linked."""
     return _Job(docs, width, percent).run()
 
 

@@ -48,11 +48,15 @@ def targets(sources: DataFrame, cap: float = CAP) -> DataFrame:
     return s.select("source", "source_size", F.when(held, F.col("limit")).otherwise(F.col("free.share") * F.col("weight")).alias("target"))
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text and any others, with size and u in place of text."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumns({"size": size, "u": random_share(F.col("doc_id"))}).drop("text")
+
+
 def plan(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, source. One row a document: doc_id, source, size, source_size, target, copies (long)."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), random_share(F.col("doc_id")).alias("u"))
-    sized = common.durable(sized, "mix")
-    return take(sized)
+    return take(common.durable(sized(docs.select("doc_id", "text", "source")), "mix"))
 
 
 def take(sized: DataFrame) -> DataFrame:
@@ -80,7 +84,8 @@ def take(sized: DataFrame) -> DataFrame:
     close = close.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("edge.before"))
     close = close.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("long")).drop("odds", "upto")
     clear = d.where(~on_edge).withColumn("extra", (F.col("bucket") <= F.coalesce(F.col("last"), F.lit(-1))).cast("long"))
-    out = clear.unionByName(close).withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(CAP)).cast("long"))
+    copies = F.when(F.col("size") > 0, F.least(F.col("whole") + F.col("extra"), F.lit(CAP))).otherwise(F.lit(0)).cast("long")
+    out = clear.unionByName(close).withColumn("copies", copies)
     return out.drop("k", "bucket", "whole", "rest", "edge", "last", "extra", "u")
 
 

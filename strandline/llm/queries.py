@@ -8,6 +8,7 @@ from strandline.llm.flatgraph import op9_flatgraph
 from strandline.llm.langid import op4_langid
 from strandline.llm.mixing import op7_mixing
 from strandline.llm.minhash import op6_minhash
+from strandline.llm.pieces import op8_pieces
 from strandline.llm.pii import op3_pii
 from strandline.llm.quality import op1_quality
 from strandline.llm.suffix import op5_suffix
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_suffix": op5_suffix,
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
+    "op8_pieces": op8_pieces,
     "op9_flatgraph": op9_flatgraph,
     "op10_exact": op10_exact,
 }

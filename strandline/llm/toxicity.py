@@ -27,7 +27,7 @@ BITS = 20
 #: Letters that a character may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 SEPARATORS = " .-_*~'"
-LOOK_COST, REPEAT_COST, SEPARATOR_COST, OTHER_COST = 0.7, 0.4, 0.3, 6.0
+LOOK_COST, REPEAT_COST, SEPARATOR_COST, GAP_COST, OTHER_COST = 0.7, 0.4, 0.3, 1.0, 6.0
 #: Words longer than this are no words of a language; they are restored in parts of this length.
 LONGEST = 64
 
@@ -102,13 +102,15 @@ class Decoder:
                 if k and word[k - 1] == ch:
                     options.append((-1, REPEAT_COST))
                 options.append((-1, SEPARATOR_COST if ch in SEPARATORS else OTHER_COST))
+                if ch == " ":  # among spaced letters one may still part words
+                    options.append((0, GAP_COST))
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (total, out) in states.items():
                 for c, channel in options:
                     if c < 0:
                         key, value = (a, b), (total + channel, out)
                     else:
-                        key, value = (b, c), (total + channel + cost[a][b][c], out + chr(c + 96))
+                        key, value = (b, c), (total + channel + cost[a][b][c], out + (chr(c + 96) if c else " "))
                     if key not in new or value < new[key]:
                         new[key] = value
             states = new
