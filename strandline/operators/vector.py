@@ -29,3 +29,29 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     scored = index.select(id_col, vector).crossJoin(F.broadcast(queries.select(query_id, query_vector))).select(query_id, id_col, cosine(F.col(vector), F.col(query_vector)).alias("score")).where("score is not null")
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(id_col))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _scored(index: DataFrame, queries: DataFrame, keep: list[str], vector: str, query_vector: str) -> DataFrame:
+    s = index.select(*keep, vector).crossJoin(F.broadcast(queries.select("query_id", query_vector)))
+    return s.select("query_id", *keep, cosine(F.col(vector), F.col(query_vector)).alias("score")).where("score is not null")
+
+
+def top_k_per(index: DataFrame, queries: DataFrame, group: str, k: int, id_col: str = "vec_id", vector: str = "embedding", query_vector: str = "query_vec") -> DataFrame:
+    """The k nearest rows of each group for each query."""
+    s = _scored(index, queries, [id_col, group], vector, query_vector)
+    w = Window.partitionBy("query_id", group).orderBy(F.desc("score"), id_col)
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def pin(found: DataFrame, pins: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
+    """Rows found by exact id first, with score 1, then the search's, without repeats, cut to k."""
+    p = pins.select("query_id", id_col, F.lit(1.0).alias("score"), F.lit(True).alias("pinned"))
+    rest = found.select("query_id", id_col, "score", F.lit(False).alias("pinned")).join(p.select("query_id", id_col), ["query_id", id_col], "left_anti")
+    w = Window.partitionBy("query_id").orderBy(F.desc("pinned"), F.desc("score"), id_col)
+    return p.unionByName(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def normalised(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Unit vectors of doubles, for an index that is written; null and zero vectors give null."""
+    n = norm(F.col(vector))
+    return df.withColumn(vector, F.when(n > 0, F.transform(vector, lambda x: x.cast("double") / n)))
