@@ -92,7 +92,8 @@ def query_terms(df: DataFrame, query: str, stop: set[str], phrases: dict[str, fl
     parts = [F.transform(refs, lambda t: entry(t, 10)), F.transform(refs, lambda t: entry(F.regexp_replace(t, "[/-]", " "), 9))]
     if phrases:
         parts.append(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), entry(F.lit(p), w)) for p, w in phrases.items()])))
-    parts += [F.transform(F.slice(F.array_distinct(ngrams(ts, n)), 1, 8), lambda t, w=w: entry(t, w)) for n, w in ((3, 4), (2, 3))]
+    parts.append(F.transform(F.slice(F.array_distinct(ngrams(ts, 3)), 1, 8), lambda t: entry(t, 4)))
+    parts.append(F.transform(F.slice(F.array_distinct(ngrams(ts, 2)), 1, 8), lambda t: entry(t, 3)))
     parts.append(F.transform(F.array_distinct(ts), lambda t: entry(t, 1)))
     found = F.concat(*parts)
     texts = F.transform(found, lambda x: x["text"])
