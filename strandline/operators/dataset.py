@@ -92,17 +92,30 @@ def difficulty_bucket(d: Column) -> Column:
     return F.when(d <= 0.3, "easy").when(d <= 0.6, "medium").otherwise("hard")
 
 
+def hash_rank(df: DataFrame, group: str, key: str) -> DataFrame:
+    """df with _k, the place of a row in its group in seeded order, from 1, and _n, the group's size.
+
+    Rows are ranked inside (group, range of the hash); what precedes a range comes from its counts. So a group of any
+    size is ranked in as many tasks as there are ranges."""
+    x = df.withColumn("_h", seeded(F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = x.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(group).orderBy("_b")  # 4,096 rows a group
+    counts = counts.withColumn("_before", F.sum("_c").over(run) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(group)))
+    counts = counts.select(F.col(group).alias("_g"), F.col("_b").alias("_b2"), "_before", "_n")
+    j = x.join(counts, x[group].eqNullSafe(counts["_g"]) & (x["_b"] == counts["_b2"]))
+    inside = Window.partitionBy(group, "_b").orderBy("_h", key)
+    return j.withColumn("_k", F.row_number().over(inside) + F.col("_before")).drop("_h", "_b", "_g", "_b2", "_before")
+
+
 def stratified_split(df: DataFrame, stratum: str, key: str, train: float = 0.70, dev: float = 0.15) -> DataFrame:
     """split: train, dev and test by whole shares of each stratum, the remainder to test, in seeded order."""
-    order = Window.partitionBy(stratum).orderBy(seeded(F.col(key)), key)
-    n, k = F.count(F.lit(1)).over(Window.partitionBy(stratum)), F.row_number().over(order)
-    a, b = F.floor(n * train), F.floor(n * dev)
-    return df.withColumn("split", F.when(k <= a, "train").when(k <= a + b, "dev").otherwise("test"))
+    x = hash_rank(df, stratum, key)
+    a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * dev)
+    return x.withColumn("split", F.when(F.col("_k") <= a, "train").when(F.col("_k") <= a + b, "dev").otherwise("test")).drop("_k", "_n")
 
 
 def folds(df: DataFrame, stratum: str, key: str, k: int = 5) -> DataFrame:
-    order = Window.partitionBy(stratum).orderBy(seeded(F.col(key)), key)
-    return df.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    return hash_rank(df, stratum, key).withColumn("fold", ((F.col("_k") - 1) % k).cast("int")).drop("_k", "_n")
 
 
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:
@@ -115,7 +128,8 @@ def quota_sample(df: DataFrame, pool: str, key: str, quotas: dict[str, int]) ->
     """At most quotas[p] rows of each pool, in seeded order, none twice."""
     q = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
     order = Window.partitionBy(pool).orderBy(seeded(F.col(key)), key)
-    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.coalesce(F.try_element_at(q, F.col(pool)), F.lit(0))).drop("_n")
+    most = df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(quotas.values(), default=0))  # each task keeps so many
+    return most.where(F.col("_n") <= F.coalesce(F.try_element_at(q, F.col(pool)), F.lit(0))).drop("_n")
 
 
 def funnel(**stages: DataFrame) -> DataFrame:

@@ -21,19 +21,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vec") -> DataFrame:
+#: Queries that are broadcast at a time; a larger query set goes against the index in blocks of this size.
+QUERY_BLOCK = 10_000
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_vector: str = "query_vec") -> DataFrame:
     """The k nearest rows of the index for each query, by cosine, ties by id: query_id, id, score, rank.
 
-    `queries` is a stated query set, small beside the index: it is broadcast in one block, the index streams past it
-    and partial top-k per partition precede the shuffle, so k rows a query and partition are moved."""
-    scored = index.select(id_col, vector).crossJoin(F.broadcast(queries.select(query_id, query_vector))).select(query_id, id_col, cosine(F.col(vector), F.col(query_vector)).alias("score")).where("score is not null")
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(id_col))
+    The index streams past blocks of queries; each task keeps k rows a query, so k rows a query and task are moved."""
+    scored = _scored(index, queries, [id_col], vector, query_vector)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _scored(index: DataFrame, queries: DataFrame, keep: list[str], vector: str, query_vector: str) -> DataFrame:
-    s = index.select(*keep, vector).crossJoin(F.broadcast(queries.select("query_id", query_vector)))
-    return s.select("query_id", *keep, cosine(F.col(vector), F.col(query_vector)).alias("score")).where("score is not null")
+    """The stated query set against all rows, in blocks of a checked size."""
+    q = queries.select("query_id", query_vector)
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        s = index.select(*keep, vector).crossJoin(F.broadcast(part))
+        s = s.select("query_id", *keep, cosine(F.col(vector), F.col(query_vector)).alias("score")).where("score is not null")
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 def top_k_per(index: DataFrame, queries: DataFrame, group: str, k: int, id_col: str = "vec_id", vector: str = "embedding", query_vector: str = "query_vec") -> DataFrame:
