@@ -150,3 +150,23 @@ def test_query_terms(spark):
     got = search.query_terms(df, "q", {"theo"}, {"đường bộ": 7.0}).first().terms
     assert [(t.text, t.weight) for t in got][:3] == [("77/2026/nđ-cp", 10.0), ("77 2026 nđ cp", 9.0), ("đường bộ", 7.0)]
     assert len({t.text for t in got}) == len(got) <= 12
+
+
+def test_context(spark):
+    from strandline.operators import context
+
+    df = spark.createDataFrame([("hf_processed_L1", None, "### Điều 5a. Tên"), ("1/2020/QH::3", "x", "c"), ("", "t", "c")], "a string, b string, c string")
+    assert [r.s for r in df.select(context.source_id([F.col("a"), F.col("b")], F.col("c")).alias("s")).collect()] == ["L1::Điều 5a", "1/2020/QH::3", "t"]
+    said = "Nguồn gốc ID: 1/2020/NĐ::4\nNguồn gốc: Điều 7 của văn bản số 2/2021/TT-B.\n[Start: Law ID: L9\nArticle ID: 3\n[Start: Doc ID: D1\n pd_001_002_0003"
+    got = spark.createDataFrame([(said,)], "c string").select(context.context_sources(F.col("c")).alias("s")).first().s
+    assert got[:4] == ["1/2020/NĐ::4", "2/2021/TT-B::7", "L9::3", "D1"] and "pd_001_002_0003" in got
+    m = spark.createDataFrame([("v" * 30, "none found"), (None, None), ("a", "g")], "v string, g string")
+    assert [r.m for r in m.select(context.merge(F.col("v"), F.col("g"), "V", "G", "none found", (20, 20, 99)).alias("m")).collect()] == ["V\n" + "v" * 20 + "...", "none found", "V\na\n\nG\ng"]
+    e = context.embed(spark.createDataFrame([(1, "a b"), (2, None)], "id int, t string"), "t", context.hash_embedder(8)).collect()
+    assert round(sum(x * x for x in e[0].embedding), 6) == 1 and set(e[1].embedding) == {0.0}
+    r = context.rerank(spark.createDataFrame([(1, k) for k in range(4)], "q int, k int"), "q", ["k"], None, 2).orderBy("rank").collect()
+    assert [(x.k, x.relevance) for x in r] == [(0, 1.0), (1, 0.75)]
+    t = spark.createDataFrame([("hi", "vi"), ("hi", "fr"), ("no", "vi")], "k string, l string")
+    assert [x.m for x in t.select(context.templates(F.col("k"), F.col("l"), {("hi", "vi"): "chào", ("hi", "en"): "hello"}).alias("m")).collect()] == ["chào", "hello", "no"]
+    n = spark.createDataFrame([(1, None), (2, "y")], "id int, e string")
+    assert sorted(x.e for x in context.fill_missing(n, "e", spark.createDataFrame([(1, "x"), (2, "z")], "id int, e string"), "id").collect()) == ["x", "y"]
