@@ -6,8 +6,12 @@
    values (all but one pair in some 10^9), so if values are ordered by how many classes retain them, the pair shares
    one of its K - least + 1 rarest. Only these keys are listed: a value of a common passage is a key of texts that
    hardly hold anything else.
-3. Lists of up to LIST classes give all their pairs. From longer ones each class is paired with the list's hub, over its
-   HUBS rarest long lists; what is still apart from the list's largest component after that is compared with the list.
+3. Lists of up to LIST classes give all their pairs. From longer ones each class is paired with the list's hub, its
+   most central class (of the most shared values), over its HUBS rarest long lists.
+   Classes of long lists that fall into several components are listed anew by the exact rule, over their whole sets: of
+   n shingles, in order of rarity, the n - ceil(t * n) + 1 first. Lists of these are linked to hubs again, for ROUNDS
+   rounds, and what is then apart from a list's largest component is compared with the whole list. Only pairs of which
+   each has enough shingles that occur in other classes are looked at.
 4. Pairs are filtered by the estimate from the sketch of the union, and verified by the Jaccard similarity of the whole
    sets. Pairs inside one component are not verified any more. Components come from joins.
 
@@ -28,8 +32,9 @@ from pyspark.sql import functions as F
 from strandline.llm import common, graphs, textvec
 
 K = 64
-LIST = 32
-HUBS = 4
+LIST = 8
+HUBS = 3
+ROUNDS = 3
 SIGMAS = 6.4
 #: Candidate classes up to this many (16 bytes each) are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -174,12 +179,13 @@ class _Job:
         values = self.classes.select("cid", "n", F.explode("sketch").alias("v"))
         shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         # K values a class at most; those that no other class has count as rarest
-        mine = values.join(shared, "v").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+        mine = values.join(shared, "v").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+        mine = mine.withColumn("common", F.size("vs"))
         size = F.least(F.col("n"), F.lit(K)).cast("int")
         keys = size - F.floor(size * F.lit(self.need) / K).cast("int") + 1 - (size - F.size("vs"))
-        mine = mine.withColumn("keys", keys).where("keys > 0").select("cid", "n", F.explode(F.transform(F.slice("vs", 1, F.col("keys")), lambda x: x["v"])).alias("v"))
+        mine = mine.withColumn("keys", keys).where("keys > 0").select("cid", "n", "common", F.explode(F.transform(F.slice("vs", 1, F.col("keys")), lambda x: x["v"])).alias("v"))
         mine = common.durable(mine, "keys")
-        lists = mine.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min_by("cid", F.xxhash64("cid", "v")).alias("hub")).where("m > 1")
+        lists = mine.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max_by("cid", F.struct("common", "cid")).alias("hub")).where("m > 1")
         listed = common.durable(mine.join(lists, "v"), "listed")
         short, long = listed.where(F.col("m") <= LIST), listed.where(F.col("m") > LIST)
         fits = (F.least("n", "n2") >= F.greatest("n", "n2") * ratio)
@@ -195,24 +201,65 @@ class _Job:
         best = common.durable(best, "best")
         self.link(best, texts)
         self.link(common.durable(self.apart(near.join(best, ["a", "b"], "left_anti")), "rest"), texts)
-        self.outsiders(long, near, ratio)
+        self.tested = near.select("a", "b")
+        self.long_lists(long, ratio)
         return self.result(rows)
 
-    def outsiders(self, long: DataFrame, near: DataFrame, ratio: float) -> None:
-        """Compares what is outside the largest component of a long list with the whole list."""
+    def split(self, listed: DataFrame) -> DataFrame:
+        """listed: v, cid, n, common. Members of the lists that hold several components, with comp, and top: the
+        largest component of the list."""
         c = self.comps
-        x = long.select("v", "cid", "n").join(c.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        x = common.durable(x, "long")
-        main = x.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).where("top.k < m").select("v", F.col("top.comp").alias("top"))
-        x = common.durable(x.join(main, "v"), "split")
-        if not x.limit(1).count():
-            return
-        y = x.select("v", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        out = x.where("comp <> top").join(y, "v").where("comp <> comp2").where(F.least("n", "n2") >= F.greatest("n", "n2") * ratio)
-        pairs = out.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
+        x = listed.select("v", "cid", "n", "common").join(c.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        x = common.durable(x, "members")
+        top = x.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).where("top.k < m")
+        return common.durable(x.join(top.select("v", F.col("top.comp").alias("top")), "v"), "split")
+
+    def compare(self, pairs: DataFrame, texts: DataFrame) -> None:
+        """Filters and verifies pairs that were not looked at before."""
+        pairs = common.durable(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), "new")
         more = self.near(pairs)
+        self.tested = self.tested.unionByName(pairs)
         if more.limit(1).count():
-            self.link(more, self.texts(more))
+            self.link(common.durable(self.apart(more), "apart"), texts)
+
+    def long_lists(self, long: DataFrame, ratio: float) -> None:
+        x = self.split(long)
+        if not x.limit(1).count():
+            return
+        ids = x.select(F.col("cid").alias("a"), F.col("cid").alias("b")).distinct()
+        texts = self.texts(ids)
+        listed = common.durable(self.exact_keys(texts), "exact")
+        pair = (F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
+        # what two sets share occurs in another class for both; that many shingles are needed at their sizes
+        fits = (F.least("n", "n2") >= F.greatest("n", "n2") * ratio) & (F.least("common", "common2") * (100 + self.percent) >= self.percent * (F.col("n") + F.col("n2")))
+        for _ in range(ROUNDS):
+            x = self.split(listed)
+            if not x.limit(1).count():
+                return
+            hub = x.where("comp <> top").groupBy("v").agg(F.max_by(F.struct(F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("common").alias("common2"), F.col("comp").alias("comp2")), F.struct("common", "cid")).alias("h")).select("v", "h.*")
+            self.compare(x.join(hub, "v").where("comp <> comp2").where(fits).select(*pair), texts)
+        x = self.split(listed)
+        y = x.select("v", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("common").alias("common2"), F.col("comp").alias("comp2"))
+        self.compare(x.where("comp <> top").join(y, "v").where("comp <> comp2").where(fits).select(*pair), texts)
+
+    def exact_keys(self, texts: DataFrame) -> DataFrame:
+        """v, cid, n, common: the keys of the exact rule. A class more of whose shingles than the rule takes occur in no
+        other class has none, and no link among these classes."""
+        width, percent = self.width, self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = shingle_sets(b.column("text"), width)
+                n = np.array([len(s) for s in sets], np.int64)
+                flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("cid").to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(flat)], ["cid", "n", "v"])
+
+        values = texts.mapInArrow(run, "cid long, n long, v long")
+        shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        mine = values.join(shared, "v").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).withColumn("common", F.size("vs"))
+        keys = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.col("common"))
+        mine = mine.withColumn("keys", keys.cast("int")).where("keys > 0")
+        return mine.select("cid", "n", "common", F.explode(F.transform(F.slice("vs", 1, F.col("keys")), lambda x: x["v"])).alias("v"))
 
     def result(self, rows: DataFrame) -> DataFrame:
         named = self.classes.select("cid", "rep").join(self.comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))

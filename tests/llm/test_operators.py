@@ -70,7 +70,9 @@ def test_minhash(spark, monkeypatch, short):
     assert minhash.near_duplicates(table(spark, rows).limit(0), 3, 85).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [500_000, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(graphs, "LOCAL_EDGES", local)
     r = random.Random(5)
     edges = [(r.randint(0, 150), r.randint(0, 150)) for _ in range(110)] + [(k, k + 1) for k in range(200, 260)] + [(300, k) for k in range(301, 340)]
     low = {x: x for e in edges if e[0] != e[1] for x in e}
