@@ -183,7 +183,7 @@ def lattice(segs: DataFrame, pieces: Pieces) -> DataFrame:
 
 def viterbi(edges: DataFrame, longest: int) -> DataFrame:
     """seg, ids: the path of the largest sum. The fold's state is the best path to each of the last `longest` places."""
-    grouped = edges.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("e", "s", "score", "ids"))).alias("edges"))
+    grouped = edges.groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("e", "s", "score", "ids"))).alias("edges"))
 
     def step(p, x):
         last = F.element_at(p, -1)
