@@ -5,6 +5,9 @@ from every text that is learned from; lower orders count distinct left neighbour
 kept as sorted arrays of n-gram hashes, one per order, with a column of log-probabilities per language, so one look-up
 serves all languages. A character counts by its low 16 bits, so four fit a 64-bit code and hashing it loses nothing. A text goes to the language of lowest cross-entropy per character.
 
+Every counted n-gram is kept. A model of up to LOCAL cells is fitted in the driver and broadcast; a larger one is fitted by
+joins, goes to the driver's disk part by part, and workers map its files, so no process holds it.
+
 Rejection is calibrated on a bounded sample of the rows learned from: a text is rejected if its cross-entropy is above
 what all but a REJECT share of its language's sample has, and a margin. The score is the language's share of
 exp(-sharpness * cross-entropy), which is calibrated the same way.
@@ -14,20 +17,29 @@ learned from; repeated rows get equal results; other columns are ignored; nothin
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import common, textvec
 
 ORDER = 4
-#: A model keeps at most so many n-grams of the highest order per language, the most frequent; 16 bytes each.
-MAX_NGRAMS = 150_000
-MAX_LANGUAGES = 256
+DISCOUNT = 0.75
+#: Cells (n-grams of the highest order times languages) up to which a model is fitted in the driver, and rows of a part of a larger one.
+LOCAL, PART = 4_000_000, 500_000
+#: Looked up at once: so many values of n-grams x languages. Longer tables than INDEXED are searched by bisection.
+CELLS, INDEXED = 8 << 20, 1 << 22
 SAMPLE = 6000
 REJECT, MARGIN = 0.001, 1.1
 UNDEFINED = "und"
@@ -130,7 +142,8 @@ def counts(docs: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     """hashes[n], logs[n]: sorted n-gram hashes and log-probabilities, a column per language, for n from 1 to ORDER;
-    back[n]: log back-off weight of each context of length n. floor: log-probability of an unseen character."""
+    back[n]: log back-off weight of each context of length n. floor: log-probability of an unseen character. files: the
+    arrays are in files of this name that Spark ships; opened() maps them."""
 
     langs: list[str]
     hashes: list[np.ndarray]
@@ -139,15 +152,25 @@ class Model:
     floor: np.ndarray
     limit: np.ndarray
     sharpness: float = 1.0
+    files: str = ""
+
+    def opened(self) -> Model:
+        if not self.files:
+            return self
+        at = lambda kind, k: SparkFiles.get(f"{self.files}-{kind}{k}")
+        wide = lambda kind, k: np.memmap(at(kind, k), np.float32, "r").reshape(-1, len(self.langs))
+        orders = range(1, ORDER + 1)
+        hashes = [self.hashes[0], *(np.memmap(at("hashes", k), np.uint64, "r") for k in orders)]
+        logs, back = [self.logs[0], *(wide("logs", k) for k in orders)], [self.back[0], *(wide("back", k) for k in orders[:-1])]
+        return Model(self.langs, hashes, logs, back, self.floor, self.limit, self.sharpness)
 
 
 def fit(found: DataFrame) -> Model:
     """found: lang, gram, n as counts() gives it."""
-    langs = [r[0] for r in found.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    rows = found.withColumn("rank", rank).where(F.col("rank") <= MAX_NGRAMS).select("lang", "gram", "n").toArrow()
+    langs = [r[0] for r in found.select("lang").distinct().orderBy("lang").collect()]
+    if found.count() * len(langs) > LOCAL:
+        return _fit_large(found, langs)
+    rows = found.select("lang", "gram", "n").toArrow()
     lang, gram, n = np.array(rows["lang"].to_pylist(), object), rows["gram"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(float)
     per = [_kneser_ney(gram[lang == name], n[lang == name]) for name in langs]
     model = Model(langs, [np.zeros(0, np.uint64)], [np.zeros((0, len(langs)), np.float32)], [np.zeros((0, len(langs)), np.float32)], np.array([p["floor"] for p in per]), np.full(len(langs), np.inf))
@@ -167,7 +190,83 @@ def fit(found: DataFrame) -> Model:
     return model
 
 
-def _kneser_ney(gram: np.ndarray, n: np.ndarray, discount: float = 0.75) -> dict:
+def _fit_large(found: DataFrame, langs: list[str]) -> Model:
+    """What fit() gives, by joins. A context or a lower n-gram has at most as many neighbours as there are characters."""
+    spark = found.sparkSession
+    common.prepare(spark)
+    index = spark.createDataFrame(list(zip(langs, range(len(langs)))), "lang string, j int")
+    lower = lambda k: F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
+    before = F.shiftrightunsigned("gram", 16)
+    count = {ORDER: found.join(F.broadcast(index), "lang").select("j", "gram", "n")}
+    for k in range(ORDER - 1, 0, -1):
+        count[k] = common.durable(count[k + 1].groupBy("j", lower(k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "ngrams")
+    sums = sorted((r.j, r.total, DISCOUNT * r.kinds / r.total / 0x11000) for r in count[1].groupBy("j").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).collect())
+    one = spark.createDataFrame(sums, "j int, total long, floor double")
+    p = count[1].join(F.broadcast(one), "j").select("j", "gram", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + F.col("floor")).alias("p"))
+    rows = None
+    for k in range(1, ORDER + 1):
+        if k > 1:
+            w = Window.partitionBy("j", before)
+            x = count[k].select("j", "gram", "n", F.sum("n").over(w).alias("sums"), F.count(F.lit(1)).over(w).alias("kinds"), lower(k - 1).alias("under"))
+            p = x.join(p.select("j", F.col("gram").alias("under"), F.col("p").alias("q")), ["j", "under"])
+            p = p.select("j", "gram", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("sums") + DISCOUNT * F.col("kinds") / F.col("sums") * F.col("q")).alias("p"))
+            p = common.durable(p, "ngrams")
+        values = p.select("gram", "j", F.log("p").cast("float").alias("log"), F.lit(None).cast("float").alias("back"))
+        if k < ORDER:
+            context = count[k + 1].groupBy("j", before.alias("gram")).agg(F.log(DISCOUNT * F.count(F.lit(1)) / F.sum("n")).cast("float").alias("back"))
+            values = values.unionByName(context.select("gram", "j", F.lit(None).cast("float").alias("log"), "back"))
+        values = values.groupBy("gram").agg(F.collect_list(F.struct("j", "log", "back")).alias("v"), F.count("log").alias("n")).where("n > 0").select(F.lit(k).alias("k"), "gram", "v")
+        rows = values if rows is None else rows.unionByName(values)
+    floor = np.log([x[2] for x in sums])
+    wide = np.zeros((0, len(langs)), np.float32)
+    return Model(langs, [np.zeros(0, np.uint64)], [wide], [wide], floor, np.full(len(langs), np.inf), 1.0, _ship(common.durable(rows, "ngrams"), floor))
+
+
+def _ship(rows: DataFrame, floor: np.ndarray) -> str:
+    """rows: k, gram, v (j, log, back). Writes the sorted arrays to files that Spark ships to executors; their name."""
+    spark, n = rows.sparkSession, len(floor)
+    flip = np.uint64(1 << 63)  # orders as signed what mix() orders as unsigned
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = textvec.mix(b.column("gram").to_numpy().view(np.uint64)) ^ flip
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(h.view(np.int64)), b.column("v")], ["k", "key", "v"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            order, v = b.column("k").to_numpy(), b.column("v")
+            at, flat = pc.list_parent_indices(v).to_numpy(), pc.list_flatten(v)
+            j, log, back = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            logs, backs = np.full((len(order), n), np.nan, np.float32), np.zeros((len(order), n), np.float32)
+            some = ~np.isnan(log)
+            logs[at[some], j[some]] = log[some]
+            some = ~np.isnan(back)
+            backs[at[some], j[some]] = back[some]
+            h = b.column("key").to_numpy().view(np.uint64) ^ flip
+            for k in np.unique(order).tolist():
+                mine = order == k
+                block = np.where(np.isnan(logs[mine]), floor.astype(np.float32), logs[mine]) if k == 1 else logs[mine]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h[mine], block, backs[mine]))], ["k", "hashes", "logs", "back"])
+
+    keyed = rows.mapInArrow(key, "k int, key long, v array<struct<j: int, log: float, back: float>>")
+    parts = keyed.repartitionByRange(rows.count() * n // (8 * PART) + 1, "k", "key").sortWithinPartitions("k", "key")
+    blocks = parts.mapInArrow(pack, "k int, hashes binary, logs binary, back binary")
+    folder, name = tempfile.mkdtemp(prefix="strandline_model_"), f"langid-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves it while the context lives
+    out = {(kind, k): open(os.path.join(folder, f"{name}-{kind}{k}"), "wb") for kind in ("hashes", "logs", "back") for k in range(1, ORDER + 1)}
+    try:
+        for r in blocks.toLocalIterator():
+            for kind in ("hashes", "logs", "back"):
+                out[kind, r.k].write(r[kind])
+    finally:
+        for file in out.values():
+            file.close()
+    for file in out.values():
+        spark.sparkContext.addFile(file.name)
+    return name
+
+
+def _kneser_ney(gram: np.ndarray, n: np.ndarray, discount: float = DISCOUNT) -> dict:
     """Interpolated probabilities of one language by order, from the counts of its highest order; back[k] is the
     logarithm of what a context of k characters leaves to the order below."""
     order = np.argsort(gram)
@@ -199,7 +298,7 @@ class Scorer:
     """Looks n-grams up in the sorted arrays; a table by leading bits says where to begin."""
 
     def __init__(self, model: Model):
-        self.m = model
+        self.m = model = model.opened()
         self.begin = []
         for h in model.hashes:
             self.begin.append(np.searchsorted(h, np.arange(1 << _INDEX_BITS, dtype=np.uint64) << np.uint64(64 - _INDEX_BITS)).astype(np.int32))
@@ -212,6 +311,10 @@ class Scorer:
         out = np.full(len(h), -1, np.int64)
         if not len(table):
             return out
+        if len(table) > INDEXED:
+            u, inv = np.unique(h, return_inverse=True)
+            at = np.minimum(np.searchsorted(table, u), len(table) - 1)
+            return np.where(table[at] == u, at, -1)[inv]
         at = self.begin[k][(h >> np.uint64(64 - _INDEX_BITS)).astype(np.int64)]
         todo = np.arange(len(h))
         for step in range(self.span[k]):
@@ -230,9 +333,11 @@ class Scorer:
         h, last = grams(x, off, ORDER)
         row = np.repeat(np.arange(n), np.diff(off))[last]
         size += np.bincount(row, minlength=n)
-        value = self._order(ORDER, h)
-        for j in range(len(m.langs)):
-            total[:, j] = np.bincount(row, value[:, j], n)
+        step = max(1, CELLS // len(m.langs))
+        for lo in range(0, len(h), step):
+            value = self._order(ORDER, h[lo : lo + step])
+            for j in range(len(m.langs)):
+                total[:, j] += np.bincount(row[lo : lo + step], value[:, j], n)
         # the first characters of a row have shorter contexts
         for k in range(2, ORDER):
             at = off[:-1] + k - 1
