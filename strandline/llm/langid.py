@@ -8,8 +8,9 @@ serves all languages. A character counts by its low 16 bits, so four fit a 64-bi
 Every counted n-gram is kept. A model of up to LOCAL cells is fitted in the driver and broadcast; a larger one is fitted by
 joins, goes to the driver's disk part by part, and workers map its files, so no process holds it.
 
-Rejection is calibrated on a bounded sample of the rows learned from: a text is rejected if its cross-entropy is above
-what all but a REJECT share of its language's sample has, and a margin. The score is the language's share of
+Rejection is calibrated on all rows learned from: a text is rejected if its cross-entropy is above what all but a REJECT
+share of its language's rows have, and a margin. A language of fewer than 1 / REJECT rows has too few for that share: its
+limit is the larger of its own and that of the rows of all languages. The score is the language's share of
 exp(-sharpness * cross-entropy), which is calibrated the same way.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, and rejected; rows of null lang are not
@@ -40,8 +41,9 @@ DISCOUNT = 0.75
 LOCAL, PART = 4_000_000, 500_000
 #: Looked up at once: so many values of n-grams x languages. Longer tables than INDEXED are searched by bisection.
 CELLS, INDEXED = 8 << 20, 1 << 22
-SAMPLE = 6000
 REJECT, MARGIN = 0.001, 1.1
+BINS = 4096
+SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 UNDEFINED = "und"
 _INDEX_BITS = 18
 
@@ -388,40 +390,56 @@ def _entropies(scorer: Scorer, column: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 
 def calibrate(model: Model, docs: DataFrame) -> Model:
-    """Sets the limits of rejection and the sharpness of the score on a bounded sample of docs (doc_id, text, lang)."""
+    """Sets the limits of rejection and the sharpness of the score on all of docs (text, lang): per language a histogram
+    of its rows' cross-entropies, BINS a nat, and the loss of each sharpness, summed in Spark."""
     if not model.langs:
         return model
-    sample = common.bounded_rows(docs.where("lang is not null and text is not null").select("doc_id", "lang"), "doc_id", SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample.dropDuplicates(["doc_id"])), "doc_id")  # SAMPLE short rows
-    cast = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    common.prepare(spark)
+    cast = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(cast.value)
+        m = cast.value
+        scorer, index = Scorer(m), {x: j for j, x in enumerate(m.langs)}
+        found: dict[tuple[int, int], int] = {}
+        loss = np.zeros(len(SHARPNESS))
         for b in batches:
             e, size = _entropies(scorer, b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(size), pa.array(list(e))], ["lang", "size", "e"])
-
-    got = rows.select("text", "lang").mapInArrow(run, "lang string, size long, e array<double>").toArrow()
-    lang, size = np.array(got["lang"].to_pylist(), object), got["size"].to_numpy()
-    if not (size > 0).any():
+            true = np.array([index.get(x, -1) for x in b.column("lang").to_pylist()], np.int64)
+            some = np.flatnonzero((size > 0) & (true >= 0))
+            e, true = e[some], true[some]
+            own = e[np.arange(len(e)), true]
+            cells, n = np.unique(np.stack([true, np.ceil(own * BINS).astype(np.int64)], 1), axis=0, return_counts=True)
+            for (j, at), c in zip(cells.tolist(), n.tolist()):
+                found[j, at] = found.get((j, at), 0) + c
+            for i, s in enumerate(SHARPNESS):
+                z = -(e - e.min(1, keepdims=True)) * s
+                loss[i] -= (z[np.arange(len(e)), true] - np.log(np.exp(z).sum(1))).sum()
+        rows = [(j, at, c, 0.0) for (j, at), c in found.items()] + [(-1, i, 0, x) for i, x in enumerate(loss.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.float64()))], ["j", "at", "n", "loss"])
+
+    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(run, "j int, at long, n long, loss double")
+    got = rows.groupBy("j", "at").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")).orderBy("j", "at").toArrow()
+    j, at, n, loss = (got[c].to_numpy() for c in ("j", "at", "n", "loss"))
+    if not n.sum():
         return model
-    e = np.array(got["e"].to_pylist())
-    true = np.array([model.langs.index(x) for x in lang])
-    own = e[np.arange(len(e)), true]
-    for j in range(len(model.langs)):
-        mine = own[(true == j) & (size > 0)]
-        if len(mine):
-            model.limit[j] = np.quantile(mine, 1 - REJECT) * MARGIN
-    best, loss = 1.0, np.inf
-    for s in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
-        z = -(e - e.min(1, keepdims=True)) * s
-        now = -(z[np.arange(len(e)), true] - np.log(np.exp(z).sum(1)))[size > 0].mean()
-        if now < loss:
-            best, loss = s, now
-    model.sharpness = best
+    every = np.argsort(at[j >= 0], kind="stable")
+    pooled = _quantile(at[j >= 0][every], n[j >= 0][every])
+    for k in range(len(model.langs)):
+        mine = j == k
+        own = _quantile(at[mine], n[mine])
+        model.limit[k] = (own if n[mine].sum() >= 1 / REJECT else max(own, pooled)) * MARGIN
+    # of equal losses, the first
+    model.sharpness = SHARPNESS[int(at[j < 0][np.argmin(loss[j < 0])])]
     return model
 
 
+def _quantile(at: np.ndarray, n: np.ndarray) -> float:
+    """The upper edge of the bin (bins in order) which all but a REJECT share of the rows don't exceed; 0 without rows."""
+    below = np.cumsum(n)
+    return at[np.searchsorted(below, np.ceil((1 - REJECT) * below[-1]))] / BINS if len(n) else 0.0
+
+
 def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """docs, which has a column text, with lang_pred, score, entropy and rejected, and without text unless it is kept."""
     spark = docs.sparkSession

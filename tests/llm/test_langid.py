@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_fixtures import prose
 
@@ -40,3 +41,24 @@ def test_language_model_keeps_every_ngram(spark, monkeypatch, indexed):
 def test_more_than_256_languages(spark):
     df = spark.createDataFrame([(i, f"some text of kind {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}", f"x{i:03d}") for i in range(300)], "doc_id long, text string, lang string")
     assert len(langid.learn(df).langs) == 300
+
+
+def test_limits_cover_every_row(spark, monkeypatch):
+    """A language's limit is the quantile of all its rows, and for few rows not below that of all languages' rows."""
+    monkeypatch.setattr(langid, "SAMPLE", 40, raising=False)  # a sample, if there is one, would miss the rare language
+    r = random.Random(9)
+    rows = [(i, prose(r, "en", r.randint(5, 40)), "en") for i in range(1500)] + [(5000 + i, prose(r, "fr", r.randint(2, 30)), "fr") for i in range(12)]
+    rows += [(9000, "", "de"), (9001, "a", "it"), (9002, None, "fr"), (9003, "some words", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.learn(df)
+    assert model.langs == ["en", "fr"]
+    scorer, own = langid.Scorer(model), {}
+    for _, text, lang in rows:
+        if text and lang in model.langs:
+            e, _ = langid._entropies(scorer, pa.array([text]))
+            own.setdefault(lang, []).append(e[0, model.langs.index(lang)])
+    everything = sorted(own["en"] + own["fr"])
+    top = lambda x: sorted(x)[int(np.ceil((1 - langid.REJECT) * len(x))) - 1]
+    want = [top(own["en"]) * langid.MARGIN, max(top(own["fr"]), top(everything)) * langid.MARGIN]
+    np.testing.assert_allclose(model.limit, want, atol=2 * langid.MARGIN / 4096)
+    assert not langid.predict(df.where("lang = 'fr' and text is not null").select("doc_id", "text"), model).where("rejected").count()
