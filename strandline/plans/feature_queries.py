@@ -81,7 +81,10 @@ def missing_entity_check(spark, sf_dir):
 
 @query("history_resolution")
 def history_resolution(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("query"), F.min_by("text", "turn").alias("history"))
+    """The last turn, resolved in the text of all turns before it."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts"))
+    before = F.transform(F.slice("ts", 1, F.size("ts") - 1), lambda t: t["text"])
+    c = c.select("conv_id", F.element_at("ts", -1)["text"].alias("query"), F.array_join(before, "\n").alias("history"))
     return history.with_history(c).select("conv_id", F.col("resolution.status").alias("status"), F.col("resolution.reason").alias("reason"), F.size("resolution.candidates").alias("candidates"))
 
 
