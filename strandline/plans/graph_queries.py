@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -214,3 +218,28 @@ def band_join_500(spark, sf_dir):
     p = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
     a, b = p.where("w = 'the'").select("doc_id", F.col("pos").cast("long").alias("pos_a")), p.where("w = 'idiot'").select("doc_id", F.col("pos").cast("long").alias("pos_b"))
     return graph.near_pairs(a, b, "doc_id", "pos_a", "pos_b", 50)
+
+
+@query(
+    "band_join_500_chars",
+    r"""WITH t AS (SELECT doc_id, regexp_split_to_array(text, ' ') AS ws FROM documents), p AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS pos FROM t),
+c AS (SELECT doc_id, w, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(w) - 1 AS BIGINT) AS start FROM p),
+a AS (SELECT * FROM c WHERE w = 'the'), b AS (SELECT * FROM c WHERE w = 'idiot') SELECT a.doc_id, a.start AS start_a, b.start AS start_b FROM a JOIN b ON a.doc_id = b.doc_id AND abs(a.start - b.start) < 500""",
+)
+def band_join_500_chars(spark, sf_dir):
+    """Words that start less than 500 characters apart; band_join_500 keeps to the 50 word positions that its SQL has."""
+    d = table(spark, sf_dir, "documents")
+    a, b = (d.select("doc_id", F.explode(_starts(w)("text")).alias(name)) for w, name in (("the", "start_a"), ("idiot", "start_b")))
+    return graph.near_pairs(a, b, "doc_id", "start_a", "start_b", 500)
+
+
+def _starts(word):
+    """Where a word stands between blanks or ends of the text, in characters."""
+    found = re.compile(f"(?<![^ ]){re.escape(word)}(?![^ ])")
+
+    @F.pandas_udf("array<long>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in parts:
+            yield pd.Series([[m.start() for m in found.finditer(t or "")] for t in text], dtype=object)
+
+    return run

@@ -1,5 +1,7 @@
 """Queries take all of their input, on small tables against brute force."""
 
+import random
+
 from strandline.functions import history
 from strandline.plans import catalogue
 
@@ -30,3 +32,18 @@ def test_searches_start_from_every_row(spark, tmp_path):
     want = [(f"n{i}", None, f"r{i % 2}") for i in range(6)] + [(f"n{c % 6}", None, f"c{c}") for c in range(12)]
     want += [(f"n{i}", f"r{i % 2}", f"n{j}") for i in range(6) for j in range(6) if i != j and i % 2 == j % 2]
     assert sorted(map(str, want)) == sorted(str((r.start, r.mid, r.fin)) for r in got)
+
+
+def test_band_is_500_characters(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["the", "idiot", "a", "é", "", "there", "longerword", "idiot."]) for _ in range(200))) for i in range(20)] + [(99, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((x.doc_id, x.start_a, x.start_b) for x in catalogue.queries()["band_join_500_chars"](spark, str(tmp_path)).collect())
+    want = []
+    for i, text in rows[:-1]:
+        at, starts = 0, {"the": [], "idiot": []}
+        for w in text.split(" "):
+            starts.get(w, []).append(at)
+            at += len(w) + 1
+        want += [(i, a, b) for a in starts["the"] for b in starts["idiot"] if abs(a - b) < 500]
+    assert got == sorted(want) and want
