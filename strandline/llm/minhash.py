@@ -55,7 +55,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     for d, o, rows in textvec.pieces(data, off, width - 1):
         low = _LOWER[d]
         s, e, row = textvec.words(low, o)
-        h = textvec.span_hash(textvec.prefix_sums(low), s, e)
+        h = textvec.span_hash(low, s, e)
         sh, sr = textvec.follow(h, row, width)
         first = np.searchsorted(sr, np.arange(len(o)))
         words = np.searchsorted(row, np.arange(len(o)))

@@ -1,62 +1,88 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-1. A text, with the dummy prefix and spaces as U+2581, is cut into segments: a run of U+2581 and what follows it up to
-   the next one, each line feed by itself. No piece crosses such a cut (load() makes sure), so the best path of a text is
-   the best paths of its segments, and each distinct segment is worked on once.
+1. A text, with the dummy prefix and spaces as U+2581, is cut into segments wherever no piece of the vocabulary holds the
+   two characters side by side: no path crosses such a place, so the best path of a text is the best paths of its
+   segments, and each distinct segment is worked on once. Pieces that a path of other pieces beats in any text are left
+   out before (load()).
 2. The substrings of a segment, up to the longest piece's length, are exploded and equi-joined to the piece table, which
    is broadcast (its size is the vocabulary's). A character without a piece gets an edge of its UTF-8 bytes, at the
-   least score less 10.
+   least score less 10. Edges name their segment by an eight-byte number.
 3. Edges are grouped by segment and sorted by end and start; a higher-order aggregate folds them into the best score and
    path at each place. Of equal scores the one of the earlier start is kept.
-4. Documents are put together from segments in vectors: the FREQUENT commonest are broadcast, a document's other ones
-   come to it by joins on its key.
+   A segment of over PART characters is folded in parts, once for each place at which a path may enter the part; what
+   the parts say of entries and exits is folded in turn, and gives each part's entry and exit of the best path.
+4. Documents are put together from segments in vectors: up to FREQUENT of the commonest are broadcast, a document's
+   other ones come to it by joins on their numbers.
 
 Scores are those of the model file, summed in double precision: the path is the one of the largest sum, as the library
 finds it if the file's model type is set to unigram. A vocabulary that was trained by merging has ranks for scores, and
 the library would merge by rank, which is no sum over a path; ids of such a file therefore are not the merges' ids, but
 decode to the text all the same.
 
-Defined cases: null counts as empty and has no ids; a segment of over LONGEST bytes is encoded in parts; U+2581 in a text
-reads as a space when decoded, as it does in the library (`exact` is false then); repeated rows get equal results; an
-empty table gives an empty result; other columns stay out."""
+Defined cases: null counts as empty and has no ids; a segment of any length has its best path; U+2581 in a text reads as
+a space when decoded, as it does in the library (`exact` is false then); repeated rows get equal results; an empty table
+gives an empty result; other columns stay, but for those named ids or exact, which the result's columns replace."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import common, textvec
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary file, where the session's setting MODEL_KEY names no other.
+MODEL, MODEL_KEY = "/opt/tokenizers/piece_bpe_32k.model", "spark.strandline.pieces.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-LONGEST = 4096
-#: Segments that are broadcast: hashes, offsets and ids of so many, some 30 bytes each.
+#: Characters that one fold takes; longer segments are folded in parts.
+PART = 256
+#: Segments that are broadcast at most: numbers, offsets and ids of so many, some 40 bytes each.
 FREQUENT = 400_000
-PER_TASK = 25_000
+PER_TASK = 40_000
+#: Bytes of text that are worked on at once.
+UNIT = 4 << 20
+_LOW = 2**31
 
 
 @dataclass
 class Pieces:
     text: list[str]
     score: list[float]
-    normal: np.ndarray
+    normal: np.ndarray  # pieces of text, not controls or bytes
     bytes_from: int  # id of <0x00>; the other bytes follow
+    used: list[int] = field(default_factory=list)  # those that can lie on a best path
+
+    def __post_init__(self):
+        self.used = self.used or self._unbeaten()
+
+    def _unbeaten(self) -> list[int]:
+        """Normal pieces but those that shorter ones put together beat. The beaten lie on no best path."""
+        score = {self.text[i]: self.score[i] for i in np.flatnonzero(self.normal)}
+
+        def split(t: str) -> float:
+            best = [0.0] + [-np.inf] * len(t)
+            for e in range(1, len(t) + 1):
+                for s in range(1 if e == len(t) else 0, e):
+                    if t[s:e] in score:
+                        best[e] = max(best[e], best[s] + score[t[s:e]])
+            return best[-1]
+
+        return [int(i) for i in np.flatnonzero(self.normal) if len(t := self.text[i]) == 1 or split(t) <= (x := self.score[i]) + 1e-6 * (1 + abs(x))]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.text[i], int(i), float(self.score[i])) for i in np.flatnonzero(self.normal)]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        return spark.createDataFrame([(self.text[i], i, float(self.score[i])) for i in self.used], "piece string, id int, score double")
 
     @property
     def longest(self) -> int:
-        return max(len(self.text[i]) for i in np.flatnonzero(self.normal))
+        return max(len(self.text[i]) for i in self.used)
 
     @property
     def unknown(self) -> float:
@@ -70,8 +96,57 @@ class Pieces:
             out.append(bytes([byte]) if 0 <= byte < 256 else t.replace(SPACE, " ").encode() if self.normal[i] else b"")
         return np.frombuffer(b"".join(out), np.uint8), np.r_[0, np.cumsum([len(x) for x in out])]
 
+    def cutter(self) -> Cutter:
+        long = [self.text[i] for i in self.used if len(self.text[i]) > 1]
+        chars = sorted({c for t in long for c in t})
+        kind = np.zeros(0x110000, np.uint16)
+        kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        kind[0x20] = kind[ord(SPACE)]
+        side = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for t in long:
+            k = kind[[ord(c) for c in t]]
+            side[k[:-1], k[1:]] = True
+        return Cutter(kind, side)
+
 
-def load(path: str = MODEL) -> Pieces:
+@dataclass
+class Cutter:
+    """Where a text can be cut: the kind of each character, and which kinds stand side by side in a piece."""
+
+    kind: np.ndarray
+    side: np.ndarray
+
+    def begins(self, body: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Starts of the segments of a block of texts; new: where texts start."""
+        out = [new]
+        n, lo, last = len(body), 0, 0
+        while lo < n:
+            hi = min(n, lo + UNIT)
+            while hi < n and body[hi] & 0xC0 == 0x80:
+                hi += 1
+            part = body[lo:hi]
+            at = np.flatnonzero(part & 0xC0 != 0x80)
+            code = part[at].astype(np.uint32)
+            wide = np.flatnonzero(code >= 0xC0)
+            if len(wide):
+                more = np.r_[part, np.zeros(4, np.uint8)].astype(np.uint32) & 0x3F
+                p, lead = at[wide], code[wide]
+                two = (lead & 0x1F) << 6 | more[p + 1]
+                three = (lead & 0x0F) << 12 | more[p + 1] << 6 | more[p + 2]
+                four = (lead & 0x07) << 18 | more[p + 1] << 12 | more[p + 2] << 6 | more[p + 3]
+                code[wide] = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, np.minimum(four, 0x10FFFF)))
+            k = self.kind[code].astype(np.int64)
+            width = self.side.shape[1]
+            out.append(at[1:][~self.side.ravel()[k[:-1] * width + k[1:]]] + lo)
+            if lo and not self.side[last, k[0]]:
+                out.append(np.array([lo]))
+            last = k[-1]
+            lo = hi
+        return np.unique(np.concatenate(out))
+
+
+@functools.lru_cache(4)
+def _load(path: str) -> Pieces:
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -81,139 +156,171 @@ def load(path: str = MODEL) -> Pieces:
     first = m.piece_to_id("<0x00>")
     if not all(m.is_byte(first + k) and text[first + k] == f"<0x{k:02X}>" for k in range(256)):
         raise ValueError("the model has no byte pieces in a row")
-    if any(SPACE in text[i].lstrip(SPACE) or "\n" in text[i] for i in np.flatnonzero(normal)):
-        raise ValueError("a piece crosses the cut between segments")
     return Pieces(text, [m.get_score(i) for i in range(n)], normal, first)
 
 
-def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def load(where: str | SparkSession = MODEL) -> Pieces:
+    """The pieces of a model file, or of the one that the session's setting names."""
+    return _load(where if isinstance(where, str) else where.conf.get(MODEL_KEY, MODEL))
+
+
+def segments(data: np.ndarray, off: np.ndarray, cutter: Cutter) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A block with a space put before each row that isn't empty; start, end and row of each segment."""
     some = np.flatnonzero(np.diff(off) > 0)
     body = np.insert(data, off[some], 0x20)
-    size = np.diff(off) + (np.diff(off) > 0)
-    o = np.r_[0, np.cumsum(size)]
+    o = np.r_[0, np.cumsum(np.diff(off) + (np.diff(off) > 0))]
     if not len(body):
         z = np.zeros(0, np.int64)
         return body, z, z, z
-    space, feed = body == 0x20, body == 0x0A
-    begin = feed.copy()
-    begin[1:] |= (space[1:] & ~space[:-1]) | feed[:-1]
-    begin[o[:-1][size > 0]] = True
-    starts = np.flatnonzero(begin)
-    ends = np.r_[starts[1:], len(body)]
-    wide = np.flatnonzero(ends - starts > LONGEST)
-    if len(wide):
-        more = []
-        for k in wide.tolist():
-            at = int(starts[k]) + LONGEST
-            while at < ends[k]:
-                while body[at] & 0xC0 == 0x80:  # not inside a character
-                    at -= 1
-                more.append(at)
-                at += LONGEST
-        starts = np.union1d(starts, np.array(more))
-        ends = np.r_[starts[1:], len(body)]
-    return body, starts, ends, np.searchsorted(o, starts, "right") - 1
-
-
-def _blocks(column: pa.Array) -> Iterator[tuple]:
-    """Segments of a column, some rows at a time: first row, rows, then as segments() has it, and hashes."""
+    starts = cutter.begins(body, o[some])
+    return body, starts, np.r_[starts[1:], len(body)], np.searchsorted(o, starts, "right") - 1
+
+
+def _blocks(column: pa.Array, cutter: Cutter) -> Iterator[tuple]:
+    """Segments of a column, some rows at a time: first row, rows, then as segments() has it, then the distinct segments'
+    numbers, first places and each segment's place among them."""
     data, off = textvec.raw(column)
     n, lo = len(off) - 1, 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + textvec.BLOCK, "right")) - 1)
-        body, s, e, row = segments(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        h = textvec.span_hash(textvec.prefix_sums(body), s, e) if len(s) else np.zeros(0, np.uint64)
-        yield lo, hi - lo, body, s, e, row, h
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + UNIT, "right")) - 1)
+        body, s, e, row = segments(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], cutter)
+        yield lo, hi - lo, body, s, e, row, *textvec.unique(textvec.span_hash(body, s, e))
         lo = hi
 
 
-def _texts(body: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[str]:
-    b = body.tobytes()
-    return [b[i:j].decode("utf-8", "replace") for i, j in zip(s.tolist(), e.tolist())]
-
-
-def distinct_segments(docs: DataFrame) -> DataFrame:
-    """seg, n: the distinct segments of all texts and how often they occur; a task sums its own first."""
+def distinct_segments(docs: DataFrame, cutter) -> DataFrame:
+    """h, seg, n: the distinct segments of all texts, their numbers, and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[int, list] = {}
-
-        def flush():
-            rows = list(count.values())
-            count.clear()
-            for lo in range(0, len(rows), 50_000):
-                part = rows[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64())], ["seg", "n"])
-
         for b in batches:
-            for _, _, body, s, e, _, h in _blocks(b.column("text")):
-                order = np.argsort(h, kind="stable")
-                first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else order
-                n = np.diff(np.r_[first, len(h)]).tolist()
-                at = order[first]
-                keys = h[at].tolist()
-                new = [k for k, key in enumerate(keys) if key not in count]
-                for k, t in zip(new, _texts(body, s[at[new]], e[at[new]])):
-                    count[keys[k]] = [t, 0]
-                for key, c in zip(keys, n):
-                    count[key][1] += c
-                if len(count) > 250_000:
-                    yield from flush()
-        yield from flush()
-
-    return docs.select("text").mapInArrow(run, "seg string, n long").groupBy("seg").agg(F.sum("n").alias("n"))
+            for _, _, body, s, e, _, h, first, number in _blocks(b.column("text"), cutter.value):
+                n = np.bincount(number, minlength=len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), textvec.strings(body, s[first], e[first]), pa.array(n)], ["h", "seg", "n"])
+
+    return docs.select("text").mapInArrow(run, "h long, seg string, n long").groupBy("h", "seg").agg(F.sum("n").alias("n"))
 
 
 def lattice(segs: DataFrame, pieces: Pieces) -> DataFrame:
-    """segs: seg. The lattice's edges: seg, e, s, score, ids."""
-    spark = segs.sparkSession
-    table = F.broadcast(pieces.table(spark))
-    x = segs.select("seg", F.translate("seg", " ", SPACE).alias("t")).withColumn("size", F.length("t"))
-    x = x.select("seg", "t", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("s"))
-    x = x.select("seg", "t", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("size") - F.col("s")))).alias("len"))
-    x = x.withColumn("piece", F.col("t").substr(F.col("s") + 1, F.col("len"))).drop("t")
+    """segs: h, i, t, starts (edges start before this place). h, i, edges: the edges sorted by end and start, each with
+    score and v, its start above and its code below 32 bits. A code is an id, or -1 less the code point of a character
+    without a piece."""
+    table = F.broadcast(pieces.table(segs.sparkSession))
+    x = segs.select("h", "i", "t", F.length("t").alias("size"), F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("s"))
+    x = x.select("h", "i", "t", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("size") - F.col("s")))).alias("len"))
+    x = x.select("h", "i", "s", "len", F.col("t").substr(F.col("s") + 1, F.col("len")).alias("piece"))
     x = x.join(table, "piece", "left").where("id is not null or len = 1")
-    # the bytes of a character without a piece, two hexadecimal digits each
-    code = F.hex(F.encode("piece", "UTF-8"))
-    byte = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + F.lit(pieces.bytes_from))
-    ids = F.when(F.col("id").isNull(), byte).otherwise(F.array("id"))
-    return x.select("seg", (F.col("s") + F.col("len")).alias("e"), "s", F.coalesce("score", F.lit(pieces.unknown)).alias("score"), ids.alias("ids"))
+    code = F.coalesce("id", -F.ascii("piece") - 1).cast("long") + F.lit(_LOW)
+    edge = F.struct((F.col("s") + F.col("len")).alias("e"), F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(code).alias("v"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
+    return x.select("h", "i", edge.alias("edge")).groupBy("h", "i").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-def viterbi(edges: DataFrame, longest: int) -> DataFrame:
-    """seg, ids: the path of the largest sum. The fold's state is the best path to each of the last `longest` places."""
-    grouped = edges.groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("e", "s", "score", "ids"))).alias("edges"))
+def _fold(edges: Column | str, entry: Column | int, finish) -> Column:
+    """Folds edges into the best path to each place, for paths that enter at the place `entry`. The state holds the
+    places done with, and the place in work with its best sum and the edge that comes in; finish gets them as an array
+    of (e, sum, path)."""
+    entry = F.lit(entry).cast("int") if isinstance(entry, int) else entry
+    none = F.array().cast("array<bigint>")
 
-    def step(p, x):
-        last = F.element_at(p, -1)
-        # places follow one another, so the path to place s stands (last.e - s) before the last
-        before = F.element_at(p, x["s"] - last["e"] - 1)
-        new = F.struct(x["e"].alias("e"), (before["sum"] + x["score"]).alias("sum"), F.concat(before["path"], x["ids"]).alias("path"))
-        grown = F.concat(F.slice(p, F.greatest(F.size(p) - longest, F.lit(1)), longest + 1), F.array(new))
-        better = F.concat(F.slice(p, 1, F.size(p) - 1), F.array(new))
-        return F.when(x["e"] > last["e"], grown).when(before["sum"] + x["score"] > last["sum"], better).otherwise(p)
+    def place(e, total, path):
+        return F.struct(e.alias("e"), total.alias("sum"), path.alias("path"))
+
+    def ended(p):
+        """The place in work as one that is done with."""
+        path = F.when(p["last"] < 0, none).otherwise(F.concat(F.get(p["done"], F.shiftright(p["last"], 32).cast("int"))["path"], F.array(p["last"])))
+        return F.concat(p["done"], F.array(place(p["e"], p["sum"], path)))
 
-    start = F.array(F.struct(F.lit(0).alias("e"), F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("path")))
-    return grouped.select("seg", F.aggregate("edges", start, step, lambda p: F.element_at(p, -1)["path"]).alias("ids"))
+    def step(p, x):
+        s = F.shiftright(x["v"], 32).cast("int")
+        total = F.when(s == p["e"], p["sum"]).otherwise(F.get(p["done"], s)["sum"]) + x["score"]
+        new = lambda done: F.struct(done.alias("done"), x["e"].alias("e"), total.alias("sum"), x["v"].alias("last"))
+        return F.when(x["e"] > p["e"], new(ended(p))).when(total > p["sum"], new(p["done"])).otherwise(p)
+
+    unreached = place(F.lit(0), F.lit(float("-inf")), none)
+    kind = "array<struct<e:int,sum:double,path:array<bigint>>>"
+    before = F.array_repeat(unreached, entry).cast(kind)
+    start = F.struct(before.alias("done"), entry.alias("e"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("last"))
+    return F.aggregate(edges, start, step, lambda p: finish(ended(p)))
+
+
+def _codes(path: Column) -> Column:
+    return F.transform(path, lambda v: (v.bitwiseAND(F.lit(2**32 - 1)) - F.lit(_LOW)).cast("int"))
+
+
+def paths(segs: DataFrame, pieces: Pieces, tasks: int) -> DataFrame:
+    """segs: h, seg, n. h, n, codes: the path of the largest sum."""
+    segs = segs.select("h", "n", F.translate("seg", " ", SPACE).alias("t"))
+    short = segs.where(F.length("t") <= PART).repartition(tasks, "h")
+    edges = lattice(short.select("h", F.col("n").alias("i"), "t", F.length("t").alias("starts")), pieces)
+    out = edges.select("h", F.col("i").alias("n"), _fold("edges", 0, lambda p: _codes(F.element_at(p, -1)["path"])).alias("codes"))
+    long = segs.where(F.length("t") > PART)
+    if not long.limit(1).count():
+        return out
+    return out.unionByName(_long_paths(long, pieces))
+
+
+def _long_paths(segs: DataFrame, pieces: Pieces) -> DataFrame:
+    """The same for segments of more than PART characters, in parts."""
+    most = pieces.longest
+    x = segs.withColumn("size", F.length("t")).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / PART).cast("int"))))
+    at = F.col("i") * PART
+    parts = x.select("h", "i", F.col("t").substr(at + 1, F.lit(PART + most - 1)).alias("t"), F.least(F.lit(PART), F.col("size") - at).alias("starts"), (at + PART >= F.col("size")).alias("final"))
+    tops = parts.select("h", "i", "starts", "final")
+    parts = common.durable(lattice(parts.repartition("h", "i"), pieces).join(tops, ["h", "i"]), "parts")
+    entries = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.least(F.lit(most - 1), F.col("starts")))
+
+    def exits(k):
+        """Where paths that enter at k leave: an exit's place is the next part's entry. v shows ties their order."""
+        left = lambda p: F.filter(p, lambda y: (y["e"] >= F.col("starts")) & (y["sum"] > float("-inf")))
+        return _fold("edges", k, lambda p: F.transform(left(p), lambda y: F.struct((y["e"] - F.col("starts")).alias("j"), F.reverse(y["path"]).alias("back"), k.alias("k"), y["sum"].alias("sum"))))
+
+    every = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), entries), exits)))
+    # of equal sums the path whose last edges start earlier: the order of the paths read backwards
+    ranked = F.transform(every, lambda y, r: F.struct(y["j"].alias("j"), y["k"].alias("k"), y["sum"].alias("sum"), (-r).alias("rank")))
+    ways = common.durable(parts.select("h", "i", ranked.alias("ways")), "ways")
+    whole = ways.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("i", "ways"))).alias("parts"))
+    state = "array<struct<sum:double,entries:array<int>>>"
+
+    def through(v, part):
+        def best(j):
+            mine = F.filter(part["ways"], lambda y: y["j"] == j)
+            top = F.array_max(F.transform(mine, lambda y: F.struct((F.get(v, y["k"])["sum"] + y["sum"]).alias("sum"), y["rank"].alias("rank"), y["k"].alias("k"))))
+            entries_of = F.concat(F.get(v, top["k"])["entries"], F.array(top["k"]))
+            return F.struct(F.coalesce(top["sum"], F.lit(float("-inf"))).alias("sum"), F.coalesce(entries_of, F.array().cast("array<int>")).alias("entries"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(most - 1)), best).cast(state)
+
+    start = F.array(F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("entries"))).cast(state)
+    chosen = whole.select("h", F.aggregate("parts", start, through, lambda v: F.get(v, F.lit(0))["entries"]).alias("entries"))
+    chosen = chosen.select("h", "entries", F.posexplode("entries").alias("i", "k")).select("h", "i", "k", F.coalesce(F.get("entries", F.col("i") + 1), F.lit(0)).alias("j"))
+    one = lambda p: _codes(F.get(F.filter(p, lambda y: y["e"] == F.col("starts") + F.col("j")), F.lit(0))["path"])
+    got = parts.join(chosen, ["h", "i"]).select("h", "i", _fold("edges", F.col("k"), one).alias("codes"))
+    got = got.groupBy("h").agg(F.flatten(F.sort_array(F.collect_list(F.struct("i", "codes")))["codes"]).alias("codes"))
+    return got.join(segs.select("h", "n"), "h").select("h", "n", "codes")
+
+
+def expand(codes: np.ndarray, size: np.ndarray, bytes_from: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as ids: a character without a piece becomes its bytes. ids, and how many each list has."""
+    odd = np.flatnonzero(codes < 0)
+    if not len(odd):
+        return codes.astype(np.int32), size
+    body = [chr(-c - 1).encode() for c in codes[odd].tolist()]
+    count = np.ones(len(codes), np.int64)
+    count[odd] = [len(x) for x in body]
+    out = np.repeat(codes, count)
+    at = np.repeat(np.cumsum(count)[odd] - count[odd], count[odd])
+    more = count[odd]
+    out[at + np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more)] = np.frombuffer(b"".join(body), np.uint8).astype(np.int64) + bytes_from
+    total = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(size)]]
+    return out.astype(np.int32), np.diff(total)
 
 
 class Known:
-    """Ids of segments by hash, as sorted arrays."""
+    """Ids of segments by number, as sorted arrays."""
 
-    def __init__(self, h: np.ndarray, off: np.ndarray, ids: np.ndarray):
+    def __init__(self, h: np.ndarray, codes: np.ndarray, size: np.ndarray, bytes_from: int):
+        self.ids, size = expand(codes.astype(np.int64), size.astype(np.int64), bytes_from)
         order = np.argsort(h)
-        self.h, self.start, self.size, self.ids = h[order], off[:-1][order], np.diff(off)[order], ids
-
-    @staticmethod
-    def of(segs: list[str] | pa.Array, lists: pa.ListArray) -> Known:
-        data, off = textvec.raw(pa.array(segs, pa.string()) if isinstance(segs, list) else segs)
-        if len(off) > 1 and len(data):
-            h = textvec.span_hash(textvec.prefix_sums(data), off[:-1], off[1:])
-        else:
-            h = np.zeros(len(off) - 1, np.uint64)
-        sizes = np.array(lists.value_lengths().fill_null(0))
-        return Known(h, np.r_[0, np.cumsum(sizes)].astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+        self.h, self.start, self.size = h[order], (np.cumsum(size) - size)[order], size[order]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         if not len(self.h):
@@ -222,21 +329,23 @@ class Known:
         return np.where(self.h[at] == h, at, -1)
 
 
-def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The stretches of flat, one after another."""
-    total = int(size.sum())
-    return flat[np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)]
+def _known(table: pa.Table, bytes_from: int) -> Known:
+    if not table.num_rows:
+        return Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), bytes_from)
+    lists = table["codes"].combine_chunks()
+    return Known(table["h"].to_numpy().view(np.uint64), lists.flatten().to_numpy(zero_copy_only=False), np.array(lists.value_lengths()), bytes_from)
 
 
 def decode_bytes(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     flat, off = table
-    return gather(flat, off[ids], off[ids + 1] - off[ids])
+    return textvec.gather(flat, off[ids], off[ids + 1] - off[ids])
 
 
 def decode(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """docs: ids (array<int>) and other columns. Adds text: the pieces' bytes, less the dummy prefix; null ids give
-    null. Bytes that are no UTF-8 become U+FFFD."""
+    """docs: ids (array<int>) and other columns. Adds text (in place of a column of that name): the pieces' bytes, less
+    the dummy prefix; null ids give null. Bytes that are no UTF-8 become U+FFFD."""
     common.prepare(docs.sparkSession)
+    docs = docs.drop("text")
     table = pieces.bytes_of()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,96 +364,127 @@ def decode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     return docs.mapInArrow(run, type(docs.schema)([*docs.schema.fields]).add("text", "string"))
 
 
+def _commonest(found: DataFrame, most: int) -> DataFrame:
+    """Segments that occur more often than all others and are `most` at most, by a histogram of counts."""
+    step = F.floor(F.log2("n") * 16)
+    total, least = 0, None
+    for r in found.where("n > 1").groupBy(step.alias("b")).count().orderBy(F.desc("b")).collect():  # some 1,000 rows at most
+        total += r["count"]
+        if total > most:
+            break
+        least = r["b"]
+    return found.where((F.col("n") > 1) & (step >= least)) if least is not None else found.where("false")
+
+
 def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
-    """docs: key (equal for equal texts only), text, and other columns, which stay but for key and text. Adds ids, and
-    exact: they decode to the text."""
+    """docs: text and other columns. All of them but text, with ids, and exact: the ids decode to the text."""
     spark = docs.sparkSession
     common.prepare(spark)
-    segs = common.durable(distinct_segments(docs), "segments")
+    others = [c for c in docs.columns if c not in ("text", "ids", "exact")]
+    docs = docs.select(F.struct(*others).alias("row"), "text")
+    cutter = spark.sparkContext.broadcast(pieces.cutter())
+    first = pieces.bytes_from
+    segs = common.durable(distinct_segments(docs, cutter), "segments")
     tasks = max(1, -(-segs.count() // PER_TASK))
-    found = viterbi(lattice(segs.select("seg").repartition(tasks, "seg"), pieces), pieces.longest)
-    found = common.durable(found, "paths")
+    found = common.durable(paths(segs, pieces, tasks), "paths")
+    common.discard(segs)
     common.tidy(spark)
-    top = segs.where("n > 1").orderBy(F.desc("n"), "seg").limit(frequent).select("seg")
-    top = common.durable(found.join(top, "seg", "left_semi"), "frequent")
-    got = top.toArrow()  # FREQUENT rows at most
-    cast = spark.sparkContext.broadcast(Known.of(got["seg"], got["ids"].combine_chunks()) if got.num_rows else Known(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)))
-    del got
+    cast = spark.sparkContext.broadcast(_known(_commonest(found, frequent).select("h", "codes").toArrow(), first))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document's other segments."""
+        """Each text's other segments."""
         known = cast.value
         for b in batches:
             keys = b.column("key").to_numpy()
-            for lo, _, body, s, e, row, h in _blocks(b.column("text")):
-                at = np.flatnonzero(known.find(h) < 0)
-                order = at[np.lexsort((h[at], row[at]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
-                at = order[new]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row[at]]), pa.array(_texts(body, s[at], e[at]), pa.string())], ["key", "seg"])
-
-    wanted = docs.select("key", "text").mapInArrow(rare, "key long, seg string").distinct()  # copies share a key
-    own = common.durable(wanted.join(found, "seg").groupBy("key").agg(F.collect_list("seg").alias("segs"), F.flatten(F.collect_list(F.struct("ids"))["ids"]).alias("flat"), F.collect_list(F.size("ids")).alias("sizes")), "own")
-    common.tidy(spark)
-    packed = docs.mapInArrow(_pack([f.name for f in docs.schema.fields]), type(docs.schema)([f for f in docs.schema.fields if f.name != "text"]).add("zip", "binary"))
-    rest = [c for c in packed.columns if c not in ("key", "zip")]
+            for lo, _, _, _, _, row, h, _, number in _blocks(b.column("text"), cutter.value):
+                at = np.flatnonzero((known.find(h) < 0)[number])
+                pair = np.unique(row[at] * len(h) + number[at])
+                if len(pair):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo + pair // len(h)]), pa.array(h[pair % len(h)].view(np.int64))], ["key", "h"])
+
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    wanted = keyed.select("key", "text").mapInArrow(rare, "key long, h long").distinct()  # copies share a key
+    codes = F.collect_list(F.struct("h", "codes"))
+    own = wanted.join(found.select("h", "codes"), "h").groupBy("key").agg(codes.alias("own"))
+    own = own.select("key", F.col("own.h").alias("hs"), F.flatten("own.codes").alias("codes"), F.transform("own.codes", F.size).alias("sizes"))
+    packed = keyed.mapInArrow(_pack(cutter, cast), keyed.select("row").schema.add("key", "long").add("zip", "binary"))
+    joined = packed.join(own, "key", "left").select("row", "zip", "hs", "codes", "sizes")
     table = pieces.bytes_of()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = cast.value
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            texts = [unzip.decompress(z).decode("utf-8", "replace") if z else "" for z in b.column("zip").to_pylist()]
-            segs_of, flats, sizes = b.column("segs"), b.column("flat"), b.column("sizes")
-            words, whose = segs_of.flatten(), np.repeat(np.arange(b.num_rows), np.array(segs_of.value_lengths().fill_null(0)))
-            size = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = flats.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            data, off = textvec.raw(words)
+            text = [unzip.decompress(z) if z else b"" for z in b.column("zip").to_pylist()]
+            column = pa.array(text, pa.binary()).view(pa.string())
+            whose = np.repeat(np.arange(b.num_rows, dtype=np.uint64), np.array(b.column("hs").value_lengths().fill_null(0)))
+            flat = {c: b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("hs", "codes", "sizes")}
             # a document's own segments, told apart by its row
-            mine = textvec.mix(textvec.span_hash(textvec.prefix_sums(data), off[:-1], off[1:]) + whose.astype(np.uint64)) if len(whose) else np.zeros(0, np.uint64)
-            own_known = Known(mine, np.r_[0, np.cumsum(size)], flat)
-            lists, exact = [], []
-            column = pa.array(texts, pa.string())
-            for lo, n, body, s, e, row, h in _blocks(column):
-                at = known.find(h)
+            mine = Known(textvec.mix(flat["hs"].view(np.uint64)) + whose, flat["codes"], flat["sizes"], first)
+            store = np.concatenate([known.ids, mine.ids]) if len(mine.h) else known.ids
+            lists, size, exact = [], [], []
+            for lo, n, body, s, e, row, h, _, number in _blocks(column, cutter.value):
+                at = known.find(h)[number]
                 miss = np.flatnonzero(at < 0)
-                other = own_known.find(textvec.mix(h[miss] + (row[miss] + lo).astype(np.uint64)))
+                other = mine.find(textvec.mix(h[number[miss]]) + (row[miss] + lo).astype(np.uint64))
                 if (other < 0).any():
                     raise ValueError("a segment has no path")
-                start, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+                start, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                 hit = np.flatnonzero(at >= 0)
                 start[hit], count[hit] = known.start[at[hit]], known.size[at[hit]]
-                start[miss], count[miss] = own_known.start[other] + len(known.ids), own_known.size[other]
-                ids = gather(np.concatenate([known.ids, own_known.ids]) if len(miss) else known.ids, start, count)
+                start[miss], count[miss] = mine.start[other] + len(known.ids), mine.size[other]
+                ids = textvec.gather(store, start, count)
                 per = np.bincount(row, count, n).astype(np.int64)
+                back = decode_bytes(ids, table)
                 cut = np.r_[0, np.cumsum(per)]
-                back = decode_bytes(ids.astype(np.int64), table)
-                size_back = np.r_[0, np.cumsum(table[1][ids + 1] - table[1][ids])][cut]
-                size_body = np.r_[0, np.cumsum(np.bincount(row, e - s, n))].astype(np.int64)
-                for k in range(n):
-                    lists.append(ids[cut[k] : cut[k + 1]])
-                    exact.append(np.array_equal(back[size_back[k] : size_back[k + 1]], body[size_body[k] : size_body[k + 1]]))
-            out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), out, pa.array(exact, pa.bool_())], [*rest, "ids", "exact"])
-
-    joined = packed.join(own, "key", "left").select(*rest, "zip", "segs", "flat", "sizes")
-    return joined.mapInArrow(assemble, type(packed.schema)([packed.schema[c] for c in rest]).add("ids", T.ArrayType(T.IntegerType())).add("exact", "boolean"))
-
-
-def _pack(names: list[str]):
+                from_back, from_body = np.r_[0, np.cumsum(table[1][ids + 1] - table[1][ids])][cut], np.r_[0, np.cumsum(np.bincount(row, e - s, n))].astype(np.int64)
+                right = np.ones(n, bool)
+                if not np.array_equal(back, body):
+                    for k in range(n):
+                        right[k] = np.array_equal(back[from_back[k] : from_back[k + 1]], body[from_body[k] : from_body[k + 1]])
+                        if not right[k] and SPACE.encode() not in text[lo + k] and _valid(text[lo + k]):
+                            raise ValueError("two segments share a number")
+                lists.append(ids)
+                size.append(per)
+                exact.append(right)
+            off = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *size]))].astype(np.int32)
+            out = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
+            yield pa.RecordBatch.from_arrays([b.column("row"), out, pa.array(np.concatenate([np.zeros(0, bool), *exact]))], ["row", "ids", "exact"])
+
+    done = joined.mapInArrow(assemble, keyed.select("row").schema.add("ids", T.ArrayType(T.IntegerType())).add("exact", "boolean"))
+    return done.select("row.*", "ids", "exact")
+
+
+def _valid(text: bytes) -> bool:
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _pack(cutter, cast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts travel compressed."""
+        """Texts travel compressed. A text without segments of its own gets a key that nothing joins, so copies of one
+        text spread."""
         zipper = zstandard.ZstdCompressor(level=3)
-        kept = [c for c in names if c != "text"]
+        known, seen = cast.value, 0
         for b in batches:
-            z = [zipper.compress(t.encode()) if t else None for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(z, pa.binary())], [*kept, "zip"])
+            data, off = textvec.raw(b.column("text"))
+            whole = data.tobytes()
+            z = [zipper.compress(whole[i:j]) if j > i else None for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+            key = b.column("key").to_numpy().copy()
+            for lo, n, _, _, _, row, h, _, number in _blocks(b.column("text"), cutter.value):
+                plain = np.bincount(row, (known.find(h) < 0)[number], n) == 0
+                at = np.flatnonzero(plain) + lo
+                key[at] = textvec.mix(key[at].view(np.uint64) + (np.arange(len(at)) + seen).astype(np.uint64)).view(np.int64)
+                seen += n
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(key), pa.array(z, pa.binary())], ["row", "key", "zip"])
 
     return run
 
 
 def op8_pieces(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("key", F.xxhash64("text"))
-    out = encode(docs, load())
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode(docs, load(spark))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "exact", "ids")

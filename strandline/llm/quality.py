@@ -57,10 +57,10 @@ def shape_bytes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """Feature numbers, rows and scale of each group."""
     starts, ends, row = textvec.words(data, off)
-    word = textvec.span_hash(textvec.prefix_sums(data), starts, ends)
+    word = textvec.span_hash(data, starts, ends)
     sd, so = shape_bytes(data, off)
     ss, se, _ = textvec.words(sd, so)
-    shape = textvec.span_hash(textvec.prefix_sums(sd), ss, se)
+    shape = textvec.span_hash(sd, ss, se)
     if len(word):
         again = np.zeros(len(word), bool)
         again[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])

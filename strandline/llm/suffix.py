@@ -95,7 +95,7 @@ def slices(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[n
     first = np.flatnonzero(new)
     start = at[first]
     count = np.diff(np.r_[first, len(at)])
-    return start, count, f[first], textvec.span_hash(sums, start, start + count + window - 1), np.logical_or.reduceat(tie[at], first)
+    return start, count, f[first], textvec.span_hash(data, start, start + count + window - 1), np.logical_or.reduceat(tie[at], first)
 
 
 def cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _windows(window: int):
             for k in range(b.num_rows):
                 d = body[off[k] : off[k + 1]]
                 m = len(d) - window + 1
-                h = textvec.span_hash(textvec.prefix_sums(d), np.arange(m), np.arange(m) + window)
+                h = textvec.span_hash(d, np.arange(m), np.arange(m) + window)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, f[k])), pa.array(h.view(np.int64)), pa.array(np.full(m, dkey[k])), pa.array(a[k] + np.arange(m)), pa.array(np.full(m, cnt[k]))], ["f", "w", "dkey", "s", "cnt"])
 
     return run

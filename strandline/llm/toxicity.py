@@ -182,11 +182,10 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Feature numbers and rows: words of letters, and their first four, five and six bytes."""
     low = _LOWER[data]
     s, e, row = textvec.words(low, off, _GAP)
-    sums = textvec.prefix_sums(low)
-    hs, rs = [textvec.span_hash(sums, s, e)], [row]
+    hs, rs = [textvec.span_hash(low, s, e)], [row]
     for n in (4, 5, 6):
         far = e - s > n
-        hs.append(textvec.span_hash(sums, s[far], s[far] + n) ^ np.uint64(n))
+        hs.append(textvec.span_hash(low, s[far], s[far] + n) ^ np.uint64(n))
         rs.append(row[far])
     return (np.concatenate(hs) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rs)
 
