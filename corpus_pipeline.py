@@ -65,7 +65,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids, exact (they decode to the text)."""
-    out = pieces.encode(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), pieces.load())
+    out = pieces.encode(docs.select("doc_id", "text"), pieces.load(spark))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
 
 
