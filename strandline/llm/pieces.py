@@ -48,7 +48,7 @@ PART = 256
 FREQUENT = 400_000
 PER_TASK = 40_000
 #: Bytes of text that are worked on at once.
-UNIT = 4 << 20
+UNIT = 1 << 20
 _LOW = 2**31
 
 
@@ -118,7 +118,8 @@ class Cutter:
 
     def begins(self, body: np.ndarray, new: np.ndarray) -> np.ndarray:
         """Starts of the segments of a block of texts; new: where texts start."""
-        out = [new]
+        begin = np.zeros(len(body), bool)
+        begin[new] = True
         n, lo, last = len(body), 0, 0
         while lo < n:
             hi = min(n, lo + UNIT)
@@ -137,12 +138,11 @@ class Cutter:
                 code[wide] = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, np.minimum(four, 0x10FFFF)))
             k = self.kind[code].astype(np.int64)
             width = self.side.shape[1]
-            out.append(at[1:][~self.side.ravel()[k[:-1] * width + k[1:]]] + lo)
-            if lo and not self.side[last, k[0]]:
-                out.append(np.array([lo]))
+            begin[at[1:][~self.side.ravel()[k[:-1] * width + k[1:]]] + lo] = True
+            begin[lo] |= lo and not self.side[last, k[0]]
             last = k[-1]
             lo = hi
-        return np.unique(np.concatenate(out))
+        return np.flatnonzero(begin)
 
 
 @functools.lru_cache(4)
