@@ -188,14 +188,27 @@ def _blocks(column: pa.Array, cutter: Cutter) -> Iterator[tuple]:
         lo = hi
 
 
+def _numbered(row: np.ndarray, number: np.ndarray, width: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences of segments, in order of place. First occurrences of each in its row, in order of row and place; the
+    pair (row, segment) of each occurrence; each pair's number in its row, by first occurrence; pairs of each row."""
+    _, first, pair = textvec.unique(row * width + number)
+    at = row[first]
+    many = np.bincount(at, minlength=rows)
+    return first, pair, np.arange(len(first)) - (np.cumsum(many) - many)[at], many
+
+
 def distinct_segments(docs: DataFrame, cutter) -> DataFrame:
     """h, seg, n: the distinct segments of all texts, their numbers, and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, body, s, e, _, h, first, number in _blocks(b.column("text"), cutter.value):
-                n = np.bincount(number, minlength=len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), textvec.strings(body, s[first], e[first]), pa.array(n)], ["h", "seg", "n"])
+        for b in batches:  # a batch's own are summed first
+            found = [(h, textvec.strings(body, s[first], e[first]), np.bincount(number, minlength=len(h))) for _, _, body, s, e, _, h, first, number in _blocks(b.column("text"), cutter.value)]
+            if not found:
+                continue
+            h, first, number = textvec.unique(np.concatenate([x[0] for x in found]))
+            n = np.bincount(number, np.concatenate([x[2] for x in found]), len(h)).astype(np.int64)
+            segs = pa.concat_arrays([x[1] for x in found]).take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), segs, pa.array(n)], ["h", "seg", "n"])
 
     return docs.select("text").mapInArrow(run, "h long, seg string, n long").groupBy("h", "seg").agg(F.sum("n").alias("n"))
 
@@ -204,11 +217,13 @@ def lattice(segs: DataFrame, pieces: Pieces) -> DataFrame:
     """segs: h, i, t, starts (edges start before this place). h, i, edges: the edges sorted by end and start, each with
     score and v, its start above and its code below 32 bits. A code is an id, or -1 less the code point of a character
     without a piece."""
-    table = F.broadcast(pieces.table(segs.sparkSession))
+    # an eight-byte key probes the table far faster than a string; the strings are compared where it hits
+    table = F.broadcast(pieces.table(segs.sparkSession).select(F.xxhash64("piece").alias("k"), F.length("piece").alias("most"), F.col("piece").alias("hit"), "id", "score"))
     x = segs.select("h", "i", "t", F.length("t").alias("size"), F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("s"))
     x = x.select("h", "i", "t", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("size") - F.col("s")))).alias("len"))
     x = x.select("h", "i", "s", "len", F.col("t").substr(F.col("s") + 1, F.col("len")).alias("piece"))
-    x = x.join(table, "piece", "left").where("id is not null or len = 1")
+    x = x.withColumn("k", F.xxhash64("piece"))
+    x = x.join(table, (x["k"] == table["k"]) & (x["len"] <= table["most"]) & F.startswith(x["piece"], table["hit"]), "left").where("id is not null or len = 1")
     code = F.coalesce("id", -F.ascii("piece") - 1).cast("long") + F.lit(_LOW)
     edge = F.struct((F.col("s") + F.col("len")).alias("e"), F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(code).alias("v"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
     return x.select("h", "i", edge.alias("edge")).groupBy("h", "i").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
@@ -392,23 +407,24 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFra
     cast = spark.sparkContext.broadcast(_known(_commonest(found, frequent).select("h", "codes").toArrow(), first))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's other segments."""
+        """Each text's other segments, with their numbers in the text."""
         known = cast.value
         for b in batches:
             keys = b.column("key").to_numpy()
-            for lo, _, _, _, _, row, h, _, number in _blocks(b.column("text"), cutter.value):
+            for lo, n, _, _, _, row, h, _, number in _blocks(b.column("text"), cutter.value):
                 at = np.flatnonzero((known.find(h) < 0)[number])
-                pair = np.unique(row[at] * len(h) + number[at])
-                if len(pair):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo + pair // len(h)]), pa.array(h[pair % len(h)].view(np.int64))], ["key", "h"])
+                first, _, rank, _ = _numbered(row[at], number[at], len(h), n)
+                at = at[first]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row[at]]), pa.array(h[number[at]].view(np.int64)), pa.array(rank.astype(np.int32))], ["key", "h", "rank"])
 
     keyed = docs.withColumn("key", F.xxhash64("text"))
-    wanted = keyed.select("key", "text").mapInArrow(rare, "key long, h long").distinct()  # copies share a key
-    codes = F.collect_list(F.struct("h", "codes"))
-    own = wanted.join(found.select("h", "codes"), "h").groupBy("key").agg(codes.alias("own"))
-    own = own.select("key", F.col("own.h").alias("hs"), F.flatten("own.codes").alias("codes"), F.transform("own.codes", F.size).alias("sizes"))
+    # copies share a key
+    wanted = keyed.select("key", "text").mapInArrow(rare, "key long, h long, rank int").repartition("h").distinct()
+    own = wanted.join(found.select("h", "codes"), "h").groupBy("key").agg(F.collect_list(F.struct("rank", "codes")).alias("own"))
+    own = own.select("key", F.col("own.rank").alias("ranks"), F.flatten("own.codes").alias("codes"), F.transform("own.codes", F.size).alias("sizes"))
     packed = keyed.mapInArrow(_pack(cutter, cast), keyed.select("row").schema.add("key", "long").add("zip", "binary"))
-    joined = packed.join(own, "key", "left").select("row", "zip", "hs", "codes", "sizes")
+    joined = packed.join(own, "key", "left").select("row", "zip", "ranks", "codes", "sizes")
     table = pieces.bytes_of()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,24 +433,27 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFra
         for b in batches:
             text = [unzip.decompress(z) if z else b"" for z in b.column("zip").to_pylist()]
             column = pa.array(text, pa.binary()).view(pa.string())
-            whose = np.repeat(np.arange(b.num_rows, dtype=np.uint64), np.array(b.column("hs").value_lengths().fill_null(0)))
-            flat = {c: b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("hs", "codes", "sizes")}
-            # a document's own segments, told apart by its row
-            mine = Known(textvec.mix(flat["hs"].view(np.uint64)) + whose, flat["codes"], flat["sizes"], first)
-            store = np.concatenate([known.ids, mine.ids]) if len(mine.h) else known.ids
-            lists, size, exact = [], [], []
+            # a text's own segments, in the order of its numbers
+            count = np.array(b.column("ranks").value_lengths().fill_null(0), np.int64)
+            flat = {c: b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ranks", "codes", "sizes")}
+            ids, size = expand(flat["codes"], flat["sizes"], first)
+            order = np.lexsort((flat["ranks"], np.repeat(np.arange(b.num_rows), count)))
+            mine_start, mine_size, mine_from = (np.cumsum(size) - size)[order], size[order], np.r_[0, np.cumsum(count)]
+            store = np.concatenate([known.ids, ids]) if len(ids) else known.ids
+            lists, sizes, exact = [], [], []
             for lo, n, body, s, e, row, h, _, number in _blocks(column, cutter.value):
                 at = known.find(h)[number]
                 miss = np.flatnonzero(at < 0)
-                other = mine.find(textvec.mix(h[number[miss]]) + (row[miss] + lo).astype(np.uint64))
-                if (other < 0).any():
+                _, pair, rank, most = _numbered(row[miss], number[miss], len(h), n)
+                if (most > count[lo : lo + n]).any():
                     raise ValueError("a segment has no path")
-                start, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                other = mine_from[lo + row[miss]] + rank[pair]
+                start, length = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                 hit = np.flatnonzero(at >= 0)
-                start[hit], count[hit] = known.start[at[hit]], known.size[at[hit]]
-                start[miss], count[miss] = mine.start[other] + len(known.ids), mine.size[other]
-                ids = textvec.gather(store, start, count)
-                per = np.bincount(row, count, n).astype(np.int64)
+                start[hit], length[hit] = known.start[at[hit]], known.size[at[hit]]
+                start[miss], length[miss] = mine_start[other] + len(known.ids), mine_size[other]
+                ids = textvec.gather(store, start, length)
+                per = np.bincount(row, length, n).astype(np.int64)
                 back = decode_bytes(ids, table)
                 cut = np.r_[0, np.cumsum(per)]
                 from_back, from_body = np.r_[0, np.cumsum(table[1][ids + 1] - table[1][ids])][cut], np.r_[0, np.cumsum(np.bincount(row, e - s, n))].astype(np.int64)
@@ -445,9 +464,9 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFra
                         if not right[k] and SPACE.encode() not in text[lo + k] and _valid(text[lo + k]):
                             raise ValueError("two segments share a number")
                 lists.append(ids)
-                size.append(per)
+                sizes.append(per)
                 exact.append(right)
-            off = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *size]))].astype(np.int32)
+            off = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))].astype(np.int32)
             out = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
             yield pa.RecordBatch.from_arrays([b.column("row"), out, pa.array(np.concatenate([np.zeros(0, bool), *exact]))], ["row", "ids", "exact"])
 
@@ -487,4 +506,4 @@ def _pack(cutter, cast):
 def op8_pieces(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = encode(docs, load(spark))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "exact", "ids")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "exact", "ids")
