@@ -494,9 +494,9 @@ def _valid(text: bytes) -> bool:
 
 def _dictionary(docs: DataFrame) -> bytes:
     """What texts are compressed with: strings that are common in beginnings of a thousand texts. It changes no result."""
-    some = docs.select(F.substring("text", 1, 4096).alias("t")).where("length(t) > 0").limit(1000).toArrow()
+    some = docs.select(F.substring("text", 1, 4096).alias("t")).where("length(t) > 0").take(1000)
     try:
-        return zstandard.train_dictionary(1 << 16, [t.encode() for t in some["t"].to_pylist()]).as_bytes()
+        return zstandard.train_dictionary(1 << 16, [r["t"].encode() for r in some]).as_bytes()
     except zstandard.ZstdError:  # too few for one
         return b""
 
