@@ -1,17 +1,22 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 1. Equal vectors of one label form a class, found by partial aggregation; a class counts as often as it has rows.
-2. Centroids of each large label come from k-means on a bounded sample. A class goes to the shard of each of its `overlap`
-   nearest centroids; its home is the nearest. A shard of more than BLOCK rows is dealt over blocks, so a shard of any
-   size is worked on in parallel.
-3. In every block a graph is built: each vector's nearest neighbours, thinned by robust pruning (a neighbour goes if
-   one that is kept is closer to it than 1 / ALPHA of its own distance), with edges both ways. A vector's adjacency
-   lists from all its blocks are united.
-4. Each class searches the blocks of its home shard over the united lists: greedily from the medoid, then expanding
-   over all that lies in range. Cosines that decide are those of the whole vectors in double precision.
-5. Blocks return counts and a spanning forest of their links, never pairs; components come from joins.
-6. Recall is audited on AUDIT classes against all rows in blocks; below ENOUGH the overlap is widened and the graph
-   built again.
+2. Hubs stand for crowds of near copies. They are chosen on a bounded sample: a vector with CROWD or more of the sample's
+   vectors of its label within half the threshold's angle. All that lies within that angle of one hub is linked with one
+   another, by the triangle inequality of angles, so a crowd of any size is counted and needs no comparisons; a third of
+   all rows may be one. What could link to a member from outside lies in the hub's shell (the threshold's angle beyond
+   its farthest member) and is compared with all members, block by block.
+3. The other vectors are dealt to shards of MOST at most: a larger one is split by k-means on a sample of it, each vector
+   going to the `overlap` nearest centroids, until all are small enough. A shard is one task's work.
+4. In every shard a graph is built: each vector's nearest neighbours, thinned by robust pruning (a neighbour goes if one
+   that is kept is closer to it than 1 / ALPHA of its own distance), with edges both ways. A vector's adjacency lists
+   from all its shards are united.
+5. Each vector searches its shards over the united lists: greedily from the medoid, then expanding over all that lies in
+   range. A link found from either end counts for both, in the first shard that holds both. Cosines that decide are
+   those of the whole vectors in double precision.
+6. Shards return counts and a spanning forest of their links, never pairs; components come from joins.
+7. Recall is audited in every run, on AUDIT classes against all rows in blocks. Below ENOUGH the overlap is widened; if the
+   widest doesn't reach it, all vectors of a label are compared in blocks.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors of null label, are
 linked with nothing; vectors of different lengths are never linked; repeated rows are links of each other; a null id has
@@ -19,6 +24,7 @@ no part in the smallest id; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +35,18 @@ from pyspark.sql import functions as F
 from strandline.llm import common, graphs
 
 THRESHOLD = 0.93
-#: Rows of a label per centroid, most centroids of a label and in all (a centroid of 64 dimensions takes 512 bytes).
-PER_CENTROID, MOST_CENTROIDS, ALL_CENTROIDS = 500, 256, 16_384
-SAMPLE = 10_000
-BLOCK = 1500
+#: Vectors that hubs are chosen from, how many of them make a crowd, and most hubs (512 bytes each at 64 dimensions).
+SAMPLE, CROWD, HUBS = 10_000, 8, 2048
+#: Vectors of a shard, and of a block of comparisons, at most; those that a shard's centroids come from; centroids of a split.
+MOST, BLOCK, SPLIT_SAMPLE, SPLIT = 3000, 1500, 2000, 64
+LEVELS = 8
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
 #: What is expanded lies in range or below it by this much.
 SLACK = 0.08
-OVERLAPS = (2, 4, 8)
+OVERLAPS = (2, 4)
 AUDIT, ENOUGH = 400, 0.97
+#: What rounding may do to an angle.
+TINY = 1e-6
 
 
 def vectors(column: pa.Array) -> np.ndarray:
@@ -106,195 +115,274 @@ def _lists(table: pa.Table) -> pa.Table:
     return pa.table({"cid": pa.array(cid), "next": pa.ListArray.from_arrays(pa.array(off), pa.array(cid[dst]))})
 
 
+def _inside(x: np.ndarray, y: np.ndarray, cos: np.ndarray, t: float) -> np.ndarray:
+    """cos >= t; a cosine next to it is taken of the vectors as they are, alike from both sides."""
+    found = cos >= t
+    for a, b in zip(*np.nonzero(np.abs(cos - t) < 1e-9)):
+        found[a, b] = (x[a] * y[b]).sum() / (np.sqrt((x[a] ** 2).sum()) * np.sqrt((y[b] ** 2).sum())) >= t
+    return found
+
+
 class Graph:
-    """A block with united lists, as padded neighbour numbers."""
+    """A shard with united lists, as a matrix of who lists whom."""
 
     def __init__(self, x: np.ndarray, cid: np.ndarray, lists: pa.Array):
         self.x, n = x, len(x)
         order = np.argsort(cid)
-        flat, off = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(np.nan_to_num(np.array([len(v) if v is not None else 0 for v in lists.to_pylist()])))]
+        flat, size = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.array(lists.value_lengths().fill_null(0), np.int64)
         at = np.minimum(np.searchsorted(cid[order], flat), n - 1)
         inside = cid[order][at] == flat
-        src = np.repeat(np.arange(n), np.diff(off))[inside]
-        dst = order[at[inside]]
-        self.off = np.searchsorted(src, np.arange(n + 1))
-        self.dst = dst
-        most = int(np.diff(self.off).max()) if n else 0
-        self.next = np.full((n, max(most, 1)), -1, np.int64)
-        self.next[src, np.arange(len(src)) - self.off[src]] = dst
+        self.next = np.zeros((n, n), bool)
+        self.next[np.repeat(np.arange(n), size)[inside], order[at[inside]]] = True
+        self.wide = self.next.astype(np.float32)
         self.medoid = int((x @ x.mean(0)).argmax()) if n else 0
 
-    def search(self, q: np.ndarray, start: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-        """q: unit vectors; start: a node that a query may begin at besides the medoid, or -1. Query and node numbers
-        of all pairs found with a cosine of t or more."""
-        n, m = len(self.x), len(q)
+    def search(self, start: np.ndarray, t: float) -> np.ndarray:
+        """For the nodes `start` as queries: which nodes they find with a cosine of t or more."""
+        q, n, m = self.x[start], len(self.x), len(start)
         done, seen = np.zeros((m, n), bool), np.zeros((m, n), bool)
         sim = np.full((m, n), -2.0)
         rows = np.arange(m)
 
-        def look(r: np.ndarray, c: np.ndarray) -> None:
-            new = ~seen[r, c]
-            r, c = r[new], c[new]
+        def look(new: np.ndarray, of: np.ndarray) -> None:
+            new &= ~seen[of]
+            r, c = np.nonzero(new)
+            r = of[r]
             for lo in range(0, len(r), 1 << 15):
                 a, b = r[lo : lo + (1 << 15)], c[lo : lo + (1 << 15)]
                 sim[a, b] = (q[a] * self.x[b]).sum(1)
             seen[r, c] = True
 
-        look(rows, np.full(m, self.medoid))
-        own = start >= 0
-        look(rows[own], start[own])
-        beam = np.full((m, min(BEAM, n)), -1, np.int64)
-        active = rows
+        first = np.zeros((m, n), bool)
+        first[:, self.medoid] = True
+        first[rows, start] = True
+        look(first, rows)
+        active, k = rows, min(BEAM, n) - 1
         while len(active):
             s = np.where(done[active], -3.0, sim[active])
             best = s.argmax(1)
             # a query stops when what is next is no better than the worst of its full beam
-            k = min(BEAM, n) - 1
             worst = -np.partition(-sim[active], k, axis=1)[:, k]
-            go = (s[np.arange(len(active)), best] > -2) & (s[np.arange(len(active)), best] >= worst)
+            top = s[np.arange(len(active)), best]
+            go = (top > -2) & (top >= worst)
             active, best = active[go], best[go]
             done[active, best] = True
-            nb = self.next[best]
-            r, c = np.repeat(active, nb.shape[1]), nb.reshape(-1)
-            look(r[c >= 0], c[c >= 0])
-        del beam
+            look(self.next[best], active)
         while True:  # expand over the range
-            r, c = np.nonzero((sim >= t - SLACK) & ~done)
-            if not len(r):
-                break
-            done[r, c] = True
-            nb = self.next[c]
-            a, b = np.repeat(r, nb.shape[1]), nb.reshape(-1)
-            ok = b >= 0
-            key = np.unique(a[ok] * n + b[ok])
-            look(key // n, key % n)
-        return np.nonzero(sim >= t)
-
-
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node of each node's component, by label propagation with pointer jumping."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
+            front = (sim >= t - SLACK) & ~done
+            of = np.flatnonzero(front.any(1))
+            if not len(of):
+                return sim >= t
+            done |= front
+            look(front[of].astype(np.float32) @ self.wide > 0, of)
+
+
+def _roots(found: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component; found is symmetric."""
+    root = np.arange(len(found))
+    while True:
+        low = np.minimum(root, np.where(found, root[None], len(found)).min(1, initial=len(found)))
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            return root
+        root = low
 
 
 def _search(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        """One block and the queries that it is asked: cid, links, root for its nodes."""
-        node = table["node"].to_numpy(zero_copy_only=False).astype(bool)
-        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        """One shard: cid, links (of pairs whose first common shard this is), root."""
         x, cid, copies = vectors(table["embedding"]), table["cid"].to_numpy(), table["copies"].to_numpy()
-        u = unit(x)
-        here = np.flatnonzero(node)
-        g = Graph(u[here], cid[here], table["next"].combine_chunks().take(pa.array(here)))
-        place = np.full(len(x), -1)
-        place[here] = np.arange(len(here))
-        which = np.flatnonzero(asks)
-        links = np.zeros(len(x), np.int64)
-        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(which) if len(here) else 0, 512):
-            ask = which[lo : lo + 512]
-            qi, ni = g.search(u[ask], place[ask], threshold - 1e-9)
-            a, b = ask[qi], here[ni]
-            raw = (x[a] * x[b]).sum(1) / (np.sqrt((x[a] ** 2).sum(1)) * np.sqrt((x[b] ** 2).sum(1)))
-            ok = (raw >= threshold) & (cid[a] != cid[b])
-            np.add.at(links, a[ok], copies[b[ok]])
-            src.append(a[ok])
-            dst.append(b[ok])
-        root = _forest(len(x), np.concatenate(src), np.concatenate(dst))
-        return pa.table({"cid": pa.array(cid), "links": pa.array(links), "root": pa.array(cid[root])})
+        n, here = len(x), table["shard_no"][0].as_py()
+        g = Graph(unit(x), cid, table["next"].combine_chunks())
+        found = np.zeros((n, n), bool)
+        for lo in range(0, n, 512):
+            found[lo : lo + 512] = g.search(np.arange(lo, min(n, lo + 512)), threshold - 1e-9)
+        found |= found.T
+        np.fill_diagonal(found, False)
+        for lo in range(0, n, 512):
+            found[lo : lo + 512] &= _inside(x[lo : lo + 512], x, g.x[lo : lo + 512] @ g.x.T, threshold)
+        found &= found.T
+        counted = found.copy()
+        lists = table["shards"].combine_chunks()
+        shard, of = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), np.array(lists.value_lengths(), np.int64))
+        for other in np.unique(shard[shard < here]):
+            both = of[shard == other]
+            counted[np.ix_(both, both)] = False
+        return pa.table({"cid": pa.array(cid), "links": pa.array(counted @ copies), "root": pa.array(cid[_roots(found)])})
 
     return run
 
 
-class _Centroids:
-    """Centroids by label and length; a label without any is one shard."""
-
-    def __init__(self, found: dict):
-        self.found = found
+def _cross(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """A block of left rows against one of right rows: cid, links (for rows that `gets`), root."""
+        x, cid, copies = vectors(table["embedding"]), table["cid"].to_numpy(), table["copies"].to_numpy()
+        gets, right = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("gets", "right"))
+        u, a, b = unit(x), np.flatnonzero(~right), np.flatnonzero(right)
+        found = np.zeros((len(a), len(b)), bool)
+        for lo in range(0, len(a), 512):
+            part = a[lo : lo + 512]
+            found[lo : lo + 512] = _inside(x[part], x[b], u[part] @ u[b].T, threshold) & (cid[part][:, None] != cid[b][None])
+        links = np.zeros(len(x), np.int64)
+        links[a], links[b] = found @ copies[b], copies[a] @ found
+        root = np.arange(len(x))
+        while len(a) and len(b):
+            low = root.copy()
+            low[a] = np.minimum(low[a], np.where(found, root[b][None], len(x)).min(1))
+            low[b] = np.minimum(low[b], np.where(found, low[a][:, None], len(x)).min(0))
+            low = np.minimum(low, low[low])
+            if (low == root).all():
+                break
+            root = low
+        return pa.table({"cid": pa.array(cid), "links": pa.array(np.where(gets, links, 0)), "root": pa.array(cid[root])})
 
-    def nearest(self, label: object, x: np.ndarray, overlap: int) -> np.ndarray:
-        c = self.found.get((label, x.shape[1]))
-        if c is None:
-            return np.zeros((len(x), 1), np.int64)
-        k = min(overlap, len(c))
-        return np.argsort(-(unit(x) @ c.T), axis=1, kind="stable")[:, :k]
+    return run
 
 
-def centroids(rows: DataFrame) -> _Centroids:
-    """k-means of each label with more than PER_CENTROID classes, on the sample's rows."""
-    sizes = rows.groupBy("label", F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_CENTROID)
-    sizes = sizes.orderBy(F.desc("n"), "label", "dim").limit(ALL_CENTROIDS // 2).collect()
-    if not sizes:
-        return _Centroids({})
-    want = {(r["label"], r["dim"]): min(MOST_CENTROIDS, -(-r["n"] // PER_CENTROID)) for r in sizes}
-    scale = max(1.0, sum(want.values()) / ALL_CENTROIDS)
+def hubs(rows: DataFrame, threshold: float) -> dict:
+    """Unit vectors of the hubs by label and length, chosen on the sample: crowded ones first."""
     sample = common.bounded_rows(rows.select("cid", "label", "embedding"), "cid", SAMPLE).toArrow()
-    labels = np.array(sample["label"].to_pylist(), object)
-    length = np.array([len(v) for v in sample["embedding"].to_pylist()])
-    found = {}
-    for (label, dim), k in want.items():
-        at = np.flatnonzero((labels == label) & (length == dim))
-        k = int(min(k / scale, len(at) / 4))
-        if k < 2:
-            continue
-        x = unit(vectors(sample["embedding"].take(pa.array(at))))
-        c = x[np.random.Generator(np.random.PCG64(5)).permutation(len(x))[:k]]
-        for _ in range(8):
-            near = (x @ c.T).argmax(1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, near, x)
-            size = np.sqrt((sums * sums).sum(1, keepdims=True))
-            c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
-        found[label, dim] = c
-    return _Centroids(found)
-
-
-def _assign(cast, overlap: int):
+    labels, length = np.array(sample["label"].to_pylist(), object), np.array(sample["embedding"].combine_chunks().value_lengths()) if sample.num_rows else np.zeros(0)
+    near, found, total = np.cos(np.arccos(threshold) / 2), {}, 0
+    for key in sorted(set(zip(labels.tolist(), length.tolist())), key=str):
+        x = unit(vectors(sample["embedding"].take(pa.array(np.flatnonzero((labels == key[0]) & (length == key[1]))))))
+        count = np.concatenate([(x[lo : lo + 512] @ x.T >= near).sum(1) for lo in range(0, len(x), 512)])
+        free, chosen = np.ones(len(x), bool), []
+        for k in np.argsort(-count, kind="stable").tolist():
+            if count[k] < CROWD or total >= HUBS:
+                break
+            mine = free & (x @ x[k] >= near)
+            if free[k] and mine.sum() >= CROWD:
+                chosen.append(x[k])
+                free[mine] = False
+                total += 1
+        if chosen:
+            found[key] = np.stack(chosen)
+    return found
+
+
+def _place(cast, threshold: float):
+    wide = float(np.arccos(threshold))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cs = cast.value
+        """Each class's hub (-1: none) and angle to it, and the hubs whose shell may hold it."""
+        known = cast.value
+        first = dict(zip(known, np.cumsum([0, *(len(v) for v in known.values())])))
         for b in batches:
-            labels = np.array(b.column("label").to_pylist(), object)
-            length = np.array(b.column("embedding").value_lengths())
-            row, shard, home = [], [], []
-            for key in sorted(set(zip(labels.tolist(), length.tolist())), key=str):
+            labels, length = np.array(b.column("label").to_pylist(), object), np.array(b.column("embedding").value_lengths())
+            hub, angle = np.full(b.num_rows, -1), np.zeros(b.num_rows)
+            row, far, to = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+            for key in set(zip(labels.tolist(), length.tolist())) & set(known):
                 at = np.flatnonzero((labels == key[0]) & (length == key[1]))
-                near = cs.nearest(key[0], vectors(b.column("embedding").take(pa.array(at))), overlap)
-                row.append(np.repeat(at, near.shape[1]))
-                shard += [f"{key[0]}/{key[1]}/{c}" for c in near.reshape(-1).tolist()]
-                home.append((np.arange(near.size) % near.shape[1]) == 0)
-            if not row:
-                continue
-            take = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("cid", "copies", "embedding")), pa.array(shard), pa.array(np.concatenate(home))], ["cid", "copies", "embedding", "shard", "home"])
+                a = np.arccos(np.clip(unit(vectors(b.column("embedding").take(pa.array(at)))) @ known[key].T, -1, 1))
+                best = a.argmin(1)
+                close = a[np.arange(len(at)), best]
+                member = close <= wide / 2 - TINY
+                hub[at[member]], angle[at[member]] = first[key] + best[member], close[member]
+                a[np.flatnonzero(member), best[member]] = 9
+                r, c = np.nonzero(a <= 1.5 * wide + TINY)
+                row.append(at[r])
+                far.append(a[r, c])
+                to.append(first[key] + c)
+            order = np.argsort(np.concatenate(row), kind="stable")
+            off = np.searchsorted(np.concatenate(row)[order], np.arange(b.num_rows + 1)).astype(np.int32)
+            shell = pa.StructArray.from_arrays([pa.array(np.concatenate(to)[order]), pa.array(np.concatenate(far)[order])], ["to", "far"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hub), pa.array(angle), pa.ListArray.from_arrays(pa.array(off), shell)], [*b.schema.names, "hub", "angle", "shell"])
 
     return run
 
 
-def _once(rows: DataFrame, cs: _Centroids, overlap: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """links by class; edges for the components."""
-    spark = rows.sparkSession
-    dealt = rows.select("cid", "copies", "label", "embedding").mapInArrow(_assign(spark.sparkContext.broadcast(cs), overlap), "cid long, copies long, embedding array<double>, shard string, home boolean")
-    dealt = common.durable(dealt, "dealt")
-    blocks = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    lists = dealt.select("shard", "block", "cid", "embedding").groupBy("shard", "block").applyInArrow(_lists, "cid long, next array<long>")
-    # a class has overlap lists of some 2 * DEGREE neighbours
-    united = common.durable(lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next")), "united")
-    nodes = dealt.join(united, "cid", "left").select("shard", "block", "cid", "copies", "embedding", "next", F.lit(True).alias("node"), F.col("home").alias("asks"))
-    # a query of a shard of several blocks asks all of them
-    more = dealt.where("home and blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
-    more = more.select("shard", F.col("to").alias("block"), "cid", "copies", "embedding", F.lit(None).cast("array<long>").alias("next"), F.lit(False).alias("node"), F.lit(True).alias("asks"))
-    found = common.durable(nodes.unionByName(more).groupBy("shard", "block").applyInArrow(_search(threshold), "cid long, links long, root long"), "found")
-    return common.durable(found.groupBy("cid").agg(F.sum("links").alias("links")), "counted"), found.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))
+def _blocked(left: DataFrame, right: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """left, right: k, cid, copies, embedding, gets; sizes: k, n_left, n_right. All of left against all of right of equal k."""
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
+    s = F.broadcast(sizes.select("k", blocks("n_left").alias("bl"), blocks("n_right").alias("br")))
+    mine = lambda c: F.pmod(F.xxhash64("cid"), F.col(c)).cast("int")
+    a = left.join(s, "k").select("k", "cid", "copies", "embedding", "gets", F.lit(False).alias("right"), mine("bl").alias("i"), F.explode(F.sequence(F.lit(0), F.col("br") - 1)).alias("j"))
+    b = right.join(s, "k").select("k", "cid", "copies", "embedding", "gets", F.lit(True).alias("right"), F.explode(F.sequence(F.lit(0), F.col("bl") - 1)).alias("i"), mine("br").alias("j"))
+    return a.unionByName(b).groupBy("k", "i", "j").applyInArrow(_cross(threshold), "cid long, links long, root long")
+
+
+def crowds(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The classes without a hub; and cid, links, root of all links of members."""
+    cast = rows.sparkSession.sparkContext.broadcast(hubs(rows, threshold))
+    placed = rows.select("cid", "copies", "label", "embedding").mapInArrow(_place(cast, threshold), "cid long, copies long, label " + rows.schema["label"].dataType.simpleString() + ", embedding array<double>, hub long, angle double, shell array<struct<to:long,far:double>>")
+    placed = common.durable(placed, "placed")
+    member = placed.where("hub >= 0")
+    of = common.durable(member.groupBy("hub").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n_left"), F.max("angle").alias("reach"), F.min("cid").alias("star")), "hubs")  # HUBS rows at most
+    links = member.join(F.broadcast(of), "hub").select("cid", (F.col("total") - F.col("copies")).alias("links"), F.col("star").alias("root"))
+    shell = placed.select("cid", "copies", "embedding", (F.col("hub") < 0).alias("gets"), F.explode("shell").alias("s"))
+    shell = shell.join(F.broadcast(of.select(F.col("hub").alias("k"), "reach")), F.col("s.to") == F.col("k")).where(F.col("s.far") <= F.lit(float(np.arccos(threshold)) + TINY) + F.col("reach"))
+    shell = common.durable(shell.select("k", "cid", "copies", "embedding", "gets"), "shells")
+    sizes = of.select(F.col("hub").alias("k"), "n_left").join(shell.groupBy("k").agg(F.count(F.lit(1)).alias("n_right")), "k")
+    left = member.select(F.col("hub").alias("k"), "cid", "copies", "embedding", F.lit(True).alias("gets"))
+    outside = _blocked(left, shell, sizes, threshold)
+    return placed.where("hub < 0").select("cid", "copies", "label", "embedding"), common.durable(links.unionByName(outside), "crowds")
+
+
+def _kmeans(table: pa.Table) -> pa.Table:
+    """Centroids of one shard from its sample."""
+    x = unit(vectors(table["embedding"]))
+    k = int(min(SPLIT, -(-table["n"][0].as_py() * 3 // MOST), len(x)))
+    c = x[np.random.Generator(np.random.PCG64(5)).permutation(len(x))[:k]]
+    for _ in range(8):
+        near = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        size = np.sqrt((sums * sums).sum(1, keepdims=True))
+        c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
+    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * k, pa.string()), "center": pa.array(list(c), pa.list_(pa.float64()))})
+
+
+def _deal(overlap: int, last: bool):
+    def run(rows: pa.Table, centers: pa.Table) -> pa.Table:
+        """Rows of a shard to their nearest centroids; where splits don't end, by number."""
+        c, cid = vectors(centers["center"]), rows["cid"].to_numpy()
+        k = min(overlap, len(c))
+        near = (cid % SPLIT)[:, None] if last else np.argsort(-(unit(vectors(rows["embedding"])) @ c.T), axis=1, kind="stable")[:, :k]
+        at = pa.array(np.repeat(np.arange(len(cid)), near.shape[1]))
+        name = rows["shard"][0].as_py() if len(cid) else ""
+        return pa.table({"cid": rows["cid"].take(at), "copies": rows["copies"].take(at), "embedding": rows["embedding"].take(at), "shard": pa.array([f"{name}/{z}" for z in near.reshape(-1).tolist()], pa.string())})
+
+    return run
+
+
+def shards(rows: DataFrame, overlap: int) -> DataFrame:
+    """cid, copies, embedding, shard: shards of MOST rows at most (but for chance, after LEVELS splits)."""
+    kind = "cid long, copies long, embedding array<double>, shard string"
+    now = rows.select("cid", "copies", "embedding", F.concat_ws("/", F.col("label").cast("string"), F.size("embedding")).alias("shard"))
+    done = None
+    for level in range(LEVELS):
+        sizes = common.durable(now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        big = sizes.where(F.col("n") > MOST)
+        if not big.limit(1).count():
+            break
+        small = now.join(sizes.where(F.col("n") <= MOST), "shard").select("cid", "copies", "embedding", "shard")
+        done = small if done is None else done.unionByName(small)
+        large = now.join(big, "shard")
+        some = large.where(F.pmod(F.xxhash64(F.lit(level), "cid"), F.ceil(F.col("n") / SPLIT_SAMPLE)) == 0)
+        centers = common.durable(some.groupBy("shard").applyInArrow(_kmeans, "shard string, center array<double>"), "centers")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        left = large.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).select("shard", "block", "cid", "copies", "embedding")
+        right = centers.join(big, "shard").select("shard", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "center")
+        now = common.durable(left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_deal(overlap, level == LEVELS - 1), kind), "dealt")
+    return now if done is None else done.unionByName(now)
+
+
+def graph_links(rows: DataFrame, overlap: int, threshold: float) -> DataFrame:
+    """cid, links, root of the links that searches find."""
+    dealt = common.durable(shards(rows, overlap).dropDuplicates(["cid", "shard"]).withColumn("shard_no", F.xxhash64("shard")), "shards")
+    lists = dealt.select("shard", "cid", "embedding").groupBy("shard").applyInArrow(_lists, "cid long, next array<long>")
+    united = lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # some 2 * DEGREE a shard
+    where = dealt.groupBy("cid").agg(F.collect_set("shard_no").alias("shards"))
+    nodes = dealt.join(united, "cid").join(where, "cid").select("shard", "shard_no", "cid", "copies", "embedding", "next", "shards")
+    return nodes.groupBy("shard").applyInArrow(_search(threshold), "cid long, links long, root long")
+
+
+def block_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """The same by comparing all rows of a label in blocks."""
+    x = rows.select(F.concat_ws("/", F.col("label").cast("string"), F.size("embedding")).alias("k"), "cid", "copies", "embedding")
+    sizes = common.durable(x.groupBy("k").agg(F.count(F.lit(1)).alias("n_left"), F.count(F.lit(1)).alias("n_right")), "sizes")
+    return _blocked(x.withColumn("gets", F.lit(True)), x.withColumn("gets", F.lit(False)), sizes, threshold)
 
 
 def recall(rows: DataFrame, links: DataFrame, threshold: float) -> float:
@@ -329,12 +417,14 @@ def near_duplicates(emb: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     common.prepare(emb.sparkSession)
     emb = emb.select("vec_id", "label", "embedding")
     rows = common.durable(classes(emb), "vectors")
-    cs = centroids(rows)
-    for overlap in OVERLAPS:
-        links, edges = _once(rows, cs, overlap, threshold)
-        if not cs.found or recall(rows, links, threshold) >= ENOUGH:
+    rest, crowd = crowds(rows, threshold)
+    ways = [functools.partial(graph_links, rest, overlap, threshold) for overlap in OVERLAPS]
+    for way in [*ways, functools.partial(block_links, rest, threshold)]:
+        found = common.durable(way(), "found")
+        links = common.durable(crowd.unionByName(found).groupBy("cid").agg(F.sum("links").alias("links")), "counted")
+        if recall(rows, links, threshold) >= ENOUGH:
             break
-    comps = graphs.components(edges)
+    comps = graphs.components(crowd.unionByName(found).where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = rows.select("cid", "rep", "copies").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = common.durable(named.join(smallest, "comp").join(links, "cid", "left").select("cid", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")

@@ -11,7 +11,7 @@ import pytest
 from llm_fixtures import corpus, prose, shingles, table
 from pyspark.sql import functions as F
 
-from strandline.llm import common, exact, flatgraph, ftrl, graphs, langid, minhash, mixing, quality, textvec, toxicity
+from strandline.llm import common, exact, ftrl, graphs, langid, minhash, mixing, quality, textvec, toxicity
 
 def test_exact(spark):
     rows = corpus() + [(7, corpus()[7][1], "en", "a"), (None, corpus()[7][1], "en", "a"), (None, "only here", "en", "a")]
@@ -183,50 +183,3 @@ def test_ftrl_learns_a_rule():
     rows = [(np.array([k % 7, 10 + k % 3]), np.ones(2), int(k % 7 < 3)) for k in r.integers(0, 1000, 400)]
     w, bias = ftrl.Ftrl(bits=6).fit(rows)
     assert all((w[i] @ x + bias > 0) == y for i, x, y in rows)
-
-
-def embeddings(seed):
-    r = np.random.Generator(np.random.PCG64(seed))
-    rows = []
-    for k in range(900):
-        x = r.normal(size=12)
-        if k % 3 and rows:
-            x = np.array(rows[-1][2]) + r.normal(size=12) * 0.12
-        rows.append((k, int(r.integers(0, 2)) if not k % 3 else rows[-1][1], [float(np.float32(v)) for v in x]))
-    rows += [(2000 + k, 1, [v + 1e-3 * k for v in rows[4][2]]) for k in range(40)]
-    return rows + [(3000, 1, None), (3001, 1, [0.0] * 12), (3002, 1, [float("nan")] * 12), (3003, None, rows[3][2]), (3004, 1, [None] * 12), (3005, 1, []), (3006, 0, [1.0, 2.0]), (3007, 0, [1.0, 2.0]), (5, rows[5][1], rows[5][2]), (3008, 1, [float("inf")] * 12)]
-
-
-@pytest.mark.parametrize("block", [1500, 90])
-def test_flat_graph(spark, monkeypatch, block):
-    monkeypatch.setattr(flatgraph, "BLOCK", block)
-    monkeypatch.setattr(flatgraph, "PER_CENTROID", 100)
-    rows = embeddings(7)
-    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<double>, links string")
-    got = [(r.vec_id, r.n_links, r.component_id) for r in flatgraph.near_duplicates(df).collect()]
-    fine = [k for k, (_, l, v) in enumerate(rows) if l is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
-    n, low = [0] * len(rows), [r[0] for r in rows]
-    linked = []
-    for i, j in combinations(fine, 2):
-        if rows[i][1] == rows[j][1] and len(rows[i][2]) == len(rows[j][2]):
-            a, b = np.array(rows[i][2]), np.array(rows[j][2])
-            if a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
-                linked.append((i, j))
-                n[i] += 1
-                n[j] += 1
-    for _ in range(60):
-        for i, j in linked:
-            low[i] = low[j] = min(low[i], low[j])
-    true = sorted((r[0], n[k], low[k]) for k, r in enumerate(rows))
-    assert len(got) == len(true) and sum(x[1] for x in got) >= 0.97 * sum(x[1] for x in true)
-    want = {}
-    for x in true:
-        want.setdefault(x[0], []).append(x)
-    assert all(x[1] <= max(y[1] for y in want[x[0]]) for x in got)
-    assert np.mean([x in want[x[0]] for x in got]) > 0.95
-    assert flatgraph.near_duplicates(df.limit(0)).count() == 0
-
-
-def test_crc_is_that_of_the_text(spark):
-    got = spark.range(50).select("id", common.crc_mod(F.col("id"), 5).alias("m")).collect()
-    assert all(r.m == zlib.crc32(str(r.id).encode()) % 5 for r in got)
