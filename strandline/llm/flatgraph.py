@@ -38,7 +38,7 @@ THRESHOLD = 0.93
 #: Vectors that hubs are chosen from, how many of them make a crowd, and most hubs (512 bytes each at 64 dimensions).
 SAMPLE, CROWD, HUBS = 10_000, 8, 2048
 #: Vectors of a shard, and of a block of comparisons, at most; those that a shard's centroids come from; centroids of a split.
-MOST, BLOCK, SPLIT_SAMPLE, SPLIT = 3000, 1500, 2000, 64
+MOST, BLOCK, SPLIT_SAMPLE, SPLIT = 1000, 1500, 2000, 64
 LEVELS = 8
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
 #: What is expanded lies in range or below it by this much.
