@@ -3,15 +3,15 @@
 1. Each text becomes its set of distinct word shingles (64-bit hashes); texts of equal sets form one class. A class
    keeps the K smallest hashes, its sketch.
 2. Inverted lists of retained values give candidates. Two sets of the wanted similarity share `least` of K retained
-   values (all but one pair in some 10^9), so if values are ordered by how many classes retain them, the pair shares
+   values (at 0.85 all but one pair in some 10^8 at the very threshold, fewer above it), so if values are ordered by how many classes retain them, the pair shares
    one of its K - least + 1 rarest. Only these keys are listed: a value of a common passage is a key of texts that
    hardly hold anything else.
 3. Lists of up to LIST classes give all their pairs. From longer ones each class is paired with the list's hub, its
    most central class (of the most shared values), over its HUBS rarest long lists.
    Classes of long lists that fall into several components are listed anew by the exact rule, over their whole sets: of
-   n shingles, in order of rarity, the n - ceil(t * n) + 1 first. Lists of these are linked to hubs again, for ROUNDS
-   rounds, and what is then apart from a list's largest component is compared with the whole list. Only pairs of which
-   each has enough shingles that occur in other classes are looked at.
+   n shingles, in order of rarity, the n - ceil(t * n) + 1 first. Lists that are long again are listed by what tells their
+   members from the list's hub, and so on for DEPTH times (differences()): a crowd of texts that are nearly, but not
+   quite, similar enough is never paired with itself.
 4. Pairs are filtered by the estimate from the sketch of the union, and verified by the Jaccard similarity of the whole
    sets. Pairs inside one component are not verified any more. Components come from joins.
 
@@ -34,7 +34,8 @@ from strandline.llm import common, graphs, textvec
 K = 64
 LIST = 8
 HUBS = 3
-ROUNDS = 3
+#: Times that long lists are listed anew by differences; what is long then is paired.
+DEPTH = 4
 SIGMAS = 6.4
 #: Candidate classes up to this many (16 bytes each) are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -115,20 +116,6 @@ def _estimate(low: float):
     return run
 
 
-def _verify(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = shingle_sets(b.column("ta"), width), shingle_sets(b.column("tb"), width)
-            ok = np.zeros(b.num_rows, bool)
-            for k, (x, y) in enumerate(zip(left, right)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[k] = 100 * both >= percent * (len(x) + len(y) - both) > 0
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
-
-    return run
-
-
 class _Job:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.docs, self.width, self.percent = docs.select("doc_id", "text"), width, percent
@@ -143,27 +130,35 @@ class _Job:
         x = pairs.join(s.select(F.col("cid").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("cid").alias("b"), F.col("sketch").alias("sb")), "b")
         return common.durable(x.select("a", "b", "sa", "sb").mapInArrow(_estimate(self.need / K), "a long, b long, est double"), "near")
 
-    def texts(self, pairs: DataFrame) -> DataFrame:
-        """cid, text of the classes of pairs, of their smallest document."""
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """cid, set: the whole shingle sets of the classes of pairs, read from their smallest documents."""
         ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
         ids = common.durable(self.classes.select("cid", F.col("rep").alias("doc_id")).join(ids, "cid"), "ids")
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
         width = self.width
 
-        def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:  # an id may stand for several texts
-                keep = pa.array(class_ids(shingle_sets(b.column("text"), width)) == b.column("cid").to_numpy())
-                yield b.select(["cid", "text"]).filter(keep)
-
-        found = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("cid", "text")
-        return common.durable(found.mapInArrow(right, "cid long, text string").dropDuplicates(["cid"]), "texts")
-
-    def link(self, pairs: DataFrame, texts: DataFrame) -> None:
-        """Verifies pairs, adds the links, and renews the components."""
-        x = pairs.select("a", "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
-        new = common.durable(x.select("a", "b", "ta", "tb").mapInArrow(_verify(self.width, self.percent), "a long, b long"), "links")
-        stars = new if self.comps is None else new.unionByName(self.comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+                found = shingle_sets(b.column("text"), width)
+                keep = np.flatnonzero(class_ids(found) == b.column("cid").to_numpy())
+                flat = np.concatenate([np.zeros(0, np.uint64), *(found[k] for k in keep)]).view(np.int64)
+                off = np.r_[0, np.cumsum([len(found[k]) for k in keep])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(keep)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["cid", "set"])
+
+        out = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("cid", "text").mapInArrow(run, "cid long, set array<long>")
+        out = common.durable(out, "sets")
+        ends = out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cid").alias("k")).first()
+        return out if ends["n"] == ends["k"] else common.durable(out.dropDuplicates(["cid"]), "sets")  # rows repeat
+
+    def link(self, pairs: DataFrame, sets: DataFrame) -> None:
+        """Verifies pairs on the whole sets, adds the links, and renews the components."""
+        x = pairs.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
+        x = x.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+        self.add(x.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * self.percent).select("a", "b"))
+
+    def add(self, links: DataFrame) -> None:
+        stars = links if self.comps is None else links.unionByName(self.comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         self.comps = common.durable(graphs.components(stars), "comps")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
@@ -194,13 +189,13 @@ class _Job:
         rank = F.row_number().over(Window.partitionBy("cid").orderBy("m", "v"))  # K rows a class at most
         hubs = long.withColumn("rank", rank).where((F.col("rank") <= HUBS) & (F.col("cid") != F.col("hub"))).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
         near = self.near(pairs.unionByName(hubs).distinct())
-        texts = self.texts(near)
+        sets = self.sets(near)
         # a spanning choice first: each class with the likeliest of its partners
         both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
         best = both.groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
         best = common.durable(best, "best")
-        self.link(best, texts)
-        self.link(common.durable(self.apart(near.join(best, ["a", "b"], "left_anti")), "rest"), texts)
+        self.link(best, sets)
+        self.link(common.durable(self.apart(near.join(best, ["a", "b"], "left_anti")), "rest"), sets)
         self.tested = near.select("a", "b")
         self.long_lists(long, ratio)
         return self.result(rows)
@@ -214,47 +209,64 @@ class _Job:
         top = x.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).where("top.k < m")
         return common.durable(x.join(top.select("v", F.col("top.comp").alias("top")), "v"), "split")
 
-    def compare(self, pairs: DataFrame, texts: DataFrame) -> None:
+    def compare(self, pairs: DataFrame, sets: DataFrame) -> None:
         """Filters and verifies pairs that were not looked at before."""
         pairs = common.durable(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), "new")
         more = self.near(pairs)
         self.tested = self.tested.unionByName(pairs)
         if more.limit(1).count():
-            self.link(common.durable(self.apart(more), "apart"), texts)
+            self.link(common.durable(self.apart(more), "apart"), sets)
 
     def long_lists(self, long: DataFrame, ratio: float) -> None:
         x = self.split(long)
         if not x.limit(1).count():
             return
-        ids = x.select(F.col("cid").alias("a"), F.col("cid").alias("b")).distinct()
-        texts = self.texts(ids)
-        listed = common.durable(self.exact_keys(texts), "exact")
+        sets = self.sets(x.select(F.col("cid").alias("a"), F.col("cid").alias("b")).distinct())
+        lists = self.split(common.durable(self.exact_keys(sets), "exact"))
         pair = (F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
-        # what two sets share occurs in another class for both; that many shingles are needed at their sizes
-        fits = (F.least("n", "n2") >= F.greatest("n", "n2") * ratio) & (F.least("common", "common2") * (100 + self.percent) >= self.percent * (F.col("n") + F.col("n2")))
-        for _ in range(ROUNDS):
-            x = self.split(listed)
-            if not x.limit(1).count():
+        fits = F.least("n", "n2") >= F.greatest("n", "n2") * ratio
+        for depth in range(DEPTH + 1):
+            if not lists.limit(1).count():
                 return
-            hub = x.where("comp <> top").groupBy("v").agg(F.max_by(F.struct(F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("common").alias("common2"), F.col("comp").alias("comp2")), F.struct("common", "cid")).alias("h")).select("v", "h.*")
-            self.compare(x.join(hub, "v").where("comp <> comp2").where(fits).select(*pair), texts)
-        x = self.split(listed)
-        y = x.select("v", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("common").alias("common2"), F.col("comp").alias("comp2"))
-        self.compare(x.where("comp <> top").join(y, "v").where("comp <> comp2").where(fits).select(*pair), texts)
-
-    def exact_keys(self, texts: DataFrame) -> DataFrame:
+            size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
+            sized = common.durable(lists.join(size, "v"), "sized")
+            short = sized if depth == DEPTH else sized.where(F.col("m") <= LIST)
+            y = short.select("v", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+            self.compare(short.where("comp <> top").join(y, "v").where("comp <> comp2").where(fits).select(*pair), sets)
+            if depth < DEPTH:
+                lists = self.split(self.differences(sized.where(F.col("m") > LIST), sets))
+
+    def differences(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
+        """lists: v, cid, common. Lists of the same classes by what tells them from their list's hub, so that classes of
+        one passage, near copies that aren't near enough, part without being paired.
+
+        Let D be how many shingles two sets don't share. They are linked if (100 + percent) * D <= (100 - percent) * (sum
+        of sizes). With each one's difference to the hub, D is at most the sum of the two, and twice what the differences
+        share is the sum less D. So either the sizes alone say that they are linked, which a star around the class of the
+        least excess joins up, or linked ones share as much of their differences as the prefix of the exact rule needs."""
+        p = self.percent
+        hub = lists.groupBy("v").agg(F.max_by("cid", F.struct("common", "cid")).alias("hub"))
+        members = common.durable(lists.join(hub, "v").select("hub", "cid").distinct(), "members")
+        x = members.join(sets, "cid").join(sets.select(F.col("cid").alias("hub"), F.col("set").alias("of")), "hub")
+        x = x.select("hub", "cid", F.size("set").alias("n"), F.concat(F.array_except("set", "of"), F.array_except("of", "set")).alias("apart"))
+        x = common.durable(x.withColumn("excess", F.size("apart") * (100 + p) - F.col("n") * (100 - p)), "differences")
+        star = x.groupBy("hub").agg(F.min(F.struct("excess", "cid")).alias("least"))
+        sure = x.join(star, "hub").where((F.col("excess") + F.col("least.excess") <= 0) & (F.col("cid") != F.col("least.cid")))
+        self.add(common.durable(sure.select(F.col("cid").alias("a"), F.col("least.cid").alias("b")).distinct(), "sure"))
+        items = x.select("hub", "cid", "n", F.size("apart").alias("d"), F.explode("apart").alias("item"))
+        shared = items.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        mine = items.join(shared, ["hub", "item"]).groupBy("hub", "cid", "n", "d").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("vs"))
+        need = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - p) / p))
+        keys = (F.col("d") - need + 1 - (F.col("d") - F.size("vs"))).cast("int")
+        mine = mine.withColumn("keys", keys).where("keys > 0").withColumn("common", F.size("vs"))
+        out = mine.select("hub", "cid", "n", "common", F.explode(F.transform(F.slice("vs", 1, F.col("keys")), lambda y: y["item"])).alias("item"))
+        return common.durable(out.select(F.xxhash64("hub", "item").alias("v"), "cid", "n", "common"), "lists")
+
+    def exact_keys(self, sets: DataFrame) -> DataFrame:
         """v, cid, n, common: the keys of the exact rule. A class more of whose shingles than the rule takes occur in no
         other class has none, and no link among these classes."""
-        width, percent = self.width, self.percent
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                sets = shingle_sets(b.column("text"), width)
-                n = np.array([len(s) for s in sets], np.int64)
-                flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("cid").to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(flat)], ["cid", "n", "v"])
-
-        values = texts.mapInArrow(run, "cid long, n long, v long")
+        percent = self.percent
+        values = sets.select("cid", F.size("set").cast("long").alias("n"), F.explode("set").alias("v"))
         shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         mine = values.join(shared, "v").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).withColumn("common", F.size("vs"))
         keys = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.col("common"))

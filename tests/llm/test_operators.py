@@ -70,6 +70,50 @@ def test_minhash(spark, monkeypatch, short):
     assert minhash.near_duplicates(table(spark, rows).limit(0), 3, 85).count() == 0
 
 
+def crowd(seed):
+    """One text of 120 words in 90 variants, nearly similar enough, some of them with variants of their own, ids null or
+    repeated, and one text beyond a piece of the word cutter."""
+    r = random.Random(seed)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for at in r.sample(range(120), r.choice([3, 4, 5, 6, 7, 8])):
+            words[at] = f"x{r.randint(0, 40)}"
+        rows.append((k, " ".join(words), "en", "a"))
+        if k % 5 == 0:
+            for j in range(3):
+                words[r.randint(0, 119)] = f"y{r.randint(0, 9)}"
+                rows.append((1000 + 10 * k + j, " ".join(words), "en", "a"))
+    long = " ".join(f"l{k}" for k in range(5000))
+    return rows + [rows[3], (None, rows[8][1], "en", "a"), (5000, long, "en", "b"), (5001, long + " more", "en", "b")]
+
+
+@pytest.mark.parametrize("short, depth", [(8, 4), (1, 4), (3, 0)])
+def test_minhash_crowds(spark, monkeypatch, short, depth):
+    monkeypatch.setattr(minhash, "LIST", short)
+    monkeypatch.setattr(minhash, "DEPTH", depth)
+    monkeypatch.setattr(textvec, "PIECE", 6000)
+    rows = crowd(5)
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in minhash.near_duplicates(table(spark, rows), 3, 85).collect())
+    sets = [shingles(t, 3) for _, t, *_ in rows]
+    ids = [i for i, *_ in rows]
+    root = list(range(len(rows)))
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            if root[i] != root[j]:
+                root[i] = root[j] = min(root[i], root[j])
+                changed = True
+    low = {}
+    for i, k in enumerate(root):
+        low[k] = min([x for x in (low.get(k), ids[i]) if x is not None], default=None)
+    assert got == sorted((str(ids[i]), len(sets[i]), low[k]) for i, k in enumerate(root))
+    assert len(set(root)) > 10
+
+
 @pytest.mark.parametrize("local", [500_000, 0])
 def test_components(spark, monkeypatch, local):
     monkeypatch.setattr(graphs, "LOCAL_EDGES", local)
