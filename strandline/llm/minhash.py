@@ -34,8 +34,8 @@ from strandline.llm import common, graphs, textvec
 K = 64
 LIST = 8
 HUBS = 3
-#: Times that long lists are listed anew by differences; what is long then is paired.
-DEPTH = 4
+#: Times that long lists are listed anew by differences; what is still apart then is paired.
+DEPTH = 1
 SIGMAS = 6.4
 #: Candidate classes up to this many (16 bytes each) are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -201,10 +201,10 @@ class _Job:
         return self.result(rows)
 
     def split(self, listed: DataFrame) -> DataFrame:
-        """listed: v, cid, n, common. Members of the lists that hold several components, with comp, and top: the
+        """listed: v, cid and more. Members of the lists that hold several components, with comp, and top: the
         largest component of the list."""
         c = self.comps
-        x = listed.select("v", "cid", "n", "common").join(c.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        x = listed.join(c.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         x = common.durable(x, "members")
         top = x.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).where("top.k < m")
         return common.durable(x.join(top.select("v", F.col("top.comp").alias("top")), "v"), "split")
@@ -231,13 +231,15 @@ class _Job:
             size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
             sized = common.durable(lists.join(size, "v"), "sized")
             short = sized if depth == DEPTH else sized.where(F.col("m") <= LIST)
-            y = short.select("v", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            self.compare(short.where("comp <> top").join(y, "v").where("comp <> comp2").where(fits).select(*pair), sets)
+            # the one of the smaller difference probes; top and top are in one component
+            y = short.select("v", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "d", "comp", "top")))
+            found = [x.join(z, "v").where("comp <> comp2 and struct(d, cid) < struct(d2, cid2)").where(fits).select(*pair) for x, z in ((short.where("probe and comp <> top"), y), (short.where("probe and comp = top"), y.where("comp2 <> top2")))]
+            self.compare(found[0].unionByName(found[1]), sets)
             if depth < DEPTH:
                 lists = self.split(self.differences(sized.where(F.col("m") > LIST), sets))
 
     def differences(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
-        """lists: v, cid, common. Lists of the same classes by what tells them from their list's hub, so that classes of
+        """lists: v, cid, common. New lists of the same classes by what tells them from their list's hub, so that classes of
         one passage, near copies that aren't near enough, part without being paired.
 
         Let D be how many shingles two sets don't share. They are linked if (100 + percent) * D <= (100 - percent) * (sum
@@ -245,8 +247,13 @@ class _Job:
         share is the sum less D. So either the sizes alone say that they are linked, which a star around the class of the
         least excess joins up, or linked ones share as much of their differences as the prefix of the exact rule needs."""
         p = self.percent
-        hub = lists.groupBy("v").agg(F.max_by("cid", F.struct("common", "cid")).alias("hub"))
-        members = common.durable(lists.join(hub, "v").select("hub", "cid").distinct(), "members")
+        # few hubs serve all lists: a class leans to the hub of most lists among its own, a list to what most members lean to
+        first = common.durable(lists.groupBy("v").agg(F.max_by("cid", F.struct("common", "cid")).alias("hub")), "hubs")
+        serves = first.groupBy("hub").agg(F.count(F.lit(1)).alias("lists"))
+        mine = lists.select("v", "cid").join(first, "v").join(serves, "hub").groupBy("cid").agg(F.max(F.struct("lists", "hub"))["hub"].alias("leans"))
+        votes = lists.select("v", "cid").join(mine, "cid").groupBy("v", "leans").agg(F.count(F.lit(1)).alias("n"))
+        hub = votes.groupBy("v").agg(F.max(F.struct("n", "leans"))["leans"].alias("hub"))
+        members = common.durable(lists.select("v", "cid").join(hub, "v").select("hub", "cid").distinct(), "members")
         x = members.join(sets, "cid").join(sets.select(F.col("cid").alias("hub"), F.col("set").alias("of")), "hub")
         x = x.select("hub", "cid", F.size("set").alias("n"), F.concat(F.array_except("set", "of"), F.array_except("of", "set")).alias("apart"))
         x = common.durable(x.withColumn("excess", F.size("apart") * (100 + p) - F.col("n") * (100 - p)), "differences")
@@ -256,14 +263,14 @@ class _Job:
         items = x.select("hub", "cid", "n", F.size("apart").alias("d"), F.explode("apart").alias("item"))
         shared = items.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         mine = items.join(shared, ["hub", "item"]).groupBy("hub", "cid", "n", "d").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("vs"))
-        need = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - p) / p))
-        keys = (F.col("d") - need + 1 - (F.col("d") - F.size("vs"))).cast("int")
-        mine = mine.withColumn("keys", keys).where("keys > 0").withColumn("common", F.size("vs"))
-        out = mine.select("hub", "cid", "n", "common", F.explode(F.transform(F.slice("vs", 1, F.col("keys")), lambda y: y["item"])).alias("item"))
-        return common.durable(out.select(F.xxhash64("hub", "item").alias("v"), "cid", "n", "common"), "lists")
+        # what is shared at least with any linked one, and with one whose difference is as large or larger
+        prefix = lambda share: (F.size("vs") + 1 - F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * share))).cast("int")
+        mine = mine.withColumn("keys", prefix((100 - p) / p)).where("keys > 0").withColumn("probes", prefix((100 - p) / (2 * p))).withColumn("common", F.size("vs"))
+        out = mine.select("hub", "cid", "n", "d", "common", "probes", F.posexplode(F.slice("vs", 1, F.col("keys"))).alias("at", "x"))
+        return common.durable(out.select(F.xxhash64("hub", "x.item").alias("v"), "cid", "n", "common", "d", (F.col("at") < F.col("probes")).alias("probe")), "lists")
 
     def exact_keys(self, sets: DataFrame) -> DataFrame:
-        """v, cid, n, common: the keys of the exact rule. A class more of whose shingles than the rule takes occur in no
+        """v, cid, n, common, d, probe: the keys of the exact rule. A class more of whose shingles than the rule takes occur in no
         other class has none, and no link among these classes."""
         percent = self.percent
         values = sets.select("cid", F.size("set").cast("long").alias("n"), F.explode("set").alias("v"))
@@ -271,7 +278,7 @@ class _Job:
         mine = values.join(shared, "v").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).withColumn("common", F.size("vs"))
         keys = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.col("common"))
         mine = mine.withColumn("keys", keys.cast("int")).where("keys > 0")
-        return mine.select("cid", "n", "common", F.explode(F.transform(F.slice("vs", 1, F.col("keys")), lambda x: x["v"])).alias("v"))
+        return mine.select("cid", "n", "common", F.lit(0).alias("d"), F.lit(True).alias("probe"), F.explode(F.transform(F.slice("vs", 1, F.col("keys")), lambda x: x["v"])).alias("v"))
 
     def result(self, rows: DataFrame) -> DataFrame:
         named = self.classes.select("cid", "rep").join(self.comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))

@@ -89,7 +89,7 @@ def crowd(seed):
     return rows + [rows[3], (None, rows[8][1], "en", "a"), (5000, long, "en", "b"), (5001, long + " more", "en", "b")]
 
 
-@pytest.mark.parametrize("short, depth", [(8, 4), (1, 4), (3, 0)])
+@pytest.mark.parametrize("short, depth", [(8, 1), (1, 2), (3, 0)])
 def test_minhash_crowds(spark, monkeypatch, short, depth):
     monkeypatch.setattr(minhash, "LIST", short)
     monkeypatch.setattr(minhash, "DEPTH", depth)
