@@ -232,8 +232,10 @@ class _Job:
             sized = common.durable(lists.join(size, "v"), "sized")
             short = sized if depth == DEPTH else sized.where(F.col("m") <= LIST)
             # the one of the smaller difference probes; top and top are in one component
-            y = short.select("v", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "d", "comp", "top")))
-            found = [x.join(z, "v").where("comp <> comp2 and struct(d, cid) < struct(d2, cid2)").where(fits).select(*pair) for x, z in ((short.where("probe and comp <> top"), y), (short.where("probe and comp = top"), y.where("comp2 <> top2")))]
+            y = short.select("v", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "d", "rest", "comp", "top")))
+            # if this is the first item that the two share, they share as many more as are left to both at most
+            enough = (F.least("rest", "rest2") + 1) * (2 * (100 + self.percent)) >= (F.col("d") + F.col("d2")) * (100 + self.percent) - (F.col("n") + F.col("n2")) * (100 - self.percent)
+            found = [x.join(z, "v").where("comp <> comp2 and struct(d, cid) < struct(d2, cid2)").where(fits & enough).select(*pair) for x, z in ((short.where("probe and comp <> top"), y), (short.where("probe and comp = top"), y.where("comp2 <> top2")))]
             self.compare(found[0].unionByName(found[1]), sets)
             if depth < DEPTH:
                 lists = self.split(self.differences(sized.where(F.col("m") > LIST), sets))
@@ -267,10 +269,10 @@ class _Job:
         prefix = lambda share: (F.size("vs") + 1 - F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * share))).cast("int")
         mine = mine.withColumn("keys", prefix((100 - p) / p)).where("keys > 0").withColumn("probes", prefix((100 - p) / (2 * p))).withColumn("common", F.size("vs"))
         out = mine.select("hub", "cid", "n", "d", "common", "probes", F.posexplode(F.slice("vs", 1, F.col("keys"))).alias("at", "x"))
-        return common.durable(out.select(F.xxhash64("hub", "x.item").alias("v"), "cid", "n", "common", "d", (F.col("at") < F.col("probes")).alias("probe")), "lists")
+        return common.durable(out.select(F.xxhash64("hub", "x.item").alias("v"), "cid", "n", "common", "d", (F.col("at") < F.col("probes")).alias("probe"), (F.col("common") - F.col("at") - 1).alias("rest")), "lists")
 
     def exact_keys(self, sets: DataFrame) -> DataFrame:
-        """v, cid, n, common, d, probe: the keys of the exact rule. A class more of whose shingles than the rule takes occur in no
+        """v, cid, n, common, d, probe, rest: the keys of the exact rule. A class more of whose shingles than the rule takes occur in no
         other class has none, and no link among these classes."""
         percent = self.percent
         values = sets.select("cid", F.size("set").cast("long").alias("n"), F.explode("set").alias("v"))
@@ -278,7 +280,7 @@ class _Job:
         mine = values.join(shared, "v").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).withColumn("common", F.size("vs"))
         keys = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.col("common"))
         mine = mine.withColumn("keys", keys.cast("int")).where("keys > 0")
-        return mine.select("cid", "n", "common", F.lit(0).alias("d"), F.lit(True).alias("probe"), F.explode(F.transform(F.slice("vs", 1, F.col("keys")), lambda x: x["v"])).alias("v"))
+        return mine.select("cid", "n", "common", F.lit(0).alias("d"), F.lit(True).alias("probe"), F.lit(0).alias("rest"), F.explode(F.transform(F.slice("vs", 1, F.col("keys")), lambda x: x["v"])).alias("v"))
 
     def result(self, rows: DataFrame) -> DataFrame:
         named = self.classes.select("cid", "rep").join(self.comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
