@@ -45,31 +45,60 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a fresh local one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where it is unset: on one machine a fresh local folder, on a cluster a
+    folder in the warehouse, which all executors see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(spark.sparkContext, "_strandline_dir", None)
+        sc = spark.sparkContext
+        found = getattr(sc, "_strandline_dir", None)
         if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="strandline_")
-            spark.sparkContext._strandline_dir = found
+            if sc.master.startswith("local["):
+                found = "file://" + tempfile.mkdtemp(prefix="strandline_")
+                atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
+            else:
+                found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_strandline"
+            sc._strandline_dir = found
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Folders that durable() wrote and nothing deleted yet, the latest last."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_strandline_written"):
+        sc._strandline_written = []
+    return sc._strandline_written
+
+
+def sweep(spark: SparkSession, first: int = 0) -> None:
+    """Deletes what durable() wrote since written() had `first` folders. For a caller who has written the result: frames
+    that weren't written can't be read any more."""
+    paths = written(spark)
+    while len(paths) > first:
+        _delete(spark, paths.pop())
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written(spark).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandline_path = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Deletes what durable() wrote for df."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    paths = written(df.sparkSession)
+    if df._strandline_path in paths:
+        paths.remove(df._strandline_path)
+        _delete(df.sparkSession, df._strandline_path)
 
 
 def crc_mod(column, n: int):

@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="the vo
 
 def test_stages_against_brute_force(spark, tmp_path):
     rows = corpus(8) + [corpus(8)[3]]
-    docs = table(spark, rows)
+    docs = table(spark, rows).selectExpr("*", "1 as _key", "2 as _id", "3 as key", "4 as row", "5 as copy", "6 as ids", "7 as n")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     columns, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
