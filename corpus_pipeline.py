@@ -25,15 +25,18 @@ BROADCAST_ROWS = 1_000_000
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows that dropped lists by id and hash of the text; of rows that repeat both, one."""
-    columns = docs.columns
-    dropped = common.durable(dropped.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).distinct(), "dropped")
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    key = docs.select("doc_id", F.xxhash64("text").alias("_key"))
-    if key.count() != key.distinct().count():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    docs = docs.withColumn("_key", F.xxhash64("text"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]) & (docs["_key"] == dropped["_key"]), "left_anti").select(*columns)
+    few = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROWS else x
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("key"))
+    same = lambda y: F.col("row.doc_id").eqNullSafe(y["_id"]) & (F.col("key") == y["_key"])
+    gone = few(common.durable(dropped.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).distinct(), "dropped"))
+    left = rows.join(gone, same(gone), "left_anti")
+    again = left.groupBy(F.col("row.doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = common.durable(again.select("_id", "_key"), "repeated")
+    if again.limit(1).count():  # only the texts of rows that repeat are moved
+        again = few(again)
+        once = left.join(again, same(again), "left_semi").withColumns({"id": F.col("row.doc_id"), "text": F.col("row.text")}).dropDuplicates(["id", "text"])
+        left = left.join(again, same(again), "left_anti").unionByName(once.select("row", "key"))
+    return left.select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,6 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{common.shared_dir(spark)}/strandline/pipeline-{name}-{uuid.uuid4().hex}"
+        before = len(common.written(spark))
         stage(spark, docs, sf_dir).write.parquet(path)
+        common.sweep(spark, before)  # the stage's own tables; its result is written
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
