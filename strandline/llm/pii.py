@@ -30,18 +30,25 @@ CUES = ("iban", "account", "acct", "password", "passwd", "token", "secret", "api
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DIGIT = re.compile("[0-9]")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]*+")
 _URL = re.compile(r"[^\s\"'<>]+")
-_VALUE = re.compile(r"\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;&#]{4,})")
+_SIGN = re.compile(r"(?: (?:number|no|nr|id))?\.?\s{0,3}[=:#]?\s{0,3}[\"']?")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}")
+_NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){5,19}(?![0-9A-Za-z])")
+_SSN = re.compile(r"[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}(?![0-9])")
+_WORD = re.compile(r"[^\s\"',;&#]{4,}")
 
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for cue in ("@", "+", *SCHEMES, *CUES):
         a.add_word(cue, cue)
+    for x in "0123456789":
+        a.add_word(x + ".", "ip")
+        for y in "0123456789 -":
+            a.add_word(x + y, "card")
     a.make_automaton()
     return a
 
@@ -76,10 +83,44 @@ def phone(text: str, plus: int) -> tuple[int, int] | None:
     return (plus, end) if 9 <= sum("0" <= c <= "9" for c in text[plus:end]) <= 15 else None
 
 
+def iban(value: str) -> bool:
+    """15 to 34 characters whose rearranged number is 1 modulo 97."""
+    v = value.replace(" ", "").upper()
+    return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def account(text: str, cue: str, at: int) -> tuple[int, int] | None:
+    """The value that a cue names, by the cue's grammar: an IBAN that adds up, 6 to 20 digits of an account, 9 digits of a
+    social security number; for names and secrets, which need a sign of assignment, a word with a digit or inner sign,
+    for secrets of 6 characters and two kinds of them at least."""
+    sign = _SIGN.match(text, at)
+    start = sign.end()
+    if cue == "iban":
+        m = _IBAN.match(text, start)
+        for end in range(m.end() if m else start, start + 14, -1):  # words may follow; the longest that adds up
+            if text[end - 1] != " " and not text[end : end + 1].isalnum() and iban(text[start:end]):
+                return start, end
+        return None
+    if cue in ("account", "acct"):
+        m = _NUMBER.match(text, start)
+        return (start, m.end()) if m else None
+    if cue == "ssn":
+        m = _SSN.match(text, start)
+        return (start, m.end()) if m else None
+    m = _WORD.match(text, start) if any(c in sign[0] for c in "=:#") else None
+    if not m:
+        return None
+    value = m[0].rstrip(".!?)]}")
+    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    name = cue.startswith("user")
+    good = len(value) >= 4 and any(c.isdigit() or c in "._-" for c in value) if name else len(value) >= 6 and kinds >= 2 and any(not c.isalpha() for c in value)
+    return (start, start + len(value)) if good else None
+
+
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of all spans, sorted."""
     out: list[tuple[int, int, int]] = []
-    floor, cover = 0, [0] * len(KINDS)
+    floor, ips, cards, cover = 0, 0, 0, [0] * len(KINDS)
     low = text.lower()
     for last, cue in automaton.iter(low if len(low) == len(text) else text):  # some letters change length
         if cue == "@":
@@ -100,22 +141,30 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, in
                     if end > last + 1:
                         cover[4] = end
                         out.append((start, 4, end))
+        elif cue == "ip":
+            if last > ips:
+                start = last - 1
+                while start > ips and "0" <= text[start - 1] <= "9":
+                    start -= 1
+                m = _IP.match(text, start)
+                ips = m.end() if m else last
+                if m and all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):
+                    out.append((m.start(), 1, m.end()))
+        elif cue == "card":
+            if last > cards:  # the first two characters of a run
+                m = _CARD.match(text, last - 1)
+                cards = m.end()
+                if m.end() - m.start() >= 12:
+                    digits = m[0].replace(" ", "").replace("-", "")
+                    if 12 <= len(digits) <= 19 and luhn(digits):
+                        out.append((m.start(), 2, m.end()))
         else:
             start = last - len(cue) + 1
             if (start == 0 or not text[start - 1].isalnum()) and last + 1 >= cover[5]:
-                m = _VALUE.match(text, last + 1)
+                m = account(text, cue, last + 1)
                 if m:
-                    cover[5] = m.end(1)
-                    out.append((m.start(1), 5, m.end(1)))
-    if _DIGIT.search(text):
-        for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):
-                out.append((m.start(), 1, m.end()))
-        for m in _CARD.finditer(text):
-            if m.end() - m.start() >= 12:
-                digits = m[0].replace(" ", "").replace("-", "")
-                if 12 <= len(digits) <= 19 and luhn(digits):
-                    out.append((m.start(), 2, m.end()))
+                    cover[5] = m[1]
+                    out.append((m[0], 5, m[1]))
     return sorted(out)
 
 

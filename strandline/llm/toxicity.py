@@ -2,7 +2,8 @@
 
 A word that holds digits or symbols among its letters, letters repeated three times or more, or letters spaced out one
 by one is read as a lattice: each character stands for itself, for a letter that it resembles, or (separators and
-repeats) for nothing, at the channel's cost. Viterbi picks the letters that are likeliest under a character trigram
+repeats) for nothing, at the channel's cost. Letters beyond a to z stay as they are, and digits and separators where
+that is likelier: 3rd, well-known and l'état are read as written. Viterbi picks the letters that are likeliest under a character trigram
 model counted over every text of the table. Words that need no restoring are a lattice of one path and stay.
 The restored text is scored by logistic regression on the presence of hashed words and word beginnings.
 
@@ -27,7 +28,7 @@ BITS = 20
 #: Letters that a character may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 SEPARATORS = " .-_*~'"
-LOOK_COST, REPEAT_COST, SEPARATOR_COST, GAP_COST, OTHER_COST = 0.7, 0.4, 0.3, 1.0, 6.0
+LOOK_COST, REPEAT_COST, SEPARATOR_COST, INNER_COST, GAP_COST, OWN_COST = 0.7, 0.4, 0.3, 3.0, 1.0, 1.0
 #: Words longer than this are no words of a language; they are restored in parts of this length.
 LONGEST = 64
 
@@ -87,34 +88,39 @@ class Decoder:
             self.known[word] = found
         return found
 
+    @staticmethod
+    def options(word: str, k: int) -> list[tuple[int, float, str]]:
+        """What the character at k may stand for: the model's symbol (0: no letter of it, -1: nothing), cost, output."""
+        ch = word[k]
+        code = ord(ch) - 96
+        again = [(-1, REPEAT_COST, "")] if k and word[k - 1] == ch else []
+        if 1 <= code <= 26:
+            return [(code, 0.0, ch), *again]
+        looks = [(ord(x) - 96, LOOK_COST, x) for x in LOOKS.get(ch, "")]
+        if ch in SEPARATORS:  # it parts words, or letters of one
+            alone = ch != "'" and (k < 2 or word[k - 2] in SEPARATORS or k + 2 >= len(word) or word[k + 2] in SEPARATORS)  # beside a single letter
+            return [*looks, *again, (-1, SEPARATOR_COST if alone else INNER_COST, ""), (0, GAP_COST, ch)]
+        return [*looks, *again, (0, OWN_COST if looks else 0.0, ch)]  # other letters and signs stay
+
+    def step(self, a: int, b: int, c: int) -> float:
+        """The model's cost of c after a and b; what is no letter costs nothing more after its like."""
+        return 0.0 if b == c == 0 else self.cost[a][b][c]
+
     def _viterbi(self, word: str) -> str:
-        cost = self.cost
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for k, ch in enumerate(word):
-            options: list[tuple[int, float]] = []
-            code = ord(ch) - 96
-            if 1 <= code <= 26:
-                options.append((code, 0.0))
-                if k and word[k - 1] == ch:
-                    options.append((-1, REPEAT_COST))
-            else:
-                options += [(ord(x) - 96, LOOK_COST) for x in LOOKS.get(ch, "")]
-                if k and word[k - 1] == ch:
-                    options.append((-1, REPEAT_COST))
-                options.append((-1, SEPARATOR_COST if ch in SEPARATORS else OTHER_COST))
-                if ch == " ":  # among spaced letters one may still part words
-                    options.append((0, GAP_COST))
+        for k in range(len(word)):
+            options = self.options(word, k)
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (total, out) in states.items():
-                for c, channel in options:
+                for c, channel, said in options:
                     if c < 0:
                         key, value = (a, b), (total + channel, out)
                     else:
-                        key, value = (b, c), (total + channel + cost[a][b][c], out + (chr(c + 96) if c else " "))
+                        key, value = (b, c), (total + channel + self.step(a, b, c), out + said)
                     if key not in new or value < new[key]:
                         new[key] = value
             states = new
-        return min((total + cost[a][b][0], out) for (a, b), (total, out) in states.items())[1]
+        return min((total + self.step(a, b, 0), out) for (a, b), (total, out) in states.items())[1]
 
 
 def suspects(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:

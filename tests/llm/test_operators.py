@@ -227,3 +227,30 @@ def test_ftrl_learns_a_rule():
     rows = [(np.array([k % 7, 10 + k % 3]), np.ones(2), int(k % 7 < 3)) for k in r.integers(0, 1000, 400)]
     w, bias = ftrl.Ftrl(bits=6).fit(rows)
     assert all((w[i] @ x + bias > 0) == y for i, x, y in rows)
+
+
+def test_clean_words_stay_and_paths_are_the_best(spark):
+    """The lattice's every path on short words; and words of four languages that aren't disguised."""
+    clean = "peut-être l'état well-known mother-in-law 3rd ciónasarrr schön größe don't año 21st übermäßig naïve".split()
+    words = clean + "the state well known mother in law idiot third stupid peut etre schon grosse garçon".split()
+    df = spark.createDataFrame([(k, " ".join(words[k % 7 :] + words)) for k in range(40)], "doc_id long, text string")
+    cost = toxicity.language(toxicity.trigrams(df))
+    d = toxicity.Decoder(cost)
+    assert {w: d.restore(w) for w in clean if w != "ciónasarrr"} == {w: w for w in clean if w != "ciónasarrr"}
+    assert [d.restore(w) for w in ("1d10t", "i.d.i.o.t", "st00pid", "idiiiot", "i d i o t")][::4] == ["idiot", "idiot"]
+    for word in ("1d10t", "l'é4", "a--b", "3rd", "id!0t"):
+        found = []
+
+        def walk(k, a, b, total, out):
+            if k == len(word):
+                found.append((total + d.step(a, b, 0), out))
+                return
+            for c, channel, said in d.options(word, k):
+                if c < 0:
+                    walk(k + 1, a, b, total + channel, out)
+                else:
+                    walk(k + 1, b, c, total + channel + d.step(a, b, c), out + said)
+
+        walk(0, 0, 0, 0.0, "")
+        best = min(found)
+        assert abs(min(t for t, o in found if o == d.restore(word)) - best[0]) < 1e-9
