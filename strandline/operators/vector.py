@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,33 +28,74 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Queries that are broadcast at a time; a larger query set goes against the index in blocks of this size.
 QUERY_BLOCK = 10_000
+#: Cosines that are held at once, in doubles.
+CELLS = 1 << 22
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_vector: str = "query_vec") -> DataFrame:
     """The k nearest rows of the index for each query, by cosine, ties by id: query_id, id, score, rank.
 
-    The index streams past blocks of queries; each task keeps k rows a query, so k rows a query and task are moved."""
-    scored = _scored(index, queries, [id_col], vector, query_vector)
+    The index streams once past blocks of queries as matrix products; of each batch the k best rows a query are kept (and
+    their ties), so few rows are moved. Null and zero vectors, and ones with null or NaN components, are in no result."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _best(index, queries, k, [id_col], vector, query_vector).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scored(index: DataFrame, queries: DataFrame, keep: list[str], vector: str, query_vector: str) -> DataFrame:
-    """The stated query set against all rows, in blocks of a checked size."""
+def _best(index: DataFrame, queries: DataFrame, k: int, keep: list[str], vector: str, query_vector: str, group: str | None = None) -> DataFrame:
+    """The stated query set against all rows, in blocks of a checked size: query_id, what is kept of the row, score."""
     q = queries.select("query_id", query_vector)
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    kind = T.StructType([q.schema["query_id"], *(index.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
     out = None
     for b in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        s = index.select(*keep, vector).crossJoin(F.broadcast(part))
-        s = s.select("query_id", *keep, cosine(F.col(vector), F.col(query_vector)).alias("score")).where("score is not null")
+        s = index.select(*keep, vector).mapInArrow(_product(part.toArrow(), k, keep, group), kind)
         out = s if out is None else out.unionByName(s)
     return out
 
 
+def _product(queries: pa.Table, k: int, keep: list[str], group: str | None):
+    def units(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Places and unit vectors of a list column, by length."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        size = np.array(column.value_lengths().fill_null(0))
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
+        start, found = np.cumsum(size) - size, {}
+        for d in np.unique(size[size > 0]).tolist():
+            at = np.flatnonzero(size == d)
+            x = flat[start[at][:, None] + np.arange(d)]
+            length = np.sqrt((x * x).sum(1))
+            fine = length > 0
+            found[d] = at[fine], x[fine] / length[fine, None]
+        return found
+
+    asked, ids = units(queries.column(1)), queries.column(0).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups = np.array(b.column(group).to_pylist(), object) if group else None
+            for d, (at, x) in units(b.column(len(keep))).items():
+                if d not in asked or not len(at):
+                    continue
+                qi, q = asked[d]
+                sets = [np.arange(len(at))] if group is None else [np.flatnonzero(groups[at] == g) if g is not None else np.flatnonzero([v is None for v in groups[at]]) for g in dict.fromkeys(groups[at].tolist())]
+                for mine in sets:
+                    step = max(1, CELLS // len(mine))
+                    for lo in range(0, len(qi), step):
+                        cos = q[lo : lo + step] @ x[mine].T
+                        if k < len(mine):
+                            r, c = np.nonzero(cos >= np.partition(cos, len(mine) - k, axis=1)[:, len(mine) - k][:, None])
+                        else:
+                            r, c = (z.reshape(-1) for z in np.indices(cos.shape))
+                        rows = b.take(pa.array(at[mine[c]]))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(qi[lo + r])), *(rows.column(z) for z in range(len(keep))), pa.array(cos[r, c])], ["query_id", *keep, "score"])
+
+    return run
+
+
 def top_k_per(index: DataFrame, queries: DataFrame, group: str, k: int, id_col: str = "vec_id", vector: str = "embedding", query_vector: str = "query_vec") -> DataFrame:
     """The k nearest rows of each group for each query."""
-    s = _scored(index, queries, [id_col, group], vector, query_vector)
+    s = _best(index, queries, k, [id_col, group], vector, query_vector, group)
     w = Window.partitionBy("query_id", group).orderBy(F.desc("score"), id_col)
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
