@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import dataset_queries, feature_queries, graph_queries, registry, search_queries, session_queries, source_queries, vector_queries  # noqa: F401  importing a module registers its queries
+from strandline.plans import dataset_queries, feature_queries, graph_queries, lookup_queries, registry, search_queries, session_queries, source_queries, vector_queries  # noqa: F401  importing a module registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
