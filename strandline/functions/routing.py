@@ -15,9 +15,9 @@ GRAPH_FLOOR, GRAPH_CONFIDENCE = 0.16, 0.55
 UNRESOLVED = ("no_history", "irrelevant_history", "conflicting_history")
 NUMBERS = (
     "legal_reference_count", "graph_keyword_count", "law_specificity", "authority_chain_count", "legal_effect_count", "procedural_count", "multi_entity_relation_count",
-    "entity_count", "complexity_level", "sub_question_count", "conditional_depth", "is_factoid_question", "has_comparison", "mh", "amb", "c1", "c2", "s2_sub_questions",
+    "entity_count", "complexity_level", "sub_question_count", "conditional_depth", "is_factoid_question", "has_comparison", "ambiguity_score", "mh", "amb", "c1", "c2", "s2_sub_questions",
 )
-FLAGS = ("ctxref", "xdoc", "has_pronoun", "missing_entity", "multi_interpretation", "incomplete_context", "vague_reference", "is_ambiguous", "has_referent", "ablation")
+FLAGS = ("ctxref", "xdoc", "has_pronoun", "missing_entity", "multi_interpretation", "incomplete_context", "vague_reference", "is_ambiguous", "has_referent", "ablation", "s2_missing_entity", "s2_pronoun", "s2_multi", "s2_incomplete", "s2_asks")
 
 
 def defaults(df: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def defaults(df: DataFrame) -> DataFrame:
         df = df.withColumn(n, F.coalesce(F.col(n), F.lit(0)) if n in df.columns else F.lit(0))
     for n in FLAGS:
         df = df.withColumn(n, F.coalesce(F.col(n), F.lit(False)) if n in df.columns else F.lit(False))
-    for n, v in (("hist", "not_needed"), ("s1", "dense_retrieval"), ("s2", "dense_retrieval")):
+    for n, v in (("hist", "not_needed"), ("s1", "dense_retrieval"), ("s2", "dense_retrieval"), ("s2_complexity", "")):
         df = df.withColumn(n, F.coalesce(F.col(n), F.lit(v)) if n in df.columns else F.lit(v))
     return df
 
@@ -54,7 +54,7 @@ def rule_route(query: Column) -> Column:
     pick = lambda route, sure, why: F.struct(F.lit(route).alias("route"), F.lit(sure).alias("confidence"), F.lit(why).alias("reason"))
     return (
         F.when(F.rlike(query, F.lit(GREETING)), pick("chitchat", 1.0, "greeting"))
-        .when((F.col("amb") >= AMBIGUOUS) | F.col("has_pronoun"), pick("clarify", 0.7, "ambiguous"))
+        .when((F.col("ambiguity_score") >= AMBIGUOUS) | F.col("has_pronoun"), pick("clarify", 0.7, "ambiguous"))
         .when(F.col("xdoc"), pick("hybrid_reasoning", 0.65, "cross_document"))
         .when(graph, pick("graph_traversal", 0.6, "multi_hop"))
         .otherwise(pick("dense_retrieval", 0.65, "default"))
@@ -66,10 +66,10 @@ def graph_priority(route: Column, confidence: Column, p_graph: Column) -> Column
     return F.struct(F.when(on, "graph_traversal").otherwise(route).alias("route"), F.when(on, F.greatest(p_graph, F.lit(GRAPH_CONFIDENCE))).otherwise(confidence).alias("confidence"))
 
 
-def _cascade(*rules: tuple[Column, object, str]) -> Column:
+def _cascade(*rules: tuple[Column, object, object]) -> Column:
     out = None
     for cond, allow, why in rules:
-        v = F.struct((allow if isinstance(allow, Column) else F.lit(allow)).alias("allow"), F.lit(why).alias("reason"))
+        v = F.struct((allow if isinstance(allow, Column) else F.lit(allow)).alias("allow"), (why if isinstance(why, Column) else F.lit(why)).alias("reason"))
         out = F.when(cond, v) if out is None else out.when(cond, v)
     return out
 
@@ -84,10 +84,12 @@ def ambiguity_override() -> Column:
         (amb < 0.8, False, "below_override_threshold"),
         (resolved, False, "history_resolved"),
         (s["relation_heavy"] & ~F.col("ctxref"), False, "relation_heavy"),
-        (unres & F.col("ctxref"), True, "override_to_clarify_history"),
+        (unres & F.col("ctxref"), True, F.concat(F.lit("override_to_clarify_"), hist)),
         ((F.col("missing_entity") | F.col("multi_interpretation") | F.col("incomplete_context")) & (amb >= AMBIGUOUS), True, "override_to_clarify_semantic"),
-        (F.col("s1").isin("graph_traversal", "hybrid_reasoning"), strong, "reasoning_route"),
-        (F.col("s1") == "dense_retrieval", strong & (F.col("c1") <= 0.65), "dense_route"),
+        (F.col("s1").isin("graph_traversal", "hybrid_reasoning") & strong, True, "reasoning_route_sure_pronoun"),
+        (F.col("s1").isin("graph_traversal", "hybrid_reasoning"), False, "reasoning_route_protected"),
+        ((F.col("s1") == "dense_retrieval") & strong & (F.col("c1") <= 0.65), True, "dense_route_unsure"),
+        (F.col("s1") == "dense_retrieval", False, "dense_route_protected"),
         (F.lit(True), False, "default_deny"),
     )
     return base
@@ -112,19 +114,19 @@ def stage2_override() -> Column:
     """May the second stage's route replace the first's? Evaluated where they differ; allow, reason; denies by default."""
     s, amb, hist = signals(), F.col("amb"), F.col("hist")
     s1, s2, c2, ctx = F.col("s1"), F.col("s2"), F.col("c2"), F.col("ctxref")
-    resolved, unres = hist == "resolved", hist.isin(*UNRESOLVED, "unresolved")
-    severe = F.col("missing_entity") | F.col("multi_interpretation") | F.col("incomplete_context") | F.col("has_pronoun") | F.col("vague_reference")
+    resolved, unres = (hist == "resolved") & F.col("has_referent"), hist.isin(*UNRESOLVED, "unresolved")
+    severe = F.col("missing_entity") | F.col("multi_interpretation") | F.col("incomplete_context") | F.col("has_pronoun")
     strong = (_c("auth") >= 1) | (_c("eff") >= 1) | (_c("proc") >= 1) | (_c("rel") >= 1) | (_c("kw") >= 2) | (F.col("mh") >= FORCE) | (F.col("s2_sub_questions") >= 2)
     wide, ask = F.col("xdoc") | (_c("ref") >= 2) | (_c("lvl") >= 3), s2 == "clarify"
     dense, graph, hybrid = "dense_retrieval", "graph_traversal", "hybrid_reasoning"
     nothing = (s1 == dense) & (_c("ref") == 0) & (_c("spec") == 0) & (_c("ent") == 0) & (F.col("missing_entity") | F.col("multi_interpretation"))
     return _cascade(
-        ((s1 == "clarify") & resolved & F.col("has_referent") & ~ask & (c2 >= 0.80), True, "resolved_history"),
+        ((s1 == "clarify") & resolved & ~ask & (c2 >= 0.80), True, "resolved_history"),
         (~ask & (s2 == s1) & (c2 >= 0.82) & (~ctx | resolved | s["answerable"]), True, "confirms_first_stage"),
         (s1.isin(graph, hybrid) & (s2 == s1) & (c2 >= 0.80) & ~ctx, True, "confirms_reasoning_route"),
         ((s1 == "clarify") & ~ask & (c2 >= 0.82) & (~ctx | s["answerable"]) & (s["relation_heavy"] | s["answerable"]), True, "answerable_after_all"),
         ((s1 == "clarify") & (s2 == dense) & (c2 >= 0.82) & ~severe & ~ctx, True, "simple_after_all"),
-        (ask & resolved & ~(F.col("missing_entity") | F.col("multi_interpretation")), False, "clarify_blocked_by_resolved_history"),
+        (ask & resolved & ~(F.col("s2_missing_entity") | F.col("s2_multi") | F.col("s2_incomplete")), False, "clarify_blocked_by_resolved_history"),
         (ask & (c2 < 0.8), False, "clarify_below_confidence"),
         (ask & (hist == "conflicting_history"), True, "clarify_conflicting_history"),
         (ask & unres & ctx, True, "clarify_unresolved_reference"),
@@ -144,15 +146,52 @@ def stage2_override() -> Column:
 
 
 def guardrail() -> Column:
-    """What the second stage's own answer is held to: the route and confidence after blocked changes."""
-    s1, s2, c2, flag = F.col("s1"), F.col("s2"), F.col("c2"), F.col("missing_entity") | F.col("has_pronoun") | F.col("multi_interpretation") | F.col("vague_reference")
-    dense, graph, hybrid = "dense_retrieval", "graph_traversal", "hybrid_reasoning"
-    blocked = (
-        ((s1 == dense) & (s2 == graph) & ~((c2 >= 0.80) & ((F.col("s2_sub_questions") >= 2) | (F.col("complexity_level") >= 2))))
-        | ((s1 == graph) & (s2 == dense) & ~((c2 >= 0.85) & ~flag)) | ((s1 == hybrid) & (s2 == graph) & ~((c2 >= 0.88) & ~flag))
-        | ((s1 == hybrid) & (s2 == "clarify") & ~((c2 >= 0.90) & (F.col("missing_entity") | F.col("has_pronoun") | F.col("multi_interpretation"))))
+    """What the second stage's own answer is held to: route, whether it was blocked, and why. Its flags, complexity and
+    questions are the second stage's (s2_...), not the features'."""
+    s1, s2, c2, flag = F.col("s1"), F.col("s2"), F.col("c2"), F.col("s2_missing_entity") | F.col("s2_pronoun") | F.col("s2_multi") | F.col("s2_incomplete")
+    dense, graph, hybrid, ask = "dense_retrieval", "graph_traversal", "hybrid_reasoning", "clarify"
+    more = (F.col("s2_sub_questions") >= 2) | F.lower(F.trim("s2_complexity")).isin("complex", "moderate")
+    rules = (
+        ((s2 == ask) & ~F.col("s2_asks"), "clarify_without_question"),
+        ((s1 == dense) & (s2 == graph) & ~((c2 >= 0.80) & more), "blocked_dense_to_graph_without_strong_multi_evidence"),
+        ((s1 == graph) & (s2 == dense) & ~((c2 >= 0.85) & ~flag), "blocked_graph_to_dense_without_high_confidence_and_clean_ambiguity"),
+        ((s1 == hybrid) & (s2 == graph) & ~((c2 >= 0.88) & ~flag), "blocked_hybrid_to_graph_without_high_confidence"),
+        ((s1 == hybrid) & (s2 == ask) & ~((c2 >= 0.90) & (F.col("s2_missing_entity") | F.col("s2_pronoun") | F.col("s2_multi"))), "blocked_hybrid_to_clarify_without_severe_ambiguity"),
     )
-    return F.struct(F.when(blocked, s1).otherwise(s2).alias("route"), F.when(blocked, F.col("c1")).otherwise(c2).alias("confidence"), blocked.alias("blocked"))
+    why = None
+    for cond, reason in rules:
+        why = F.when(cond, reason) if why is None else why.when(cond, reason)
+    return F.struct(F.when(why.isNotNull(), s1).otherwise(s2).alias("route"), why.isNotNull().alias("blocked"), why.alias("reason"))
+
+
+def factoid_rescue(route: Column, confidence: Column) -> Column:
+    """A reasoning route of the first stage for a plain factoid goes back to dense retrieval: route, confidence."""
+    plain = route.isin("graph_traversal", "hybrid_reasoning") & (F.col("is_factoid_question") > 0) & (_c("lvl") == 1) & (_c("cond") == 0) & (_c("auth") == 0)
+    return F.struct(F.when(plain, "dense_retrieval").otherwise(route).alias("route"), F.when(plain, 0.99).otherwise(confidence).alias("confidence"))
+
+
+def parse_fallback(parsed: Column) -> Column:
+    """The second stage where its answer couldn't be parsed: the first stage's route at nine tenths of its confidence."""
+    bad = ~F.coalesce(parsed, F.lit(False))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c1") * 0.9))
+    return F.struct(F.when(bad, F.col("s1")).otherwise(F.col("s2")).alias("route"), F.when(bad, sure).otherwise(F.col("c2")).alias("confidence"), bad.alias("fell_back"))
+
+
+def clarify_sanity(route: Column, referent: Column, needs_clarifying: Column) -> Column:
+    """After the stages agree on a clarification: not where history named the referent and nothing else is open, and not
+    where a first-stage route stands and the query holds what it takes. route, reason (null: as it was)."""
+    named = (route == "clarify") & (F.col("hist") == "resolved") & ~needs_clarifying
+    alone = (route == "clarify") & (F.col("s1") != "clarify") & (F.col("hist") == "no_history") & F.col("ctxref") & signals()["answerable"]
+    why = F.when(named, "resolved_history_blocks_unnecessary_clarify").when(alone, "self_contained_query_blocks_unnecessary_clarify")
+    return F.struct(F.when(named, resolved_route(referent)).when(alone, F.col("s1")).otherwise(route).alias("route"), why.alias("reason"))
+
+
+def dispatch(route: Column, vector_informs: Column, graph_informs: Column, kg_source: Column) -> Column:
+    """The pipeline that answers: dense retrieval falls back to the graph where its answer says nothing and the graph's
+    does; an unknown route is dense retrieval."""
+    dense = F.when(~vector_informs & graph_informs, "dense_retrieval->graph_traversal").otherwise("dense_retrieval")
+    hybrid = F.when(F.coalesce(kg_source, F.lit("")) != "", F.concat(F.lit("hybrid_reasoning:"), kg_source)).otherwise("hybrid_reasoning")
+    return F.when(route == "dense_retrieval", dense).when(route == "hybrid_reasoning", hybrid).when(route.isin("graph_traversal", "clarify", "chitchat"), route).otherwise("dense_retrieval")
 
 
 def resolved_route(referent: Column) -> Column:

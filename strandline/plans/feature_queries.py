@@ -103,7 +103,7 @@ def _grid(spark):
     """Every combination of a few values of the rules' inputs: a fixed set of 9,216 rows."""
     arrays = [F.explode(F.array(*[F.lit(v) for v in vs])).alias(n) for n, vs in _GRID]
     df = reduce(lambda d, a: d.select("*", a), arrays, spark.range(1))
-    df = df.withColumns({"legal_reference_count": F.col("ref"), "graph_keyword_count": F.col("kw"), "ctxref": F.col("ctx"), "missing_entity": F.col("mis"), "has_pronoun": F.col("mis"), "has_referent": F.col("hist") == "resolved"})
+    df = df.withColumns({"legal_reference_count": F.col("ref"), "graph_keyword_count": F.col("kw"), "ctxref": F.col("ctx"), "missing_entity": F.col("mis"), "has_pronoun": F.col("mis"), "s2_missing_entity": F.col("mis"), "has_referent": F.col("hist") == "resolved"})
     return routing.defaults(df.withColumn("c1", F.lit(0.6)).withColumn("is_ambiguous", F.col("amb") >= 0.6).drop("id"))
 
 
@@ -140,7 +140,7 @@ def override_policy(spark, sf_dir):
 @query(
     "ambiguity_override",
     f"""WITH {_SIG} SELECT {', '.join(_KEYS)}, CASE WHEN amb < 0.8 THEN 'below_override_threshold' WHEN hist = 'resolved' THEN 'history_resolved' WHEN heavy AND NOT ctx THEN 'relation_heavy'
-WHEN unres AND ctx THEN 'override_to_clarify_history' WHEN mis THEN 'override_to_clarify_semantic' WHEN s1 IN ('graph_traversal', 'hybrid_reasoning') THEN 'reasoning_route' WHEN s1 = 'dense_retrieval' THEN 'dense_route' ELSE 'default_deny' END AS reason FROM g""",
+WHEN unres AND ctx THEN 'override_to_clarify_' || hist WHEN mis THEN 'override_to_clarify_semantic' WHEN s1 IN ('graph_traversal', 'hybrid_reasoning') THEN 'reasoning_route_protected' WHEN s1 = 'dense_retrieval' THEN 'dense_route_protected' ELSE 'default_deny' END AS reason FROM g""",
 )
 def ambiguity_override(spark, sf_dir):
     return _grid(spark).select(*_KEYS, routing.ambiguity_override()["reason"].alias("reason"))
@@ -155,18 +155,78 @@ def stage2_trigger(spark, sf_dir):
     return _grid(spark).select(*_KEYS, F.array_join(routing.stage2_trigger()["reasons"], ",").alias("reasons"))
 
 
+_ROUTES = ("dense_retrieval", "graph_traversal", "hybrid_reasoning", "clarify")
+_RULES = [("s1", _ROUTES), ("s2", _ROUTES), ("c2", (0.79, 0.82, 0.86, 0.89, 0.93)), ("asks", (False, True)), ("flag", ("none", "entity", "pronoun", "several", "context")), ("level", ("simple", " Moderate ", "complex", "")), ("subs", (0, 2))]
+
+
+def _rules(spark):
+    df = reduce(lambda d, a: d.select("*", a), [F.explode(F.array(*[F.lit(v) for v in vs])).alias(n) for n, vs in _RULES], spark.range(1))
+    flags = {"s2_missing_entity": "entity", "s2_pronoun": "pronoun", "s2_multi": "several", "s2_incomplete": "context"}
+    return routing.defaults(df.withColumns({c: F.col("flag") == v for c, v in flags.items()} | {"s2_asks": F.col("asks"), "s2_complexity": F.col("level"), "s2_sub_questions": F.col("subs")}))
+
+
+_RULE_ROWS = " CROSS JOIN ".join(f"(SELECT unnest([{', '.join(repr(v) if isinstance(v, str) else str(v) for v in vs)}]) AS {n})" for n, vs in _RULES)
+
+
 @query(
     "stage2_guardrail",
-    f"""WITH {_SIG} SELECT {', '.join(_KEYS)}, CASE WHEN (s1 = 'dense_retrieval' AND s2 = 'graph_traversal') OR (s1 = 'graph_traversal' AND s2 = 'dense_retrieval' AND NOT (c2 >= 0.85 AND NOT mis))
-OR (s1 = 'hybrid_reasoning' AND s2 = 'graph_traversal' AND NOT (c2 >= 0.88 AND NOT mis)) OR (s1 = 'hybrid_reasoning' AND s2 = 'clarify' AND NOT (c2 >= 0.90 AND mis)) THEN s1 ELSE s2 END AS route FROM g""",
+    f"""WITH r AS (SELECT *, CASE
+WHEN s2 = 'clarify' AND NOT asks THEN 'clarify_without_question'
+WHEN s1 = 'dense_retrieval' AND s2 = 'graph_traversal' AND (c2 < 0.80 OR (subs < 2 AND level NOT IN (' Moderate ', 'complex'))) THEN 'blocked_dense_to_graph_without_strong_multi_evidence'
+WHEN s1 = 'graph_traversal' AND s2 = 'dense_retrieval' AND (c2 < 0.85 OR flag <> 'none') THEN 'blocked_graph_to_dense_without_high_confidence_and_clean_ambiguity'
+WHEN s1 = 'hybrid_reasoning' AND s2 = 'graph_traversal' AND (c2 < 0.88 OR flag <> 'none') THEN 'blocked_hybrid_to_graph_without_high_confidence'
+WHEN s1 = 'hybrid_reasoning' AND s2 = 'clarify' AND (c2 < 0.90 OR flag IN ('none', 'context')) THEN 'blocked_hybrid_to_clarify_without_severe_ambiguity' END AS reason FROM {_RULE_ROWS})
+SELECT s1, s2, c2, asks, flag, level, subs, reason IS NOT NULL AS blocked, reason, CASE WHEN reason IS NULL THEN s2 ELSE s1 END AS route FROM r""",
 )
 def stage2_guardrail(spark, sf_dir):
-    return _grid(spark).select(*_KEYS, routing.guardrail()["route"].alias("route"))
+    return _rules(spark).withColumn("g", routing.guardrail()).select("s1", "s2", "c2", "asks", "flag", "level", "subs", "g.blocked", "g.reason", "g.route")
+
+
+@query(
+    "factoid_rescue",
+    """WITH x AS (SELECT o_orderkey AS id, ['dense_retrieval', 'graph_traversal', 'hybrid_reasoning', 'clarify'][o_custkey % 4 + 1] AS r, o_orderkey % 2 = 0 AS f, o_orderkey % 3 + 1 AS lvl, o_custkey % 2 AS cond, o_orderkey % 5 // 4 AS auth FROM orders)
+SELECT id, CASE WHEN r IN ('graph_traversal', 'hybrid_reasoning') AND f AND lvl = 1 AND cond = 0 AND auth = 0 THEN 'dense_retrieval' ELSE r END AS route,
+CASE WHEN r IN ('graph_traversal', 'hybrid_reasoning') AND f AND lvl = 1 AND cond = 0 AND auth = 0 THEN 0.99::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM x""",
+)
+def factoid_rescue(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("id"), F.array(*(F.lit(r) for r in _ROUTES))[(c % 4).cast("int")].alias("r"), (k % 2 == 0).cast("int").alias("is_factoid_question"), (k % 3 + 1).alias("complexity_level"), (c % 2).alias("conditional_depth"), F.floor(k % 5 / 4).alias("authority_chain_count"))
+    return routing.defaults(o).withColumn("x", routing.factoid_rescue(F.col("r"), F.lit(0.5))).select("id", "x.route", "x.confidence")
+
+
+@query(
+    "parse_fallback",
+    f"""SELECT s1, s2, c2, asks, flag, level, subs, CASE WHEN asks THEN s2 ELSE s1 END AS route, round(CASE WHEN asks THEN c2::DOUBLE ELSE 0.63 END, 6) AS confidence, NOT asks AS fell_back FROM {_RULE_ROWS}""",
+)
+def parse_fallback(spark, sf_dir):
+    x = _rules(spark).withColumn("c1", F.lit(0.7)).withColumn("x", routing.parse_fallback(F.col("asks")))
+    return x.select("s1", "s2", "c2", "asks", "flag", "level", "subs", "x.route", F.round("x.confidence", 6).alias("confidence"), "x.fell_back")
+
+
+@query(
+    "route_dispatch",
+    """WITH x AS (SELECT o_orderkey AS id, ['dense_retrieval', 'graph_traversal', 'hybrid_reasoning', 'clarify', 'other'][o_custkey % 5 + 1] AS r, o_orderkey % 2 = 0 AS v, o_orderkey % 3 = 0 AS g, CASE WHEN o_orderkey % 4 > 1 THEN o_orderstatus END AS k FROM orders)
+SELECT id, CASE r WHEN 'dense_retrieval' THEN CASE WHEN NOT v AND g THEN 'dense_retrieval->graph_traversal' ELSE r END WHEN 'hybrid_reasoning' THEN CASE WHEN k IS NULL THEN r ELSE r || ':' || k END WHEN 'other' THEN 'dense_retrieval' ELSE r END AS pipeline FROM x""",
+)
+def route_dispatch(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("r", F.array(*(F.lit(r) for r in (*_ROUTES, "other")))[(F.col("o_custkey") % 5).cast("int")])
+    return o.select(k.alias("id"), routing.dispatch(F.col("r"), k % 2 == 0, k % 3 == 0, F.when(k % 4 > 1, F.col("o_orderstatus"))).alias("pipeline"))
+
+
+@query(
+    "clarify_sanity",
+    f"""WITH {_SIG} SELECT {', '.join(_KEYS)}, CASE WHEN s2 = 'clarify' AND hist = 'resolved' AND NOT mis THEN 'resolved_history_blocks_unnecessary_clarify' WHEN s2 = 'clarify' AND s1 <> 'clarify' AND hist = 'no_history' AND ctx AND answerable THEN 'self_contained_query_blocks_unnecessary_clarify' END AS reason,
+CASE WHEN s2 = 'clarify' AND hist = 'resolved' AND NOT mis THEN CASE WHEN heavy AND ref >= 2 THEN 'hybrid_reasoning' WHEN heavy THEN 'graph_traversal' WHEN ctx THEN 'graph_traversal' ELSE 'dense_retrieval' END WHEN s2 = 'clarify' AND s1 <> 'clarify' AND hist = 'no_history' AND ctx AND answerable THEN s1 ELSE s2 END AS route FROM g""",
+)
+def clarify_sanity(spark, sf_dir):
+    x = _grid(spark).withColumn("x", routing.clarify_sanity(F.col("s2"), F.lit("Nghị định 1"), F.col("mis")))
+    return x.select(*_KEYS, "x.reason", "x.route")
 
 
 @query(
     "routing_fallback",
-    f"""WITH f AS ({_LEX}) SELECT doc_id, CASE WHEN cross_doc_signal_count >= 2 THEN 'hybrid_reasoning' WHEN (graph_keyword_count + has_multi_hop_connector) / 3.0::DOUBLE > 0.5 OR has_comparison > 0 OR legal_reference_count > 1 OR graph_keyword_count > 1 THEN 'graph_traversal' ELSE 'dense_retrieval' END AS route FROM f""",
+    f"""WITH f AS ({_LEX}) SELECT doc_id, CASE WHEN ambiguity_score >= 1 THEN 'clarify' WHEN cross_doc_signal_count >= 2 THEN 'hybrid_reasoning' WHEN (graph_keyword_count + has_multi_hop_connector) / 3.0::DOUBLE > 0.5 OR has_comparison > 0 OR legal_reference_count > 1 OR graph_keyword_count > 1 THEN 'graph_traversal' ELSE 'dense_retrieval' END AS route FROM f""",
 )
 def routing_fallback(spark, sf_dir):
     f = table(spark, sf_dir, "documents").select("doc_id", "text", *[c.alias(n) for n, c in features.lexical(F.col("text"), BANK).items()])
