@@ -45,7 +45,7 @@ def _count(p):
 _B = r"\b"
 _CPLX = rf"""WITH c AS (SELECT doc_id, t, {_count(P.EN.sub_question)} AS sq, {_count(P.EN.article)} AS art, {_count(P.EN.law_name)} AS laws, {_count(P.EN.conditional)} AS cond, {_count(P.EN.multi_hop)} AS mhv,
 {_count(P.EN.comparative)} AS comp, {_count(P.EN.authority)} AS auth, {_count(P.EN.effect)} AS eff, {_count(P.EN.strong_effect)} AS strong, {_count(P.EN.procedural)} AS proc, {_count(P.EN.relation)} AS rel,
-regexp_matches(t, '(?i){P.EN.effective_date}') AS dated, greatest(len(list_filter(regexp_split_to_array(trim(t, E' \t\n\r\f\x0B'), '[\s\x0B]+'), lambda w: w <> '')), 1) AS tok FROM (SELECT doc_id, text AS t FROM documents WHERE lang = 'en'))
+regexp_matches(t, '(?i){P.EN.effective_date}') AS dated, greatest(len(list_filter(regexp_split_to_array(trim(t, E' \t\n\r\f\x0B'), '[\s\x0B]+'), lambda w: w <> '')), 1) AS tok FROM (SELECT doc_id, text AS t FROM documents))
 SELECT doc_id, CAST(CASE WHEN laws >= 2 OR mhv >= 2 OR strong >= 2 OR (cond >= 2 AND laws >= 1) OR (sq >= 3 AND art = 0) OR (rel >= 1 AND laws >= 2) THEN 3
 WHEN dated AND strong = 0 AND auth = 0 AND rel = 0 AND sq = 0 AND proc <= 1 THEN 1
 WHEN (art >= 2 AND sq >= 1) OR mhv >= 1 OR comp >= 1 OR (tok > 20 AND art >= 1 AND sq >= 1) OR (auth >= 1 AND (sq >= 1 OR tok > 16 OR art >= 1)) OR strong >= 1 OR (eff >= 1 AND (sq >= 1 OR cond >= 1 OR art >= 1)) OR proc >= 2
@@ -55,7 +55,7 @@ CAST(sq AS INTEGER) AS sub_question_count, CAST(cond AS INTEGER) AS conditional_
 
 @query("features_complexity", _CPLX)
 def features_complexity(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("query"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("query"))
     out = features.with_features(d, "query", BANK, P.EN)
     return out.select("doc_id", "complexity_level", "sub_question_count", "conditional_depth", "comparative_depth", "procedural_count", "multi_entity_relation_count")
 

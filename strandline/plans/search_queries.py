@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import search
-from strandline.plans.registry import ORACLES, query, table
+from strandline.plans.registry import query, table
 
 _T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
@@ -18,24 +18,14 @@ def like_or_search(spark, sf_dir):
 
 @query(
     "bm25_search",
-    rf"""WITH q AS (SELECT item_id AS query_id, list_distinct({_T}) AS ts FROM benchmark WHERE item_id < 10), qt AS (SELECT query_id, unnest(ts) AS term FROM q),
+    rf"""WITH q AS (SELECT item_id AS query_id, list_distinct({_T}) AS ts FROM benchmark), qt AS (SELECT query_id, unnest(ts) AS term FROM q),
 d AS (SELECT doc_id, {_T} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM d),
 tf AS (SELECT term, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT query_id, doc_id AS doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 9) AS score FROM tf JOIN qt USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s) SELECT query_id, doc, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
 )
 def bm25_search(spark, sf_dir):
-    return _bm25(spark, sf_dir, table(spark, sf_dir, "benchmark").where("item_id < 10"))
-
-
-@query("bm25_search_all", ORACLES["bm25_search"].replace(" WHERE item_id < 10", ""))
-def bm25_search_all(spark, sf_dir):
-    """Every benchmark row is a query; bm25_search keeps to the rows that its SQL has."""
-    return _bm25(spark, sf_dir, table(spark, sf_dir, "benchmark"))
-
-
-def _bm25(spark, sf_dir, items):
-    q = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.bm25(table(spark, sf_dir, "documents"), q, "doc_id", "text", 5).withColumn("score", F.round("score", 4))
 
 

@@ -24,11 +24,11 @@ def test_history_resolution_reads_every_turn(spark, tmp_path):
 def test_searches_start_from_every_row(spark, tmp_path):
     spark.createDataFrame([(i, f"word{i}") for i in range(25)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(i, f"word{i} other text") for i in range(30)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = catalogue.queries()["bm25_search_all"](spark, str(tmp_path)).collect()
+    got = catalogue.queries()["bm25_search"](spark, str(tmp_path)).collect()
     assert sorted((r.query_id, r.doc) for r in got) == [(i, i) for i in range(25)]
     spark.createDataFrame([(i, i % 2) for i in range(6)], "n_nationkey int, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
     spark.createDataFrame([(i, i % 6) for i in range(12)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
-    got = catalogue.queries()["path_expand_1_2_all"](spark, str(tmp_path)).collect()
+    got = catalogue.queries()["path_expand_1_2"](spark, str(tmp_path)).collect()
     want = [(f"n{i}", None, f"r{i % 2}") for i in range(6)] + [(f"n{c % 6}", None, f"c{c}") for c in range(12)]
     want += [(f"n{i}", f"r{i % 2}", f"n{j}") for i in range(6) for j in range(6) if i != j and i % 2 == j % 2]
     assert sorted(map(str, want)) == sorted(str((r.start, r.mid, r.fin)) for r in got)
