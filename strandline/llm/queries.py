@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import exact, mixing, vectorcodes
+from strandline.llm import exact, mixing, spelling, vectorcodes
 from strandline.llm.exact import op10_exact
 from strandline.llm.flatgraph import op9_flatgraph
 from strandline.llm.langid import op4_langid
@@ -11,6 +11,7 @@ from strandline.llm.minhash import op6_minhash
 from strandline.llm.pieces import op8_pieces
 from strandline.llm.pii import op3_pii
 from strandline.llm.quality import op1_quality
+from strandline.llm.spelling import op12_spelling
 from strandline.llm.suffix import op5_suffix
 from strandline.llm.toxicity import op2_toxicity
 from strandline.llm.vectorcodes import op11_codes
@@ -27,10 +28,12 @@ QUERIES = {
     "op9_flatgraph": op9_flatgraph,
     "op10_exact": op10_exact,
     "op11_codes": op11_codes,
+    "op12_spelling": op12_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.ORACLE,
     "op10_exact": exact.ORACLE,
     "op11_codes": vectorcodes.oracle(),
+    "op12_spelling": spelling.ORACLE,
 }
