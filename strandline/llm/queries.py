@@ -11,6 +11,7 @@ from strandline.llm.minhash import op6_minhash
 from strandline.llm.pieces import op8_pieces
 from strandline.llm.pii import op3_pii
 from strandline.llm.quality import op1_quality
+from strandline.llm.rules import op13_rules
 from strandline.llm.spelling import op12_spelling
 from strandline.llm.suffix import op5_suffix
 from strandline.llm.toxicity import op2_toxicity
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_exact": op10_exact,
     "op11_codes": op11_codes,
     "op12_spelling": op12_spelling,
+    "op13_rules": op13_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
