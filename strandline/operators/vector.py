@@ -26,8 +26,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-#: Queries that are broadcast at a time; a larger query set goes against the index in blocks of this size.
-QUERY_BLOCK = 10_000
+#: Query vectors up to so many bytes are broadcast and the index is read once; beyond, both sides meet in blocks.
+BROADCAST_BYTES = 64 << 20
+#: Rows of the index and queries of a block.
+VECTOR_BLOCK, QUERY_BLOCK = 20_000, 2_000
 #: Cosines that are held at once, in doubles.
 CELLS = 1 << 22
 
@@ -35,23 +37,40 @@ CELLS = 1 << 22
 def top_k(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_vector: str = "query_vec") -> DataFrame:
     """The k nearest rows of the index for each query, by cosine, ties by id: query_id, id, score, rank.
 
-    The index streams once past blocks of queries as matrix products; of each batch the k best rows a query are kept (and
-    their ties), so few rows are moved. Null and zero vectors, and ones with null or NaN components, are in no result."""
+    Rows and queries meet as matrix products; of each batch the k best rows a query are kept (and their ties), so few rows
+    are moved. Null and zero vectors, and ones with null or NaN components, are in no result."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return _best(index, queries, k, [id_col], vector, query_vector).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _best(index: DataFrame, queries: DataFrame, k: int, keep: list[str], vector: str, query_vector: str, group: str | None = None) -> DataFrame:
-    """The stated query set against all rows, in blocks of a checked size: query_id, what is kept of the row, score."""
+    """The stated query set against all rows: query_id, what is kept of the row, score."""
     q = queries.select("query_id", query_vector)
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    kind = T.StructType([q.schema["query_id"], *(index.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        s = index.select(*keep, vector).mapInArrow(_product(part.toArrow(), k, keep, group), kind)
-        out = s if out is None else out.unionByName(s)
-    return out
+    n = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(query_vector)), F.lit(0)).alias("size")).first()
+    if n["n"] * max(1, n["size"]) * 8 <= BROADCAST_BYTES:
+        kind = T.StructType([q.schema["query_id"], *(index.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+        asked = index.sparkSession.sparkContext.broadcast(q.toArrow())
+        return index.select(*keep, vector).mapInArrow(lambda batches: _product(asked.value, k, keep, group)(batches), kind)
+    return best_in_cells(index.withColumn("cell", F.lit(0)), q.withColumn("cell", F.lit(0)), k, keep, vector, query_vector, group)
+
+
+def best_in_cells(index: DataFrame, queries: DataFrame, k: int, keep: list[str], vector: str, query_vector: str, group: str | None = None) -> DataFrame:
+    """Rows of the index against the queries of their cell (both have `cell`, a bounded number of values). A cell's rows and
+    queries are dealt over blocks, each pair of which is one task's group, so neither a large cell nor a popular one gathers."""
+    kind = T.StructType([queries.schema["query_id"], *(index.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+    parts = lambda n, most: F.greatest(F.ceil(F.col(n) / most), F.lit(1)).cast("int")
+    sizes = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(queries.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell")
+    blocks = F.broadcast(sizes.select("cell", parts("n", VECTOR_BLOCK).alias("vs"), parts("m", QUERY_BLOCK).alias("qs")))  # a row a cell
+    turn = F.monotonically_increasing_id()
+    left = index.select("cell", *keep, vector).withColumn("_t", turn).join(blocks, "cell").withColumn("v", F.pmod("_t", "vs")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+    right = queries.select("cell", "query_id", query_vector).withColumn("_t", turn).join(blocks, "cell").withColumn("q", F.pmod("_t", "qs")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)))
+    left, right = left.select("cell", F.col("v").cast("int"), F.col("q").cast("int"), *keep, vector), right.select("cell", F.col("v").cast("int"), F.col("q").cast("int"), "query_id", query_vector)
+
+    def pairs(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found = _product(asked.select([3, 4]), k, keep, group)(rows.select(list(range(3, 4 + len(keep)))).to_batches())
+        return pa.Table.from_batches(found, schema=pa.schema([asked.schema.field(3), *(rows.schema.field(3 + z) for z in range(len(keep))), pa.field("score", pa.float64())]))
+
+    return left.groupBy("cell", "v", "q").cogroup(right.groupBy("cell", "v", "q")).applyInArrow(pairs, kind)
 
 
 def _product(queries: pa.Table, k: int, keep: list[str], group: str | None):

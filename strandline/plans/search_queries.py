@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandline.operators import search
+from strandline.operators import search, text_index
+from strandline.operators.text_index import TextIndex
 from strandline.plans.registry import query, table
+from strandline.sources import storage
 
 _T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
@@ -64,3 +66,68 @@ def composite_score_rank(spark, sf_dir):
 def query_terms(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return search.query_terms(q, "text", {"the", "and", "for"}, {"of the": 5.0}).select("item_id", F.to_json("terms").alias("terms"))
+
+
+def _bm25_sql(name: str, docs: str, k: int) -> str:
+    """CTEs of a BM25 search of the questions q(query_id, ts) over docs(doc, ts): name(query_id, doc, score) has the k best."""
+    return rf"""{name}_d AS ({docs}), {name}_st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM {name}_d),
+{name}_tf AS (SELECT term, doc, len, count(*) AS tf FROM (SELECT doc, len(ts) AS len, unnest(ts) AS term FROM {name}_d) GROUP BY ALL), {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
+{name}_s AS (SELECT query_id, doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 9) AS score
+  FROM {name}_tf JOIN (SELECT query_id, unnest(ts) AS term FROM q) USING (term) JOIN {name}_df USING (term) CROSS JOIN {name}_st GROUP BY 1, 2),
+{name} AS (SELECT query_id, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM {name}_s) WHERE rank <= {k})"""
+
+
+_ASKED = rf"q AS (SELECT item_id AS query_id, list_distinct({_T}) AS ts FROM benchmark)"
+
+
+@query(
+    "fulltext_index_search",
+    f"WITH {_ASKED}, {_bm25_sql('a', f'SELECT doc_id AS doc, {_T} AS ts FROM documents', 10)} SELECT query_id, doc, round(score, 4) AS score FROM a",
+)
+def fulltext_index_search(spark, sf_dir):
+    """A written index is loaded, and blocks that can't reach the ten best are left alone."""
+    path = storage.scratch(spark, "texts")
+    TextIndex.build(table(spark, sf_dir, "documents"), path, "doc_id", ["text"])
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return TextIndex(spark, path).search(q, 10).select("query_id", "doc", F.round("score", 4).alias("score"))
+
+
+_TURNS = _T.replace("text", "role || ' ' || text")
+
+
+@query(
+    "fulltext_two_indexes",
+    f"""WITH {_ASKED}, {_bm25_sql('a', f"SELECT 'd' || doc_id AS doc, {_T} AS ts FROM documents", 15)}, {_bm25_sql('b', f"SELECT 'c' || conv_id || '-' || turn AS doc, {_TURNS} AS ts FROM conversations", 10)},
+u AS (SELECT *, 'document' AS label, 0 AS i FROM a UNION ALL SELECT *, 'turn' AS label, 1 AS i FROM b)
+SELECT query_id, doc, round(max(score), 4) AS score, arg_max(label, score) AS label FROM u GROUP BY query_id, doc""",
+)
+def fulltext_two_indexes(spark, sf_dir):
+    """Three times k of one index and twice k of another, each hit with its best score."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doc"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("doc"), "role", "text")
+    a = TextIndex.build(docs, storage.scratch(spark, "texts"), "doc", ["text"])
+    b = TextIndex.build(turns, storage.scratch(spark, "turns"), "doc", ["role", "text"])
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return text_index.candidates(q, 5, ("document", a, 3), ("turn", b, 2)).select("query_id", "doc", F.round("score", 4).alias("score"), "label")
+
+
+_GENERIC = ("the", "that", "this", "with", "from")
+
+
+@query(
+    "fulltext_term_choice",
+    rf"""WITH t AS (SELECT item_id, {_T} AS ts FROM benchmark),
+e AS (SELECT item_id, list_concat(list_transform(list_filter(range(1, len(ts)), lambda i: length(ts[i]) >= 8 AND length(ts[i + 1]) >= 8), lambda i: ts[i] || ' ' || ts[i + 1]), []::VARCHAR[]) AS phrases, ts FROM t),
+f AS (SELECT item_id, list_concat(phrases, list_filter(ts, lambda x: length(x) >= 12)) AS strong, list_filter(ts, lambda x: length(x) < 12 AND length(x) >= 4 AND x NOT IN {_GENERIC}) AS weak FROM e),
+w AS (SELECT item_id, strong, list_filter(weak, lambda x, i: list_position(weak, x) = i AND NOT list_contains(strong, x)) AS weak FROM f)
+SELECT item_id, array_to_string(list_concat(strong, weak)[1:8], '|') AS terms FROM w""",
+)
+def fulltext_term_choice(spark, sf_dir):
+    """Phrases of long words and words of twelve letters are heavy; others fill up to eight."""
+    ts = search.tokens(F.col("text"))
+    q = table(spark, sf_dir, "benchmark").select("item_id", ts.alias("ts"))
+    entry = lambda t, w: F.struct(t.alias("text"), w.cast("double").alias("weight"))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("ts"), F.lit(1))), lambda i: (i < F.size("ts")) & (F.length(F.get("ts", i - 1)) >= 8) & (F.length(F.get("ts", i)) >= 8))
+    phrases = F.transform(at, lambda i: entry(F.concat_ws(" ", F.get("ts", i - 1), F.get("ts", i)), F.lit(2.0)))
+    words = F.transform("ts", lambda t: entry(t, F.when(F.length(t) >= 12, 3.0).otherwise(1.0)))
+    return q.select("item_id", F.array_join(text_index.select_terms(F.concat(phrases, words), generic=_GENERIC), "|").alias("terms"))

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import dataset, evaluate, vector
+from strandline.operators.vector_index import VectorIndex
 from strandline.plans.registry import query, table
+from strandline.sources import storage
 
 #: The SQL of a cosine in double precision.
 _COS = """list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[])
@@ -105,3 +107,30 @@ def hit_at_k(spark, sf_dir):
     found = vector.top_k(emb, q, 9).where("query_id <> vec_id").join(emb.select("vec_id", "label"), "vec_id")
     found = found.join(emb.select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold")), "query_id")
     return evaluate.hit_at(found, "query_id", found["label"] == found["gold"], ["score desc", "vec_id"], (1, 3, 5, 8))
+
+
+@query(
+    "vector_index_all_cells",
+    f"""WITH s AS (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS score FROM embeddings a CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""",
+)
+def vector_index_all_cells(spark, sf_dir):
+    """An index is written with half of the vectors, the rest is appended, and it is loaded and searched in every cell."""
+    emb = table(spark, sf_dir, "embeddings")
+    path = storage.scratch(spark, "vectors")
+    VectorIndex.build(emb.where("vec_id % 2 = 0"), path).append(emb.where("vec_id % 2 <> 0"))
+    return VectorIndex(spark, path).search(_queries(emb, "vec_id % 50 = 0"), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    "vector_index_filtered",
+    f"""WITH s AS (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS score FROM embeddings a CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE a.label IN (2, 5)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
+)
+def vector_index_filtered(spark, sf_dir):
+    """A filter over stored columns holds before the cut."""
+    emb = table(spark, sf_dir, "embeddings")
+    index = VectorIndex.build(emb, storage.scratch(spark, "vectors"))
+    return index.search(_queries(emb, "vec_id % 50 = 0"), 5, where=F.col("label").isin(2, 5)).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
