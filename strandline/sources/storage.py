@@ -64,3 +64,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder, in order; none if it isn't there."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile()) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, put in place by renaming; an existing one is an error."""
+    if exists(spark, path):
+        raise FileExistsError(path)
+    folder, _, name = path.rpartition("/")
+    fs, p = _fs(spark, f"{folder}/_{name}.{uuid.uuid4().hex}")
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not move(spark, p.toString(), path):
+        raise FileExistsError(path)
