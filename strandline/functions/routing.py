@@ -74,23 +74,26 @@ def _cascade(*rules: tuple[Column, object, object]) -> Column:
     return out
 
 
+#: The reasons of the rules below are fixed values: logs are joined by them.
+
+
 def ambiguity_override() -> Column:
     """May ambiguity turn the first stage's route into a clarification? allow, reason."""
     s, amb, hist = signals(), F.col("amb"), F.col("hist")
     resolved, unres = hist == "resolved", hist.isin(*UNRESOLVED, "unresolved")
     strong = (amb >= 0.95) & F.col("has_pronoun") & ~resolved
     base = _cascade(
-        (F.col("ablation"), False, "ablation"),
-        (amb < 0.8, False, "below_override_threshold"),
-        (resolved, False, "history_resolved"),
-        (s["relation_heavy"] & ~F.col("ctxref"), False, "relation_heavy"),
+        (F.col("ablation"), False, "ablation_no_severe_override_active"),
+        (amb < 0.8, False, "ambiguity_below_clarify_threshold"),
+        (resolved, False, "resolved_history_blocks_auto_clarify"),
+        (s["relation_heavy"] & ~F.col("ctxref"), False, "blocked_auto_clarify_for_clear_relation_heavy_query"),
         (unres & F.col("ctxref"), True, F.concat(F.lit("override_to_clarify_"), hist)),
-        ((F.col("missing_entity") | F.col("multi_interpretation") | F.col("incomplete_context")) & (amb >= AMBIGUOUS), True, "override_to_clarify_semantic"),
-        (F.col("s1").isin("graph_traversal", "hybrid_reasoning") & strong, True, "reasoning_route_sure_pronoun"),
-        (F.col("s1").isin("graph_traversal", "hybrid_reasoning"), False, "reasoning_route_protected"),
-        ((F.col("s1") == "dense_retrieval") & strong & (F.col("c1") <= 0.65), True, "dense_route_unsure"),
-        (F.col("s1") == "dense_retrieval", False, "dense_route_protected"),
-        (F.lit(True), False, "default_deny"),
+        ((F.col("missing_entity") | F.col("multi_interpretation") | F.col("incomplete_context")) & (amb >= AMBIGUOUS), True, "override_to_clarify_semantic_ambiguity"),
+        (F.col("s1").isin("graph_traversal", "hybrid_reasoning") & strong, True, "extreme_unresolved_pronoun_on_reasoning_route"),
+        (F.col("s1").isin("graph_traversal", "hybrid_reasoning"), False, "blocked_auto_clarify_for_reasoning_route"),
+        ((F.col("s1") == "dense_retrieval") & strong & (F.col("c1") <= 0.65), True, "high_unresolved_pronoun_on_dense_route"),
+        (F.col("s1") == "dense_retrieval", False, "blocked_auto_clarify_without_unresolved_pronoun"),
+        (F.lit(True), False, "no_ambiguity_override_rule_matched"),
     )
     return base
 
@@ -115,32 +118,32 @@ def stage2_override() -> Column:
     s, amb, hist = signals(), F.col("amb"), F.col("hist")
     s1, s2, c2, ctx = F.col("s1"), F.col("s2"), F.col("c2"), F.col("ctxref")
     resolved, unres = (hist == "resolved") & F.col("has_referent"), hist.isin(*UNRESOLVED, "unresolved")
-    severe = F.col("missing_entity") | F.col("multi_interpretation") | F.col("incomplete_context") | F.col("has_pronoun")
+    severe = F.col("missing_entity") | F.col("multi_interpretation") | F.col("incomplete_context") | F.col("s2_missing_entity") | F.col("s2_pronoun") | F.col("s2_multi") | F.col("s2_incomplete")
     strong = (_c("auth") >= 1) | (_c("eff") >= 1) | (_c("proc") >= 1) | (_c("rel") >= 1) | (_c("kw") >= 2) | (F.col("mh") >= FORCE) | (F.col("s2_sub_questions") >= 2)
     wide, ask = F.col("xdoc") | (_c("ref") >= 2) | (_c("lvl") >= 3), s2 == "clarify"
     dense, graph, hybrid = "dense_retrieval", "graph_traversal", "hybrid_reasoning"
     nothing = (s1 == dense) & (_c("ref") == 0) & (_c("spec") == 0) & (_c("ent") == 0) & (F.col("missing_entity") | F.col("multi_interpretation"))
     return _cascade(
-        ((s1 == "clarify") & resolved & ~ask & (c2 >= 0.80), True, "resolved_history"),
-        (~ask & (s2 == s1) & (c2 >= 0.82) & (~ctx | resolved | s["answerable"]), True, "confirms_first_stage"),
-        (s1.isin(graph, hybrid) & (s2 == s1) & (c2 >= 0.80) & ~ctx, True, "confirms_reasoning_route"),
-        ((s1 == "clarify") & ~ask & (c2 >= 0.82) & (~ctx | s["answerable"]) & (s["relation_heavy"] | s["answerable"]), True, "answerable_after_all"),
-        ((s1 == "clarify") & (s2 == dense) & (c2 >= 0.82) & ~severe & ~ctx, True, "simple_after_all"),
-        (ask & resolved & ~(F.col("s2_missing_entity") | F.col("s2_multi") | F.col("s2_incomplete")), False, "clarify_blocked_by_resolved_history"),
-        (ask & (c2 < 0.8), False, "clarify_below_confidence"),
-        (ask & (hist == "conflicting_history"), True, "clarify_conflicting_history"),
-        (ask & unres & ctx, True, "clarify_unresolved_reference"),
-        (ask & (amb >= AMBIGUOUS) & severe & F.col("ablation"), False, "clarify_ablation"),
-        (ask & (amb >= AMBIGUOUS) & severe & F.col("missing_entity"), True, "clarify_missing_entity"),
-        (ask & (amb >= AMBIGUOUS) & severe & F.col("multi_interpretation"), True, "clarify_multi_interpretation"),
-        (ask & (amb >= AMBIGUOUS) & severe, True, "clarify_ambiguous"),
-        (ask & ctx & ~resolved, True, "clarify_contextual"),
-        (ask & nothing, True, "clarify_no_concrete_target"),
-        ((s1 == dense) & (s2 == graph) & (c2 >= 0.85) & strong, True, "dense_to_graph_strong"),
-        ((s1 == graph) & (s2 == hybrid) & (c2 >= 0.88) & (wide | (_c("ref") == 0)), True, "graph_to_hybrid"),
-        ((s1 == dense) & (s2 == hybrid) & (c2 >= 0.82) & (wide | (_c("sq") >= 2) | (F.col("mh") >= 0.30) | (_c("kw") >= 2)), True, "dense_to_hybrid"),
-        (ask & (c2 >= 0.92) & (amb >= 0.75) & severe & ~F.col("ablation"), True, "clarify_sure"),
-        ((s1 == dense) & (s2 == graph) & (c2 >= 0.82) & ((_c("ref") >= 1) | (_c("spec") >= 1)), True, "dense_to_graph_reference"),
+        ((s1 == "clarify") & resolved & ~ask & (c2 >= 0.80), True, "override_clarify_to_retrieval_resolved_history"),
+        (~ask & (s2 == s1) & (c2 >= 0.82) & (~ctx | resolved | s["answerable"]), True, "restore_stage1_retrieval_after_stage2_confirmation"),
+        (s1.isin(graph, hybrid) & (s2 == s1) & (c2 >= 0.80) & ~ctx, True, "restore_reasoning_route_after_ambiguity_candidate"),
+        ((s1 == "clarify") & ~ask & (c2 >= 0.82) & (~ctx | s["answerable"]) & (s["relation_heavy"] | s["answerable"]), True, "override_clarify_to_relation_heavy_retrieval"),
+        ((s1 == "clarify") & (s2 == dense) & (c2 >= 0.82) & ~severe & ~ctx, True, "override_clarify_to_dense_factoid"),
+        (ask & resolved & ~(F.col("s2_missing_entity") | F.col("s2_multi") | F.col("s2_incomplete")), False, "resolved_history_blocks_unnecessary_clarify"),
+        (ask & (c2 < 0.8), False, "stage2_clarify_below_threshold"),
+        (ask & (hist == "conflicting_history"), True, "override_to_clarify_conflicting_history"),
+        (ask & unres & ctx, True, "override_to_clarify_unresolved_history"),
+        (ask & (amb >= AMBIGUOUS) & severe & F.col("ablation"), False, "ablation_no_severe_override_active"),
+        (ask & (amb >= AMBIGUOUS) & severe & (F.col("s2_missing_entity") | F.col("missing_entity")), True, "override_to_clarify_missing_entity"),
+        (ask & (amb >= AMBIGUOUS) & severe & (F.col("s2_multi") | F.col("multi_interpretation")), True, "override_to_clarify_multi_interpretation"),
+        (ask & (amb >= AMBIGUOUS) & severe, True, "override_to_clarify_severe_ambiguity"),
+        (ask & ctx & ~resolved, True, "override_to_clarify_unresolved_context_reference"),
+        (ask & nothing, True, "override_to_clarify_dense_underspecified_target"),
+        ((s1 == dense) & (s2 == graph) & (c2 >= 0.85) & strong, True, "rescue_dense_to_graph_strong_reasoning_signal"),
+        ((s1 == graph) & (s2 == hybrid) & (c2 >= 0.88) & (wide | (_c("ref") == 0)), True, "rescue_graph_to_hybrid_cross_document_signal_or_ood"),
+        ((s1 == dense) & (s2 == hybrid) & (c2 >= 0.82) & (wide | (_c("sq") >= 2) | (F.col("mh") >= 0.30) | (_c("kw") >= 2)), True, "rescue_dense_to_hybrid_strong_structural_signal"),
+        (ask & (c2 >= 0.92) & (amb >= 0.75) & severe & ~F.col("ablation"), True, "rescue_to_clarify_severe_ambiguity"),
+        ((s1 == dense) & (s2 == graph) & (c2 >= 0.82) & ((_c("ref") >= 1) | (_c("spec") >= 1)), True, "rescue_dense_to_graph_doc_specific_lookup"),
         (F.lit(True), False, "blocked_by_rescue_only_policy"),
     )
 

@@ -5,8 +5,6 @@ the Vietnamese banks are covered by the tests' fixtures."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from strandline.functions import ambiguity, features, history, routing, text
@@ -88,98 +86,111 @@ def history_resolution(spark, sf_dir):
     return history.with_history(c).select("conv_id", F.col("resolution.status").alias("status"), F.col("resolution.reason").alias("reason"), F.size("resolution.candidates").alias("candidates"))
 
 
-_GRID = [
-    ("s1", ("dense_retrieval", "graph_traversal", "hybrid_reasoning", "clarify")), ("s2", ("dense_retrieval", "graph_traversal", "hybrid_reasoning", "clarify")), ("c2", (0.7, 0.83, 0.9)),
-    ("hist", ("not_needed", "resolved", "no_history", "conflicting_history")), ("amb", (0.3, 0.7, 0.96)), ("ref", (0, 2)), ("kw", (0, 2)), ("ctx", (False, True)), ("mis", (False, True)),
-]
-
-
-def _sql_grid():
-    lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v) if isinstance(v, (bool, int)) else f"{v}::DOUBLE"
-    return " CROSS JOIN ".join(f"(SELECT unnest([{', '.join(lit(v) for v in vs)}]) AS {n})" for n, vs in _GRID)
-
-
-def _grid(spark):
-    """Every combination of a few values of the rules' inputs: a fixed set of 9,216 rows."""
-    arrays = [F.explode(F.array(*[F.lit(v) for v in vs])).alias(n) for n, vs in _GRID]
-    df = reduce(lambda d, a: d.select("*", a), arrays, spark.range(1))
-    df = df.withColumns({"legal_reference_count": F.col("ref"), "graph_keyword_count": F.col("kw"), "ctxref": F.col("ctx"), "missing_entity": F.col("mis"), "has_pronoun": F.col("mis"), "s2_missing_entity": F.col("mis"), "has_referent": F.col("hist") == "resolved"})
-    return routing.defaults(df.withColumn("c1", F.lit(0.6)).withColumn("is_ambiguous", F.col("amb") >= 0.6).drop("id"))
-
-
-_KEYS = ["s1", "s2", "c2", "hist", "amb", "ref", "kw", "ctx", "mis"]
-#: Signals in the grid: answerable is (ref >= 2) if ctx, else (ref >= 2 or kw >= 2); relation-heavy is kw >= 2.
-_SIG = "g AS (SELECT *, CASE WHEN ctx THEN ref >= 2 ELSE ref >= 2 OR kw >= 2 END AS answerable, kw >= 2 AS heavy, hist IN ('no_history', 'conflicting_history') AS unres FROM " + _sql_grid() + ")"
+_ROUTES = ("dense_retrieval", "graph_traversal", "hybrid_reasoning", "clarify")
+_STATES = ("not_needed", "resolved", "no_history", "irrelevant_history", "conflicting_history", "unresolved")
+_LEVELS = ("simple", " Moderate ", "complex", "")
+#: What the stages said of a turn, from the digits of a number h: each reads the same in both dialects but for integer division.
+_SAID = {
+    "c1": "CAST(0.4 + 0.05 * (h // 3 % 13) AS DOUBLE)", "c2": "CAST(0.7 + 0.01 * (h // 41 % 25) AS DOUBLE)", "amb": "CAST(0.5 + 0.05 * (h // 7 % 11) AS DOUBLE)",
+    "ctx": "h // 11 % 3 = 0", "xdoc": "h // 13 % 7 = 0", "pron": "h // 17 % 2 = 0", "mis": "h // 19 % 4 = 0", "multi": "h // 23 % 5 = 0", "inc": "h // 29 % 6 = 0", "off": "h // 31 % 17 = 0", "ref_named": "h // 37 % 3 > 0",
+    "s2_mis": "h // 43 % 5 = 0", "s2_pron": "h // 47 % 4 = 0", "s2_mul": "h // 53 % 6 = 0", "s2_inc": "h // 59 % 5 = 0", "asks": "h // 61 % 3 > 0", "subs": "h // 67 % 4", "parsed": "h // 71 % 3 > 0",
+    "spec": "h // 73 % 5 // 4", "auth": "h // 79 % 7 // 6", "eff": "h // 83 % 6 // 5", "proc": "h // 89 % 5 // 3", "rel": "h // 97 % 6 // 5", "ent": "h // 101 % 4 // 3", "lvl": "h // 103 % 8 // 3 + 1", "sq": "h // 107 % 7 // 3", "cond": "h // 109 % 4 // 2",
+    "mh": "CAST(0.1 * (h // 113 % 7) AS DOUBLE)",
+}
+#: Columns of the rules and the names above.
+_NAMED = {
+    "ctxref": "ctx", "has_pronoun": "pron", "missing_entity": "mis", "multi_interpretation": "multi", "incomplete_context": "inc", "ablation": "off", "has_referent": "ref_named", "s2_missing_entity": "s2_mis", "s2_pronoun": "s2_pron",
+    "s2_multi": "s2_mul", "s2_incomplete": "s2_inc", "s2_asks": "asks", "s2_sub_questions": "subs", "s2_complexity": "level", "law_specificity": "spec", "authority_chain_count": "auth", "legal_effect_count": "eff", "procedural_count": "proc",
+    "multi_entity_relation_count": "rel", "entity_count": "ent", "complexity_level": "lvl", "sub_question_count": "sq", "conditional_depth": "cond", "legal_reference_count": "ref", "graph_keyword_count": "kw",
+}
+_KEYS = ["conv_id", "turn", "s1", "s2"]
+_H = "(conv_id * 7919 + turn * 104729 + i * 1299709 + 17) * 48271 % 2147483647"
+_REF, _KW = "(section|chapter|license|version)", "(the|and|die|und|les|los)"
+
+
+def _said(spark, sf_dir):
+    """Every turn of every conversation under every pair of the stages' routes, with references and keywords counted in its text."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
+    pick = lambda values, at: F.get(F.array(*(F.lit(v) for v in values)), at.cast("int"))
+    x = t.withColumn("h", F.expr(_H)).select(
+        "conv_id", "turn", "h", pick(_ROUTES, F.col("i") % 4).alias("s1"), pick(_ROUTES, F.expr("i div 4")).alias("s2"), pick(_STATES, F.expr("h % 6")).alias("hist"), pick(_LEVELS, F.expr("h div 127 % 4")).alias("level"),
+        F.least(F.regexp_count(F.lower("text"), F.lit(_REF)), F.lit(2)).alias("ref"), F.floor(F.regexp_count("text", F.lit(f" {_KW}")) / 4).alias("kw"), *(F.expr(e.replace("//", "div")).alias(n) for n, e in _SAID.items()),
+    )
+    return routing.defaults(x.withColumns({c: F.col(n) for c, n in _NAMED.items()} | {"is_ambiguous": F.col("amb") >= 0.6}))
+
+
+#: The same rows, with the signals of the rules.
+_G = rf"""h AS (SELECT conv_id, turn, coalesce(text, '') AS text, i, {_H} AS h FROM conversations, range(16) r(i)),
+x AS (SELECT conv_id, turn, {list(_ROUTES)}[i % 4 + 1] AS s1, {list(_ROUTES)}[i // 4 + 1] AS s2, {list(_STATES)}[h % 6 + 1] AS hist, {list(_LEVELS)}[h // 127 % 4 + 1] AS level,
+  least(len(regexp_extract_all(lower(text), '{_REF}')), 2) AS ref, len(regexp_extract_all(text, ' {_KW}')) // 4 AS kw, {', '.join(f'{e} AS {n}' for n, e in _SAID.items())} FROM h),
+y AS (SELECT *, hist IN ('no_history', 'irrelevant_history', 'conflicting_history', 'unresolved') AS unres, eff >= 1 OR auth >= 1 OR kw >= 2 OR xdoc OR rel >= 1 OR mh >= 0.45 AS heavy,
+  ref >= 2 OR spec >= 1 OR ent >= 1 OR auth >= 1 OR xdoc AS concrete, s2_mis OR s2_pron OR s2_mul OR s2_inc OR mis OR multi OR inc AS severe FROM x),
+g AS (SELECT *, concrete OR (NOT ctx AND (rel >= 1 OR kw >= 2 OR lvl >= 3 OR sq >= 2 OR proc >= 2)) AS answerable FROM y)"""
 
 
 @query(
     "override_policy",
-    f"""WITH {_SIG} SELECT {', '.join(_KEYS)}, CASE
-WHEN s1 = 'clarify' AND hist = 'resolved' AND s2 <> 'clarify' AND c2 >= 0.80 THEN 'resolved_history'
-WHEN s2 <> 'clarify' AND s2 = s1 AND c2 >= 0.82 AND (NOT ctx OR hist = 'resolved' OR answerable) THEN 'confirms_first_stage'
-WHEN s1 IN ('graph_traversal', 'hybrid_reasoning') AND s2 = s1 AND c2 >= 0.80 AND NOT ctx THEN 'confirms_reasoning_route'
-WHEN s1 = 'clarify' AND s2 <> 'clarify' AND c2 >= 0.82 AND (NOT ctx OR answerable) AND (heavy OR answerable) THEN 'answerable_after_all'
-WHEN s1 = 'clarify' AND s2 = 'dense_retrieval' AND c2 >= 0.82 AND NOT mis AND NOT ctx THEN 'simple_after_all'
-WHEN s2 = 'clarify' AND hist = 'resolved' AND NOT mis THEN 'clarify_blocked_by_resolved_history'
-WHEN s2 = 'clarify' AND c2 < 0.8 THEN 'clarify_below_confidence'
-WHEN s2 = 'clarify' AND hist = 'conflicting_history' THEN 'clarify_conflicting_history'
-WHEN s2 = 'clarify' AND unres AND ctx THEN 'clarify_unresolved_reference'
-WHEN s2 = 'clarify' AND amb >= 0.6 AND mis THEN 'clarify_missing_entity'
-WHEN s2 = 'clarify' AND ctx AND hist <> 'resolved' THEN 'clarify_contextual'
-WHEN s2 = 'clarify' AND s1 = 'dense_retrieval' AND ref = 0 AND mis THEN 'clarify_no_concrete_target'
-WHEN s1 = 'dense_retrieval' AND s2 = 'graph_traversal' AND c2 >= 0.85 AND kw >= 2 THEN 'dense_to_graph_strong'
-WHEN s1 = 'graph_traversal' AND s2 = 'hybrid_reasoning' AND c2 >= 0.88 THEN 'graph_to_hybrid'
-WHEN s1 = 'dense_retrieval' AND s2 = 'hybrid_reasoning' AND c2 >= 0.82 AND (ref >= 2 OR kw >= 2) THEN 'dense_to_hybrid'
-WHEN s1 = 'dense_retrieval' AND s2 = 'graph_traversal' AND c2 >= 0.82 AND ref >= 1 THEN 'dense_to_graph_reference'
+    f"""WITH {_G} SELECT conv_id, turn, s1, s2, CASE
+WHEN s1 = 'clarify' AND hist = 'resolved' AND ref_named AND s2 <> 'clarify' AND c2 >= 0.80 THEN 'override_clarify_to_retrieval_resolved_history'
+WHEN s2 <> 'clarify' AND s2 = s1 AND c2 >= 0.82 AND (NOT ctx OR (hist = 'resolved' AND ref_named) OR answerable) THEN 'restore_stage1_retrieval_after_stage2_confirmation'
+WHEN s1 IN ('graph_traversal', 'hybrid_reasoning') AND s2 = s1 AND c2 >= 0.80 AND NOT ctx THEN 'restore_reasoning_route_after_ambiguity_candidate'
+WHEN s1 = 'clarify' AND s2 <> 'clarify' AND c2 >= 0.82 AND (NOT ctx OR answerable) AND (heavy OR answerable) THEN 'override_clarify_to_relation_heavy_retrieval'
+WHEN s1 = 'clarify' AND s2 = 'dense_retrieval' AND c2 >= 0.82 AND NOT severe AND NOT ctx THEN 'override_clarify_to_dense_factoid'
+WHEN s2 = 'clarify' AND hist = 'resolved' AND ref_named AND NOT (s2_mis OR s2_mul OR s2_inc) THEN 'resolved_history_blocks_unnecessary_clarify'
+WHEN s2 = 'clarify' AND c2 < 0.8 THEN 'stage2_clarify_below_threshold'
+WHEN s2 = 'clarify' AND hist = 'conflicting_history' THEN 'override_to_clarify_conflicting_history'
+WHEN s2 = 'clarify' AND unres AND ctx THEN 'override_to_clarify_unresolved_history'
+WHEN s2 = 'clarify' AND amb >= 0.6 AND severe THEN CASE WHEN off THEN 'ablation_no_severe_override_active' WHEN s2_mis OR mis THEN 'override_to_clarify_missing_entity'
+  WHEN s2_mul OR multi THEN 'override_to_clarify_multi_interpretation' ELSE 'override_to_clarify_severe_ambiguity' END
+WHEN s2 = 'clarify' AND ctx AND NOT (hist = 'resolved' AND ref_named) THEN 'override_to_clarify_unresolved_context_reference'
+WHEN s2 = 'clarify' AND s1 = 'dense_retrieval' AND ref = 0 AND spec = 0 AND ent = 0 AND (mis OR multi) THEN 'override_to_clarify_dense_underspecified_target'
+WHEN s1 = 'dense_retrieval' AND s2 = 'graph_traversal' AND c2 >= 0.85 AND (auth >= 1 OR eff >= 1 OR proc >= 1 OR rel >= 1 OR kw >= 2 OR mh >= 0.45 OR subs >= 2) THEN 'rescue_dense_to_graph_strong_reasoning_signal'
+WHEN s1 = 'graph_traversal' AND s2 = 'hybrid_reasoning' AND c2 >= 0.88 AND (xdoc OR ref >= 2 OR lvl >= 3 OR ref = 0) THEN 'rescue_graph_to_hybrid_cross_document_signal_or_ood'
+WHEN s1 = 'dense_retrieval' AND s2 = 'hybrid_reasoning' AND c2 >= 0.82 AND (xdoc OR ref >= 2 OR lvl >= 3 OR sq >= 2 OR mh >= 0.30 OR kw >= 2) THEN 'rescue_dense_to_hybrid_strong_structural_signal'
+WHEN s2 = 'clarify' AND c2 >= 0.92 AND amb >= 0.75 AND severe AND NOT off THEN 'rescue_to_clarify_severe_ambiguity'
+WHEN s1 = 'dense_retrieval' AND s2 = 'graph_traversal' AND c2 >= 0.82 AND (ref >= 1 OR spec >= 1) THEN 'rescue_dense_to_graph_doc_specific_lookup'
 ELSE 'blocked_by_rescue_only_policy' END AS reason FROM g""",
 )
 def override_policy(spark, sf_dir):
-    return _grid(spark).select(*_KEYS, routing.stage2_override()["reason"].alias("reason"))
+    return _said(spark, sf_dir).select(*_KEYS, routing.stage2_override()["reason"].alias("reason"))
 
 
 @query(
     "ambiguity_override",
-    f"""WITH {_SIG} SELECT {', '.join(_KEYS)}, CASE WHEN amb < 0.8 THEN 'below_override_threshold' WHEN hist = 'resolved' THEN 'history_resolved' WHEN heavy AND NOT ctx THEN 'relation_heavy'
-WHEN unres AND ctx THEN 'override_to_clarify_' || hist WHEN mis THEN 'override_to_clarify_semantic' WHEN s1 IN ('graph_traversal', 'hybrid_reasoning') THEN 'reasoning_route_protected' WHEN s1 = 'dense_retrieval' THEN 'dense_route_protected' ELSE 'default_deny' END AS reason FROM g""",
+    f"""WITH {_G} SELECT conv_id, turn, s1, s2, reason, reason LIKE 'override%' OR reason LIKE '%unresolved_pronoun_on%' AS allow FROM (SELECT *, CASE WHEN off THEN 'ablation_no_severe_override_active' WHEN amb < 0.8 THEN 'ambiguity_below_clarify_threshold'
+WHEN hist = 'resolved' THEN 'resolved_history_blocks_auto_clarify' WHEN heavy AND NOT ctx THEN 'blocked_auto_clarify_for_clear_relation_heavy_query'
+WHEN unres AND ctx THEN 'override_to_clarify_' || hist WHEN mis OR multi OR inc THEN 'override_to_clarify_semantic_ambiguity'
+WHEN s1 IN ('graph_traversal', 'hybrid_reasoning') THEN CASE WHEN amb >= 0.95 AND pron THEN 'extreme_unresolved_pronoun_on_reasoning_route' ELSE 'blocked_auto_clarify_for_reasoning_route' END
+WHEN s1 = 'dense_retrieval' THEN CASE WHEN amb >= 0.95 AND c1 <= 0.65 AND pron THEN 'high_unresolved_pronoun_on_dense_route' ELSE 'blocked_auto_clarify_without_unresolved_pronoun' END
+ELSE 'no_ambiguity_override_rule_matched' END AS reason FROM g)""",
 )
 def ambiguity_override(spark, sf_dir):
-    return _grid(spark).select(*_KEYS, routing.ambiguity_override()["reason"].alias("reason"))
+    return _said(spark, sf_dir).withColumn("o", routing.ambiguity_override()).select(*_KEYS, "o.reason", "o.allow")
 
 
 @query(
     "stage2_trigger",
-    f"""WITH {_SIG} SELECT {', '.join(_KEYS)}, concat_ws(',', CASE WHEN amb >= 0.6 THEN 'ambiguous' END, CASE WHEN s1 = 'dense_retrieval' AND (ref >= 1 OR kw >= 1) THEN 'dense_with_strong_signal' END,
-CASE WHEN ref >= 1 OR kw >= 1 THEN 'reasoning_signal' END, CASE WHEN s1 = 'clarify' AND amb < 0.6 THEN 'clarify_without_ambiguity' END, CASE WHEN ctx AND unres THEN 'unresolved_reference' END, CASE WHEN ref = 0 THEN 'no_reference' END) AS reasons FROM g""",
+    f"""WITH {_G}, t AS (SELECT *, ref >= 1 OR kw >= 1 OR spec >= 1 OR auth >= 1 OR eff >= 1 AS strong, xdoc OR lvl >= 3 OR sq >= 2 OR cond >= 2 OR mh >= 0.45 OR ref >= 1 OR spec >= 1 OR kw >= 1 OR auth >= 1 OR eff >= 1 OR proc >= 1 OR rel >= 1 AS reasoning FROM g)
+SELECT conv_id, turn, s1, s2, CASE WHEN s1 = 'dense_retrieval' AND c1 >= 0.95 AND amb <= 0.4 AND NOT strong THEN '' ELSE concat_ws(',', CASE WHEN c1 < 0.5 THEN 'low_confidence' END, CASE WHEN amb >= 0.6 THEN 'ambiguous' END,
+CASE WHEN s1 = 'dense_retrieval' AND strong AND (c1 <= 0.90 OR heavy) THEN 'dense_with_strong_signal' END, CASE WHEN reasoning AND c1 <= 0.90 THEN 'reasoning_signal' END, CASE WHEN s1 = 'clarify' AND amb < 0.6 THEN 'clarify_without_ambiguity' END,
+CASE WHEN ctx AND hist IN ('no_history', 'irrelevant_history', 'conflicting_history') THEN 'unresolved_reference' END, CASE WHEN ref = 0 THEN 'no_reference' END) END AS reasons FROM t""",
 )
 def stage2_trigger(spark, sf_dir):
-    return _grid(spark).select(*_KEYS, F.array_join(routing.stage2_trigger()["reasons"], ",").alias("reasons"))
-
-
-_ROUTES = ("dense_retrieval", "graph_traversal", "hybrid_reasoning", "clarify")
-_RULES = [("s1", _ROUTES), ("s2", _ROUTES), ("c2", (0.79, 0.82, 0.86, 0.89, 0.93)), ("asks", (False, True)), ("flag", ("none", "entity", "pronoun", "several", "context")), ("level", ("simple", " Moderate ", "complex", "")), ("subs", (0, 2))]
-
-
-def _rules(spark):
-    df = reduce(lambda d, a: d.select("*", a), [F.explode(F.array(*[F.lit(v) for v in vs])).alias(n) for n, vs in _RULES], spark.range(1))
-    flags = {"s2_missing_entity": "entity", "s2_pronoun": "pronoun", "s2_multi": "several", "s2_incomplete": "context"}
-    return routing.defaults(df.withColumns({c: F.col("flag") == v for c, v in flags.items()} | {"s2_asks": F.col("asks"), "s2_complexity": F.col("level"), "s2_sub_questions": F.col("subs")}))
-
-
-_RULE_ROWS = " CROSS JOIN ".join(f"(SELECT unnest([{', '.join(repr(v) if isinstance(v, str) else str(v) for v in vs)}]) AS {n})" for n, vs in _RULES)
+    return _said(spark, sf_dir).select(*_KEYS, F.array_join(routing.stage2_trigger()["reasons"], ",").alias("reasons"))
 
 
 @query(
     "stage2_guardrail",
-    f"""WITH r AS (SELECT *, CASE
+    f"""WITH {_G}, q AS (SELECT *, s2_mis OR s2_pron OR s2_mul OR s2_inc AS flag FROM g), r AS (SELECT *, CASE
 WHEN s2 = 'clarify' AND NOT asks THEN 'clarify_without_question'
 WHEN s1 = 'dense_retrieval' AND s2 = 'graph_traversal' AND (c2 < 0.80 OR (subs < 2 AND level NOT IN (' Moderate ', 'complex'))) THEN 'blocked_dense_to_graph_without_strong_multi_evidence'
-WHEN s1 = 'graph_traversal' AND s2 = 'dense_retrieval' AND (c2 < 0.85 OR flag <> 'none') THEN 'blocked_graph_to_dense_without_high_confidence_and_clean_ambiguity'
-WHEN s1 = 'hybrid_reasoning' AND s2 = 'graph_traversal' AND (c2 < 0.88 OR flag <> 'none') THEN 'blocked_hybrid_to_graph_without_high_confidence'
-WHEN s1 = 'hybrid_reasoning' AND s2 = 'clarify' AND (c2 < 0.90 OR flag IN ('none', 'context')) THEN 'blocked_hybrid_to_clarify_without_severe_ambiguity' END AS reason FROM {_RULE_ROWS})
-SELECT s1, s2, c2, asks, flag, level, subs, reason IS NOT NULL AS blocked, reason, CASE WHEN reason IS NULL THEN s2 ELSE s1 END AS route FROM r""",
+WHEN s1 = 'graph_traversal' AND s2 = 'dense_retrieval' AND (c2 < 0.85 OR flag) THEN 'blocked_graph_to_dense_without_high_confidence_and_clean_ambiguity'
+WHEN s1 = 'hybrid_reasoning' AND s2 = 'graph_traversal' AND (c2 < 0.88 OR flag) THEN 'blocked_hybrid_to_graph_without_high_confidence'
+WHEN s1 = 'hybrid_reasoning' AND s2 = 'clarify' AND (c2 < 0.90 OR NOT (s2_mis OR s2_pron OR s2_mul)) THEN 'blocked_hybrid_to_clarify_without_severe_ambiguity' END AS reason FROM q)
+SELECT conv_id, turn, s1, s2, reason IS NOT NULL AS blocked, reason, CASE WHEN reason IS NULL THEN s2 ELSE s1 END AS route FROM r""",
 )
 def stage2_guardrail(spark, sf_dir):
-    return _rules(spark).withColumn("g", routing.guardrail()).select("s1", "s2", "c2", "asks", "flag", "level", "subs", "g.blocked", "g.reason", "g.route")
+    return _said(spark, sf_dir).withColumn("g", routing.guardrail()).select(*_KEYS, "g.blocked", "g.reason", "g.route")
 
 
 @query(
@@ -196,11 +207,11 @@ def factoid_rescue(spark, sf_dir):
 
 @query(
     "parse_fallback",
-    f"""SELECT s1, s2, c2, asks, flag, level, subs, CASE WHEN asks THEN s2 ELSE s1 END AS route, round(CASE WHEN asks THEN c2::DOUBLE ELSE 0.63 END, 6) AS confidence, NOT asks AS fell_back FROM {_RULE_ROWS}""",
+    f"""WITH {_G} SELECT conv_id, turn, s1, s2, CASE WHEN parsed THEN s2 ELSE s1 END AS route, round(CASE WHEN parsed THEN c2 ELSE least(1.0, c1 * 0.9::DOUBLE) END, 6) AS confidence, NOT parsed AS fell_back FROM g""",
 )
 def parse_fallback(spark, sf_dir):
-    x = _rules(spark).withColumn("c1", F.lit(0.7)).withColumn("x", routing.parse_fallback(F.col("asks")))
-    return x.select("s1", "s2", "c2", "asks", "flag", "level", "subs", "x.route", F.round("x.confidence", 6).alias("confidence"), "x.fell_back")
+    x = _said(spark, sf_dir).withColumn("x", routing.parse_fallback(F.col("parsed")))
+    return x.select(*_KEYS, "x.route", F.round("x.confidence", 6).alias("confidence"), "x.fell_back")
 
 
 @query(
@@ -216,11 +227,13 @@ def route_dispatch(spark, sf_dir):
 
 @query(
     "clarify_sanity",
-    f"""WITH {_SIG} SELECT {', '.join(_KEYS)}, CASE WHEN s2 = 'clarify' AND hist = 'resolved' AND NOT mis THEN 'resolved_history_blocks_unnecessary_clarify' WHEN s2 = 'clarify' AND s1 <> 'clarify' AND hist = 'no_history' AND ctx AND answerable THEN 'self_contained_query_blocks_unnecessary_clarify' END AS reason,
-CASE WHEN s2 = 'clarify' AND hist = 'resolved' AND NOT mis THEN CASE WHEN heavy AND ref >= 2 THEN 'hybrid_reasoning' WHEN heavy THEN 'graph_traversal' WHEN ctx THEN 'graph_traversal' ELSE 'dense_retrieval' END WHEN s2 = 'clarify' AND s1 <> 'clarify' AND hist = 'no_history' AND ctx AND answerable THEN s1 ELSE s2 END AS route FROM g""",
+    f"""WITH {_G}, k AS (SELECT *, s2 = 'clarify' AND hist = 'resolved' AND NOT (s2_mis OR s2_mul OR s2_inc) AS named, s2 = 'clarify' AND s1 <> 'clarify' AND hist = 'no_history' AND ctx AND answerable AS alone FROM g)
+SELECT conv_id, turn, s1, s2, CASE WHEN named THEN 'resolved_history_blocks_unnecessary_clarify' WHEN alone THEN 'self_contained_query_blocks_unnecessary_clarify' END AS reason,
+CASE WHEN named THEN CASE WHEN heavy THEN CASE WHEN xdoc OR ref >= 2 OR lvl >= 3 OR sq >= 2 THEN 'hybrid_reasoning' ELSE 'graph_traversal' END WHEN ctx AND ref_named THEN 'graph_traversal' ELSE 'dense_retrieval' END WHEN alone THEN s1 ELSE s2 END AS route FROM k""",
 )
 def clarify_sanity(spark, sf_dir):
-    x = _grid(spark).withColumn("x", routing.clarify_sanity(F.col("s2"), F.lit("Nghị định 1"), F.col("mis")))
+    need = F.col("s2_mis") | F.col("s2_mul") | F.col("s2_inc")
+    x = _said(spark, sf_dir).withColumn("x", routing.clarify_sanity(F.col("s2"), F.when(F.col("ref_named"), "Nghị định 1").otherwise("việc này"), need))
     return x.select(*_KEYS, "x.reason", "x.route")
 
 
