@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text
+from strandline.sources import storage
+
+
+TOKEN = r"(?U)[\p{L}\p{N}_]+"
 
 
 def tokens(c: Column) -> Column:
     """Runs of letters, digits and underscores, in lower case."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
 def like_any(df: DataFrame, columns: list[str], words: list[str]) -> DataFrame:
@@ -22,24 +26,34 @@ def like_any(df: DataFrame, columns: list[str], words: list[str]) -> DataFrame:
     return df.where(cond)
 
 
-def postings(docs: DataFrame, doc_id: str, column: str) -> DataFrame:
-    """term, doc, tf, len: the inverted index."""
+def postings(docs: DataFrame, doc_id: str, column: str, wanted: DataFrame | None = None) -> DataFrame:
+    """term, doc, tf, len: the inverted index, of all terms or of those in `wanted` (term)."""
     t = docs.select(F.col(doc_id).alias("doc"), tokens(F.coalesce(F.col(column), F.lit(""))).alias("ts"))
-    return t.select("doc", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
+    rows = t.select("doc", F.size("ts").alias("len"), F.explode("ts").alias("term"))
+    rows = rows if wanted is None else rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
+
+
+#: Distinct query terms (some 50 bytes each) that are broadcast before documents are counted; more are joined by shuffle.
+BROADCAST_TERMS = 500_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, column: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """queries: query_id, query. The k best documents of each query: query_id, doc, score, rank.
 
-    The index is filtered by the queries' terms before anything is joined; document frequencies and the mean length are
-    counted over all documents."""
+    Tokens that no query has are dropped before anything is moved; document frequencies and the mean length are counted over all
+    documents. For repeated searches of one table, text_index keeps the postings and scores fewer."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    stats = docs.select(F.size(tokens(F.coalesce(F.col(column), F.lit("")))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    hit = postings(docs, doc_id, column).join(terms.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    x = hit.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    x = x.withColumn("s", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean"))))
+    wanted = terms.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    stats = docs.select(F.regexp_count(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(TOKEN)).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
+    hit = storage.cut(postings(docs, doc_id, column, wanted), "postings")
+    idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = storage.cut(terms.join(hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("query_id", "term", idf.alias("idf")), "asked")
+    s = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(stats["mean"] or 1.0)))
+    few = asked.count() <= BROADCAST_TERMS
+    # dealt by document before the join, the sums of a query and document need no further shuffle
+    x = (hit.repartition("doc").join(F.broadcast(asked), "term") if few else hit.join(asked, "term")).select("query_id", "doc", s.alias("s"))
     s = x.groupBy("query_id", "doc").agg(F.round(F.sum("s"), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

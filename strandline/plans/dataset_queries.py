@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import features, text
 from strandline.operators import dataset, evaluate, search
 from strandline.plans.registry import query, table
+from strandline.sources.readers import spread
 
 #: SQL: the words between ASCII white space.
 _WORDS = r"list_filter(regexp_split_to_array(trim(text, E' \t\n\r\f\x0B'), '[\s\x0B]+'), lambda w: w <> '')"
@@ -24,7 +25,7 @@ s AS (SELECT doc_id, ws, unnest(range(0, len(ws), 224)) AS s FROM w)
 SELECT doc_id, CAST(s // 224 AS INTEGER) AS chunk_idx, md5(array_to_string(ws[s + 1 : s + 256], ' ')) AS chunk_md5 FROM s""",
 )
 def chunk_words(spark, sf_dir):
-    c = dataset.chunks(_docs(spark, sf_dir).select("doc_id", "text"), "text")
+    c = dataset.chunks(spread(_docs(spark, sf_dir).select("doc_id", "text")), "text")
     return c.select("doc_id", "chunk_idx", F.md5("chunk_text").alias("chunk_md5"))
 
 

@@ -11,6 +11,7 @@ from strandline.functions import ambiguity, features, history, routing, text
 from strandline.functions import patterns as P
 from strandline.operators import evaluate
 from strandline.plans.registry import query, table
+from strandline.sources.readers import spread
 
 #: A bank whose patterns occur in the tables; all are plain words, which both engines match alike.
 BANK = P.Lexical(
@@ -33,7 +34,7 @@ FROM (SELECT doc_id, trim(text, E' \t\n\r\f\x0B') AS t FROM documents)"""
 
 @query("features_lexical", _LEX)
 def features_lexical(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in features.lexical(F.col("text"), BANK).items()])
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[c.alias(n) for n, c in features.lexical(F.col("text"), BANK).items()])
 
 
 def _count(p):
@@ -53,7 +54,7 @@ CAST(sq AS INTEGER) AS sub_question_count, CAST(cond AS INTEGER) AS conditional_
 
 @query("features_complexity", _CPLX)
 def features_complexity(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("query"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("query")))
     out = features.with_features(d, "query", BANK, P.EN)
     return out.select("doc_id", "complexity_level", "sub_question_count", "conditional_depth", "comparative_depth", "procedural_count", "multi_entity_relation_count")
 
@@ -110,7 +111,7 @@ _REF, _KW = "(section|chapter|license|version)", "(the|and|die|und|les|los)"
 
 def _said(spark, sf_dir):
     """Every turn of every conversation under every pair of the stages' routes, with references and keywords counted in its text."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
+    t = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
     pick = lambda values, at: F.get(F.array(*(F.lit(v) for v in values)), at.cast("int"))
     x = t.withColumn("h", F.expr(_H)).select(
         "conv_id", "turn", "h", pick(_ROUTES, F.col("i") % 4).alias("s1"), pick(_ROUTES, F.expr("i div 4")).alias("s2"), pick(_STATES, F.expr("h % 6")).alias("hist"), pick(_LEVELS, F.expr("h div 127 % 4")).alias("level"),

@@ -9,6 +9,7 @@ from strandline.operators import search, text_index
 from strandline.operators.text_index import TextIndex
 from strandline.plans.registry import query, table
 from strandline.sources import storage
+from strandline.sources.readers import spread
 
 _T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
@@ -28,7 +29,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 )
 def bm25_search(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.bm25(table(spark, sf_dir, "documents"), q, "doc_id", "text", 5).withColumn("score", F.round("score", 4))
+    return search.bm25(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), q, "doc_id", "text", 5).withColumn("score", F.round("score", 4))
 
 
 _PARTS = {"almond": 4.0, "green": 5.0, "steel": 3.0, "small": 2.0, "brass": 6.0}
@@ -87,7 +88,7 @@ _ASKED = rf"q AS (SELECT item_id AS query_id, list_distinct({_T}) AS ts FROM ben
 def fulltext_index_search(spark, sf_dir):
     """A written index is loaded, and blocks that can't reach the ten best are left alone."""
     path = storage.scratch(spark, "texts")
-    TextIndex.build(table(spark, sf_dir, "documents"), path, "doc_id", ["text"])
+    TextIndex.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), path, "doc_id", ["text"])
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return TextIndex(spark, path).search(q, 10).select("query_id", "doc", F.round("score", 4).alias("score"))
 

@@ -187,3 +187,10 @@ def multi_hop_corpus(lines: DataFrame, id_col: str = "id") -> DataFrame:
     """Lines with ids like `hotpot_<qid>_<i>`: adds qid, null where the id has fewer parts."""
     p = F.split(id_col, "_")
     return lines.withColumn("qid", F.when(F.size(p) >= 3, F.get(p, F.lit(1))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the cluster has cores, where its files give fewer: for work that costs more than moving the
+    rows, on tables of few files. A large table has partitions enough and stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
