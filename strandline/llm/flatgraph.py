@@ -15,7 +15,7 @@
    range. A link found from either end counts for both, in the first shard that holds both. Cosines that decide are
    those of the whole vectors in double precision.
 6. Shards return counts and a spanning forest of their links, never pairs; components come from joins.
-7. Recall is audited in every run, on AUDIT classes against all rows in blocks. Below ENOUGH the overlap is widened; if the
+7. Recall is audited in every run, on AUDIT classes outside crowds against all rows outside in blocks. Below ENOUGH the overlap is widened; if the
    widest doesn't reach it, all vectors of a label are compared in blocks.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors of null label, are
@@ -25,6 +25,7 @@ no part in the smallest id; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import functools
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,8 @@ CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
 #: What is expanded lies in range or below it by this much.
 SLACK = 0.08
 OVERLAPS = (2, 4)
-AUDIT, ENOUGH = 400, 0.97
+LOG = logging.getLogger(__name__)
+AUDIT, ENOUGH = 2000, 0.97
 #: What rounding may do to an angle.
 TINY = 1e-6
 
@@ -386,7 +388,9 @@ def block_links(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def recall(rows: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Links found over links there are, of AUDIT classes against all rows, block by block."""
+    """Mean share of its links that was found of each class that has any, of AUDIT classes against all rows, block by block; 1 if
+    none of them has a link. rows and links: those of the searches alone, without crowds, whose links are exact and would hide
+    what the searches lose."""
     some = common.bounded_rows(rows.select("cid", "label", "embedding"), "cid", AUDIT).toArrow()
     if not some.num_rows:
         return 1.0
@@ -408,8 +412,8 @@ def recall(rows: DataFrame, links: DataFrame, threshold: float) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total)], ["cid", "true"])
 
     true = rows.select("cid", "label", "copies", "embedding").mapInArrow(run, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true"))
-    got = true.join(links, "cid", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return got["f"] / got["t"] if got["t"] else 1.0
+    share = F.when(F.col("true") > 0, F.least(F.col("true"), F.coalesce("links", F.lit(0))) / F.col("true"))
+    return true.join(links, "cid", "left").agg(F.coalesce(F.avg(share), F.lit(1.0)).alias("recall")).first()["recall"]
 
 
 def near_duplicates(emb: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -421,9 +425,11 @@ def near_duplicates(emb: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ways = [functools.partial(graph_links, rest, overlap, threshold) for overlap in OVERLAPS]
     for way in [*ways, functools.partial(block_links, rest, threshold)]:
         found = common.durable(way(), "found")
-        links = common.durable(crowd.unionByName(found).groupBy("cid").agg(F.sum("links").alias("links")), "counted")
-        if recall(rows, links, threshold) >= ENOUGH:
+        share = recall(rest, found.groupBy("cid").agg(F.sum("links").alias("links")), threshold)
+        LOG.info("recall of links outside crowds: %.4f", share)
+        if share >= ENOUGH:
             break
+    links = common.durable(crowd.unionByName(found).groupBy("cid").agg(F.sum("links").alias("links")), "counted")
     comps = graphs.components(crowd.unionByName(found).where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = rows.select("cid", "rep", "copies").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import flatgraph
 
@@ -85,3 +86,19 @@ def test_empty_table_and_query(spark, tmp_path):
     out = flatgraph.op9_flatgraph(spark, str(tmp_path))
     assert out.dtypes == [("vec_id", "bigint"), ("n_links", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
     assert [tuple(x) for x in out.orderBy("vec_id").collect()] == [(k, 5 if k % 3 else 2, 1 if k % 3 else 0, k < 2) for k in range(9)]
+
+
+def test_a_crowd_does_not_hide_what_the_searches_lose(spark, monkeypatch, caplog):
+    """600 vectors in a crowd, 300 pairs beside it, and searches that find nothing: the audit sees it, and all are compared."""
+    r = np.random.Generator(np.random.PCG64(8))
+    middle = r.normal(size=24)
+    rows = [(k, 1, (middle + 0.01 * r.normal(size=24)).tolist()) for k in range(600)]
+    for k in range(300):
+        x = r.normal(size=24)
+        rows += [(1000 + 2 * k, 1, x.tolist()), (1001 + 2 * k, 1, (x + 0.03 * r.normal(size=24)).tolist())]
+    monkeypatch.setattr(flatgraph, "graph_links", lambda rest, overlap, threshold: rest.select("cid", F.lit(0).cast("long").alias("links"), F.col("cid").alias("root")))
+    with caplog.at_level("INFO"):
+        got = {i: n for i, n, _ in found(spark, rows)}
+    assert sum(got[i] >= 1 for i in range(1000, 1600)) == 600 and min(got[k] for k in range(600)) >= 599
+    said = [float(m.message.rsplit(" ", 1)[1]) for m in caplog.records if "outside crowds" in m.message]
+    assert said[0] == 0 and said[-1] == 1
