@@ -117,12 +117,17 @@ def account(text: str, cue: str, at: int) -> tuple[int, int] | None:
     return (start, start + len(value)) if good else None
 
 
+_ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of all spans, sorted."""
     out: list[tuple[int, int, int]] = []
     floor, ips, cards, cover = 0, 0, 0, [0] * len(KINDS)
     low = text.lower()
-    for last, cue in automaton.iter(low if len(low) == len(text) else text):  # some letters change length
+    if len(low) != len(text):  # some letters change length
+        low = text.encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).decode("utf-8", "surrogatepass")
+    for last, cue in automaton.iter(low):
         if cue == "@":
             found = email(text, last, floor)
             if found:

@@ -55,3 +55,9 @@ def test_nulls_empties_and_clashing_columns(spark):
     got = {(r.doc_id, r.n_email, r.spans) for r in pii.spans(df).collect()}
     assert got == {(1, 0, ""), (2, 0, ""), (None, 1, "email:5:11"), (3, 1, "email:0:6")}
     assert pii.spans(df.limit(0)).count() == 0
+
+
+def test_a_letter_that_grows_costs_no_span():
+    text = "PASSWORD: Hunter22! WWW.site.org"
+    want = pii.find(text, A)
+    assert len(want) == 2 and pii.find("İ " + text, A) == [(s + 2, k, e + 2) for s, k, e in want]
