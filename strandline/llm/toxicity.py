@@ -52,10 +52,13 @@ def trigrams(docs: DataFrame) -> DataFrame:
         for b in batches:
             data, off = textvec.raw(b.column(0))
             for d, o, _ in textvec.pieces(data, off, 0):
-                c = _LETTER[d]
-                x = np.zeros(len(c) + 2, np.int64)
-                x[2:] = c
-                total += np.bincount(x[:-2] * 729 + x[1:-1] * 27 + x[2:], minlength=27**3)
+                c = _LETTER[d].astype(np.int64)
+                one, two = np.zeros((2, len(c) + 1), np.int64)
+                one[1:], two[2:] = c, c[:-1]
+                first = o[:-1][np.diff(o) > 0]
+                one[first] = two[first] = 0  # a text knows nothing of the text before it
+                two[first + 1] = 0
+                total += np.bincount(two[:-1] * 729 + one[:-1] * 27 + c, minlength=27**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["code", "n"])
 

@@ -254,3 +254,19 @@ def test_clean_words_stay_and_paths_are_the_best(spark):
         walk(0, 0, 0, 0.0, "")
         best = min(found)
         assert abs(min(t for t, o in found if o == d.restore(word)) - best[0]) < 1e-9
+
+
+def test_trigrams_do_not_cross_texts(spark):
+    texts = ["abc", "", None, "de", "f", "ghij k", "abcabc"]
+
+    def counted(df):
+        return {r.code: r.n for r in toxicity.trigrams(df).collect()}
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = {}
+    for t in texts:
+        c = [0, 0] + [ord(x) - 96 if x.isalpha() else 0 for x in t or ""]
+        for k in range(2, len(c)):
+            code = c[k - 2] * 729 + c[k - 1] * 27 + c[k]
+            want[code] = want.get(code, 0) + 1
+    assert counted(df.coalesce(1)) == counted(df.repartition(7)) == want
