@@ -115,7 +115,7 @@ def chunk_anchored_multi_hop(spark, sf_dir):
     return multihop.path_context(starts, nodes, _graph(spark, sf_dir), 3).select("query_id", F.md5("context").alias("context"))
 
 
-_WEIGHTS = {"almond": 5.0, "steel": 3.0, "brass": 2.0}
+_WEIGHTS = {"ring": 5.0, "small": 3.0, "red": 2.0}
 
 
 @query(
