@@ -63,3 +63,23 @@ def leakage(pairs: DataFrame, similarity: str, split_a: str, split_b: str, least
     cross = high & (F.col(split_a) != F.col(split_b))
     x = pairs.agg(F.count_if(high).alias("high"), F.count_if(cross).alias("crossing"))
     return x.withColumn("rate", F.round(F.coalesce(F.try_divide(F.col("crossing"), F.col("high")), F.lit(0.0)), 6))
+
+
+def similar_pairs(df: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
+    """a, b, jaccard of all pairs (a < b) of rows whose sets of tokens are at least so similar, least above 0.
+
+    Tokens stand in order of rarity; of a set of n only the first n - ceil(least * n) + 1 are joined, as two sets that are so similar
+    share one of these, and only sets of fitting sizes meet. Common tokens come last, so they pair nothing but what can hold."""
+    x = df.select(F.col(key).alias("id"), F.array_distinct(tokens).alias("ts")).where(F.size("ts") > 0)
+    seen = x.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    ranked = x.select("id", F.explode("ts").alias("t")).join(seen, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
+    ranked = ranked.withColumn("n", F.size("r")).withColumn("ts", F.transform("r", lambda s: s["t"])).drop("r")
+    head = F.slice("ts", 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1).cast("int"))
+    keyed = ranked.select("id", "n", F.explode(head).alias("t"))
+    other = keyed.select(F.col("id").alias("b"), F.col("n").alias("m"), "t")
+    fits = (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - F.lit(1e-9)) & (F.col("id") < F.col("b"))
+    near = keyed.join(other, "t").where(fits).select(F.col("id").alias("a"), "b").distinct()
+    side = lambda k: ranked.select(F.col("id").alias(k), F.col("ts").alias(f"ts_{k}"))
+    both = F.size(F.array_intersect("ts_a", "ts_b"))
+    out = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", (both / (F.size("ts_a") + F.size("ts_b") - both)).alias("jaccard"))
+    return out.where(F.col("jaccard") >= F.lit(least) - F.lit(1e-12))

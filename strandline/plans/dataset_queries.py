@@ -213,11 +213,12 @@ def jaccard_pairs(spark, sf_dir):
     "leakage_report",
     r"""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS ts, item_id % 5 = 0 AS test FROM benchmark),
 p AS (SELECT len(list_intersect(a.ts, b.ts)) / len(list_distinct(a.ts || b.ts))::DOUBLE AS j, a.test <> b.test AS crossing FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.ts, b.ts)) > 0)
-SELECT count(*) FILTER (j >= 0.2) AS high, count(*) FILTER (j >= 0.2 AND crossing) AS crossing, round(coalesce(count(*) FILTER (j >= 0.2 AND crossing) / nullif(count(*) FILTER (j >= 0.2), 0)::DOUBLE, 0), 6) AS rate FROM p""",
+SELECT count(*) FILTER (j >= 0.06) AS high, count(*) FILTER (j >= 0.06 AND crossing) AS crossing, round(coalesce(count(*) FILTER (j >= 0.06 AND crossing) / nullif(count(*) FILTER (j >= 0.06), 0)::DOUBLE, 0), 6) AS rate FROM p""",
 )
 def leakage_report(spark, sf_dir):
-    p = jaccard_pairs(spark, sf_dir).select("jaccard", (F.col("a") % 5 == 0).alias("sa"), (F.col("b") % 5 == 0).alias("sb"))
-    return evaluate.leakage(p, "jaccard", "sa", "sb", 0.2)
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(search.tokens(F.col("text"))).alias("ts"))
+    p = evaluate.similar_pairs(t, "item_id", "ts", 0.06).select("jaccard", (F.col("a") % 5 == 0).alias("sa"), (F.col("b") % 5 == 0).alias("sb"))
+    return evaluate.leakage(p, "jaccard", "sa", "sb", 0.06)
 
 
 @query("f1_by_group", "SELECT CASE WHEN grouping(toxic) = 1 THEN NULL ELSE toxic END AS toxic, count(*) AS n, round(avg(quality), 6) AS mean, CAST(grouping(toxic) AS TINYINT) AS total FROM labels GROUP BY ROLLUP (toxic)")
