@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.sources import storage
+
 #: Fixed values of the decision rules.
 GREETING = r"(?iuU)^\s*(xin\s+chào|chào|hello|hi|hey|alo)(\s+(bạn|em|anh|chị|there))?\s*[!.?]*\s*$"
 FORCE, LOW_CONFIDENCE, AMBIGUOUS = 0.45, 0.5, 0.6
@@ -208,3 +210,66 @@ def first_evidence(df: DataFrame, query_id: str, priority: str, source: str) ->
     """Of the evidence of several paths, that of each query's first path that found any, with its source as kg_source."""
     first = df.groupBy(query_id).agg(F.min(F.struct(priority, source)).alias("_first"))
     return df.join(first, query_id).where(F.col(priority) == F.col("_first")[priority]).withColumn("kg_source", F.col("_first")[source]).drop("_first")
+
+
+#: The patterns of the two baselines that learn nothing.
+KEYWORDS = {"hybrid_reasoning": r"\b(nhiều|tổng hợp|đồng thời|kết hợp|cả hai|các văn bản|cross)\b", "graph_traversal": r"\b(quan hệ|liên quan|giữa|so sánh|khác nhau|ảnh hưởng|tác động|dẫn đến)\b"}
+THREE_RULES = {
+    "clarify": r"\b(ông ấy|bà ấy|họ|nó|người đó|điều đó|luật đó)\b", "hybrid_reasoning": r"\b(nhiều văn bản|các luật|cả hai|đồng thời|kết hợp)\b", "graph_traversal": r"\b(sau khi|khi nào|nếu|liên quan đến|so với|giữa)\b",
+}
+
+
+def pattern_baseline(query: Column, rules: dict[str, str], known: tuple[str, ...] | None = None) -> Column:
+    """The route of the first rule whose pattern the query has, else dense retrieval. known: the routes that training rows had; a route
+    that isn't among them becomes dense retrieval, or the first known one."""
+    least = "dense_retrieval" if known is None or "dense_retrieval" in known else known[0]
+    out = F.lit(least)
+    for route, pattern in reversed(rules.items()):
+        out = F.when(F.rlike(query, F.lit("(?iuU)" + pattern)), route if known is None or route in known else "dense_retrieval").otherwise(out)
+    return out
+
+
+def labelled(df: DataFrame, routes: tuple[str, ...] = ("dense_retrieval", "graph_traversal", "hybrid_reasoning", "clarify")) -> DataFrame:
+    """Rows of a question and a known label, both trimmed."""
+    q, y = F.trim(F.coalesce("question", F.lit(""))), F.trim(F.coalesce("routing_label", F.lit("")))
+    return df.withColumns({"question": q, "routing_label": y}).where((F.col("question") != "") & F.col("routing_label").isin(*routes))
+
+
+def run_routes(df: DataFrame, pipelines: dict, uninformative) -> DataFrame:
+    """df: query_id, route and what the pipelines read. query_id, answer, pipeline, kg_source.
+
+    pipelines: route -> function of df that gives query_id, answer, kg_source (of the graph and hybrid ones), one row a query at most. Each
+    runs once, over the queries of its route and those that fall back to it: dense answers that say nothing go to the graph, whose
+    answer counts if it says more; graph answers that say nothing, or none at all, are answered by dense retrieval. An
+    unknown route is dense retrieval. uninformative: a column function of the answer."""
+    none = F.coalesce(uninformative(F.col("answer")), F.lit(True)) | F.col("answer").isNull()
+    known = ("graph_traversal", "hybrid_reasoning", *(r for r in pipelines if r not in ("dense_retrieval", "graph_traversal", "hybrid_reasoning")))
+    rows = df.withColumn("route", F.when(F.col("route").isin(*known), F.col("route")).otherwise("dense_retrieval"))
+    of = lambda route: rows.where(F.col("route") == route)
+
+    def answers(route: str, asked: DataFrame, prefix: str) -> DataFrame:
+        a = pipelines[route](asked).select(F.col("query_id").alias("_q"), F.col("answer"), *([F.col("kg_source")] if route != "dense_retrieval" else [F.lit("").alias("kg_source")]))
+        x = asked.select("query_id").join(a, F.col("query_id") == F.col("_q"), "left").withColumn("bad", none)
+        return x.select("query_id", *(F.col(c).alias(prefix + c) for c in ("answer", "kg_source", "bad")))
+
+    dense = storage.cut(answers("dense_retrieval", of("dense_retrieval"), ""), "dense")
+    to_graph = of("graph_traversal").withColumn("_from", F.lit("graph")).unionByName(rows.join(dense.where("bad").select("query_id"), "query_id", "left_semi").withColumn("_from", F.lit("dense")).select(*rows.columns, "_from"))
+    graph = storage.cut(answers("graph_traversal", to_graph.drop("_from"), "g_").join(to_graph.select("query_id", "_from"), "query_id"), "graph")
+    again = rows.join(graph.where("g_bad").select("query_id"), "query_id", "left_semi").select(rows.columns)
+    second = storage.cut(answers("dense_retrieval", again, "v_"), "again")
+    kg = F.coalesce("g_kg_source", F.lit(""))
+    g = graph.join(second.select("query_id", "v_answer", "v_bad"), "query_id", "left")
+    g = g.select(
+        "query_id", "_from", F.when(F.col("g_bad"), F.col("v_answer")).otherwise(F.col("g_answer")).alias("answer"), F.when(F.col("g_bad"), F.coalesce("v_bad", F.lit(True))).otherwise(False).alias("bad"),
+        F.when(F.col("g_bad"), F.when(kg != "", F.concat(F.lit("graph_traversal:"), kg, F.lit("->dense_retrieval"))).otherwise("dense_retrieval")).otherwise(F.when(kg != "", F.concat(F.lit("graph_traversal:"), kg)).otherwise("graph_traversal")).alias("pipeline"),
+        F.when(F.col("g_bad"), F.when(kg != "", F.concat(kg, F.lit("->vector"))).otherwise("vector")).otherwise(kg).alias("kg_source"),
+    )
+    out = g.where("_from = 'graph'").select("query_id", "answer", "pipeline", "kg_source")
+    better = g.where("_from = 'dense' and not bad").select("query_id", F.col("answer").alias("b_answer"), F.concat(F.lit("dense_retrieval->"), "pipeline").alias("b_pipeline"), F.col("kg_source").alias("b_kg"))
+    d = dense.join(better, "query_id", "left")
+    out = out.unionByName(d.select("query_id", F.coalesce("b_answer", "answer").alias("answer"), F.coalesce("b_pipeline", F.lit("dense_retrieval")).alias("pipeline"), F.coalesce("b_kg", F.lit("")).alias("kg_source")))
+    for route in known[1:]:
+        x = answers(route, of(route), "")
+        name = F.when((F.lit(route) == "hybrid_reasoning") & (F.coalesce("kg_source", F.lit("")) != ""), F.concat(F.lit("hybrid_reasoning:"), "kg_source")).otherwise(route)
+        out = out.unionByName(x.select("query_id", "answer", name.alias("pipeline"), F.coalesce("kg_source", F.lit("")).alias("kg_source")))
+    return out

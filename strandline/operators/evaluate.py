@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text
+from strandline.operators.dataset import seeded
 
 
 def hit_at(found: DataFrame, query_id: str, hit: Column, order: list[str], ks: tuple) -> DataFrame:
@@ -83,3 +84,20 @@ def similar_pairs(df: DataFrame, key: str, tokens: str, least: float) -> DataFra
     both = F.size(F.array_intersect("ts_a", "ts_b"))
     out = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", (both / (F.size("ts_a") + F.size("ts_b") - both)).alias("jaccard"))
     return out.where(F.col("jaccard") >= F.lit(least) - F.lit(1e-12))
+
+
+#: Rows, in seeded order, whose pairs with their next ones make the sample of a mean: 50,000 pairs at most.
+SAMPLED_ROWS, NEXT = 5_000, 10
+
+
+def pair_means(df: DataFrame, key: str, tokens: str, split: str) -> DataFrame:
+    """One row: the mean similarity of pairs over two splits and of pairs within one, and how many. Pairs are each of the first rows in
+    seeded order with the ten after it: a stated sample, joined by place."""
+    few = df.select(F.col(key).alias("id"), F.array_distinct(tokens).alias("ts"), F.col(split).alias("split")).orderBy(seeded(F.col(key)), key).limit(SAMPLED_ROWS)
+    at = few.withColumn("r", F.row_number().over(Window.orderBy(seeded(F.col("id")), "id")))  # SAMPLED_ROWS rows
+    other = at.select(F.col("r").alias("s"), F.col("ts").alias("us"), F.col("split").alias("other"))
+    p = at.withColumn("s", F.explode(F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda k: F.col("r") + k))).join(other, "s")
+    both, either = F.size(F.array_intersect("ts", "us")), F.size(F.array_union("ts", "us"))
+    p = p.withColumns({"j": F.when(either > 0, both / either).otherwise(0.0), "crosses": ~F.col("split").eqNullSafe(F.col("other"))})
+    mean = lambda cond: F.round(F.coalesce(F.avg(F.when(cond, F.col("j"))), F.lit(0.0)), 6)
+    return p.agg(mean(F.col("crosses")).alias("boundary_mean"), mean(~F.col("crosses")).alias("within_mean"), F.count_if("crosses").alias("boundary_pairs"), F.count_if(~F.col("crosses")).alias("within_pairs"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text
+from strandline.operators import lookup
 from strandline.sources import storage
 
 
@@ -114,3 +115,27 @@ def query_terms(df: DataFrame, query: str, stop: set[str], phrases: dict[str, fl
     ranked = F.array_sort(F.transform(found, lambda x, i: F.struct((-x["weight"]).alias("w"), (-F.size(text.words(x["text"]))).alias("n"), i.alias("i"), x["text"].alias("text"), x["weight"].alias("weight"))))
     once = F.filter(ranked, lambda x: F.array_position(texts, x["text"]) == x["i"] + 1)
     return df.withColumn("terms", F.slice(F.transform(once, lambda x: F.struct(x["text"].alias("text"), x["weight"].alias("weight"))), 1, most))
+
+
+#: Words that an English question isn't searched for; words of a question that are.
+STOP = ("what", "is", "the", "a", "an", "of", "and", "or", "in", "on", "with", "for", "to", "was", "were", "first", "last")
+FIRST_WORDS, FALLBACK_WORDS = 5, 3
+
+
+def search_words(query: Column, english: bool = True) -> Column:
+    """The words of a question that a search by LIKE takes: in English the first five without punctuation and stop words, else the first
+    five as they are; where none is left, the first three without punctuation."""
+    raw = text.words(F.lower(F.coalesce(query, F.lit(""))))
+    clean = F.filter(F.transform(raw, lambda w: F.regexp_replace(w, r"(?U)[^\w]", "")), lambda w: w != "")
+    first = F.slice(F.filter(clean, lambda w: ~w.isin(*STOP)) if english else raw, 1, FIRST_WORDS)
+    return F.when(F.size(first) > 0, first).otherwise(F.slice(clean, 1, FALLBACK_WORDS))
+
+
+def word_search(docs: DataFrame, queries: DataFrame, order: str, k: int, columns: list[str], english: bool = True) -> DataFrame:
+    """queries: query_id, query. query_id, rank and `order` of the first k documents, by order, that have a word of the question in a column,
+    upper and lower case alike. All words are looked for in one pass over the documents."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(search_words(F.col("query"), english))).alias("entity"))
+    texts = docs.select(order, F.lower(F.concat_ws("\n", *columns)).alias("text"))
+    hit = lookup.containing(texts, asked.select("entity")).select(order, "entity").join(asked, "entity").select("query_id", order).distinct()
+    w = Window.partitionBy("query_id").orderBy(order)
+    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

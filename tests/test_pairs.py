@@ -27,3 +27,15 @@ def test_contained_entities(spark, monkeypatch, most):
     entities = ["thing", "hin", "within the", "nhân dân", "", None, "thing", "q", "Ủy", "e t"]
     got = sorted((r.id, r.entity, r.more) for r in lookup.containing(spark.createDataFrame(texts, "id long, text string, more string"), spark.createDataFrame([(e,) for e in entities], "entity string")).collect())
     assert got == sorted((i, e, m) for i, t, m in texts for e in set(entities) if e and e in (t or ""))
+
+
+def test_first_words(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import search
+
+    asked = {"What is the  Capital, of (France) and Spain's 5 big towns?": ["capital", "france", "spains", "5", "big"], "the of": ["the", "of"], "?? !": [], None: [], "": []}
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    assert {r.q: r.w for r in df.select("q", search.search_words(F.col("q")).alias("w")).collect()} == asked
+    plain = df.where("q like 'What%'").select(search.search_words(F.col("q"), False).alias("w")).first().w
+    assert plain == ["what", "is", "the", "capital,", "of"]
