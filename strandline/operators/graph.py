@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.sources import storage
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge from either end: a, b, rel, eid, forward."""
@@ -41,21 +43,32 @@ def label_counts(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cliques(items: DataFrame, group: str, item: str, rel: Column | str, most: int | None = None) -> DataFrame:
-    """Edges between the items of a group, smaller first. A group's items are a bounded list (a question's articles);
-    groups of more than `most` items raise instead of growing with the square of their size."""
-    g = items.groupBy(group).agg(F.sort_array(F.collect_set(item)).alias("xs"))
-    if most is not None:
-        g = g.withColumn("xs", F.when(F.size("xs") <= most, F.col("xs")).otherwise(F.raise_error(F.lit(f"a group has more than {most} items"))))
+#: Items of a group that are paired as a list; larger groups are dealt over blocks of so many.
+LIST = 64
+
+
+def cliques(items: DataFrame, group: str, item: str, rel: Column | str, most: int = LIST) -> DataFrame:
+    """Edges between the items of a group, smaller first. A group of more than `most` items is dealt over blocks by hash, and every two
+    blocks meet in a task of their own, so no task has more than most x most pairs."""
+    few = items.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(group, item).distinct()
+    sizes = few.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    large = sizes.where(F.col("_size") > most)
+    g = few.join(large, group, "left_anti").groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("xs"))  # `most` items at most
     a = g.select(group, "xs", F.posexplode("xs").alias("i", "src"))
     rest = F.slice("xs", F.col("i") + 2, F.greatest(F.size("xs") - F.col("i") - 1, F.lit(0)))
     out = a.select(group, "src", F.explode(rest).alias("dst"))
+    n = F.ceil(F.col("_size") / most).cast("int")
+    dealt = few.join(large, group).withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64(item), F.col("_n")).cast("int"))
+    left = dealt.select(group, F.col(item).alias("_x"), F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.col("_n") - 1)).alias("_j"))
+    right = dealt.select(group, F.col(item).alias("_y"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"))
+    pairs = left.join(right, [group, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_x") < F.col("_y")))
+    out = out.unionByName(pairs.select(group, F.least("_x", "_y").alias("src"), F.greatest("_x", "_y").alias("dst")))
     return out.withColumn("rel", F.lit(rel) if isinstance(rel, str) else rel)
 
 
 def bfs(edges: DataFrame, start: DataFrame, depth: int, per_node: int | None = None) -> DataFrame:
     """start: start, node. start, node, hop: nodes reached over edges of either direction, by the fewest hops. With
-    per_node, each node is expanded over so many edges at most, by edge order."""
+    per_node, each node is expanded over so many edges at most, by edge order. Each hop is written, so plans don't grow with depth."""
     e = both_ways(edges)
     if per_node:
         e = e.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("eid", "forward"))).where(F.col("_n") <= per_node)
@@ -65,6 +78,7 @@ def bfs(edges: DataFrame, start: DataFrame, depth: int, per_node: int | None = N
     for k in range(1, depth + 1):
         new = front.join(e, front["node"] == e["a"]).select("start", F.col("b").alias("node")).distinct()
         front = new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(k))
+        front = storage.cut(front, "front") if k < depth else front
         seen = seen.unionByName(front)
     return seen
 
