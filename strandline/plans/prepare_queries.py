@@ -73,3 +73,16 @@ def chosen_sources(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
     x = prepare.chosen({"customers": c, "orders": o}, "all", {"customers": ("topic", 2)})
     return x.groupBy("source_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("topic").alias("topics"))
+
+
+@query(
+    "value_normalise",
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type || '|' || user_id WHEN event_id % 4 = 1 THEN event_type ELSE '' END AS items, CASE WHEN event_id % 3 = 0 THEN false ELSE coalesce(try_cast(json_extract(props, '$.k') AS BIGINT), 0) <> 0 END AS k, false AS missing FROM events""",
+)
+def value_normalise(spark, sf_dir):
+    """Lists and flags of a model's answer, made of the events' values: arrays with empty items, single texts, nothing."""
+    quoted = F.concat(F.lit('"'), "event_type", F.lit('"'))
+    said = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("["), quoted, F.lit(', "", null, '), "user_id", F.lit("]"))).when(F.col("event_id") % 4 == 1, quoted).when(F.col("event_id") % 4 == 2, F.lit('""'))
+    flags = prepare.flags(F.when(F.col("event_id") % 3 == 0, F.lit("no object")).otherwise(F.col("props")), ("k", "missing"))
+    e = table(spark, sf_dir, "events").select("event_id", F.array_join(prepare.string_list(said), "|").alias("items"), flags.alias("f"))
+    return e.select("event_id", "items", "f.k", "f.missing")
