@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from strandline.functions import normalise as N
 HYBRID, GRAPH, DENSE = "hybrid_reasoning", "graph_traversal", "dense_retrieval"
 #: Entities that texts are searched for at a time; a larger list goes in blocks.
 ENTITIES = 200_000
+#: Bytes of rows that a task holds before it gives them on.
+BYTES = 8 << 20
 
 
 def _first(articles: DataFrame, found: Column, key: str, corpus: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -63,38 +66,93 @@ def by_any_id(nodes: DataFrame, ids: DataFrame, fields: list[str], key: str) ->
     return nodes.join(some.distinct(), key, "left_semi")
 
 
-def containing(texts: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
-    """texts with a column entity, once for each entity (column `entity`) that the text contains.
-
-    An automaton over the entities reads each text once, so the work is the texts' length and what is found. ENTITIES of them go
-    along at a time, spread by hash; more take further passes."""
+def _passes(texts: DataFrame, entities: DataFrame, run, kind: T.StructType) -> DataFrame:
+    """Union of texts.mapInArrow(run(entities sent along)) over blocks of ENTITIES of the entities, spread by hash."""
     known = entities.where(F.coalesce("entity", F.lit("")) != "").select("entity").distinct()
-    blocks = max(1, -(-known.count() // ENTITIES))
-    kind = T.StructType([*texts.schema.fields, T.StructField("entity", T.StringType())])
-    at, out = texts.columns.index(text), None
+    blocks, out = max(1, -(-known.count() // ENTITIES)), None
     for b in range(blocks):
         some = known.where(F.pmod(F.xxhash64("entity"), F.lit(blocks)) == b) if blocks > 1 else known
         sent = texts.sparkSession.sparkContext.broadcast([r["entity"] for r in some.collect()])  # some ENTITIES short strings
-        part = texts.mapInArrow(_hits(sent, at), kind)
+        part = texts.mapInArrow(run(sent), kind)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def containing(texts: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
+    """texts with a column entity, once for each entity (column `entity`) that the text contains.
+
+    An automaton over the entities reads each text once, so the work is the texts' length and what is found. ENTITIES of them go
+    along at a time; more take further passes. Rows leave a task in batches of bounded bytes, however many entities a text has."""
+    at = texts.columns.index(text)
+    return _passes(texts, entities, lambda sent: _hits(sent, at), T.StructType([*texts.schema.fields, T.StructField("entity", T.StringType())]))
+
+
+def first_containing(texts: DataFrame, entities: DataFrame, order: str, k: int, text: str = "text") -> DataFrame:
+    """order, entity: the first k different values of `order` (nulls first) whose texts contain an entity. Texts stay where they are
+    read, and a batch of them gives its first k of each entity."""
+    at, by = texts.columns.index(text), texts.columns.index(order)
+    kind = T.StructType([texts.schema[order], T.StructField("entity", T.StringType())])
+    found = _passes(texts, entities, lambda sent: _first_hits(sent, at, by, k), kind).distinct()
+    w = Window.partitionBy("entity").orderBy(order)
+    return found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
+
+
+def _automaton(sent) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for e in sent.value:
+        automaton.add_word(e, e)
+    if len(automaton):
+        automaton.make_automaton()
+    return automaton
+
+
 def _hits(sent, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for e in sent.value:
-            automaton.add_word(e, e)
+        automaton = _automaton(sent)
         if not len(automaton):
             return
-        automaton.make_automaton()
         for b in batches:
-            rows, found = [], []
+            each = b.nbytes // max(1, b.num_rows)
+            rows, found, held = [], [], 0
+
+            def out():
+                return pa.RecordBatch.from_arrays([*b.take(pa.array(rows, pa.int64())).columns, pa.array(found, pa.string())], [*b.schema.names, "entity"])
+
             for k, text in enumerate(b.column(column)):
-                hit = {e for _, e in automaton.iter(text.as_py())} if text.is_valid else set()
-                rows += [k] * len(hit)
-                found += sorted(hit)
-            yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows, pa.int64())).columns, pa.array(found, pa.string())], [*b.schema.names, "entity"])
+                body = text.as_py()
+                for e in sorted({e for _, e in automaton.iter(body)} if body else ()):
+                    rows.append(k)
+                    found.append(e)
+                    held += each + 4 * len(body) + len(e)
+                    if held > BYTES:
+                        yield out()
+                        rows, found, held = [], [], 0
+            if rows:
+                yield out()
+
+    return run
+
+
+def _first_hits(sent, column: int, by: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(sent)
+        if not len(automaton):
+            return
+        for b in batches:
+            texts, keys = b.column(column), b.column(by)
+            first, rows, found = {}, [], []
+            # an order that Arrow and Spark might see differently is left to Spark
+            whole = pa.types.is_floating(keys.type) or pa.types.is_nested(keys.type)
+            for i in range(b.num_rows) if whole else pc.sort_indices(keys, null_placement="at_start").to_pylist():
+                body, key = texts[i].as_py(), None if whole else keys[i].as_py()
+                for e in {e for _, e in automaton.iter(body)} if body else ():
+                    seen = first.setdefault(e, [0, first])  # different keys so far, the last of them (none yet: no key)
+                    if whole or (seen[0] < k and key != seen[1]):
+                        seen[:] = seen[0] + 1, key
+                        rows.append(i)
+                        found.append(e)
+            if rows:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], [b.schema.names[by], "entity"])
 
     return run
 

@@ -133,9 +133,10 @@ def search_words(query: Column, english: bool = True) -> Column:
 
 def word_search(docs: DataFrame, queries: DataFrame, order: str, k: int, columns: list[str], english: bool = True) -> DataFrame:
     """queries: query_id, query. query_id, rank and `order` of the first k documents, by order, that have a word of the question in a column,
-    upper and lower case alike. All words are looked for in one pass over the documents."""
+    upper and lower case alike. All words are looked for in one pass over the documents; the first k of a question are among the first k
+    of its words, so no more than those are moved."""
     asked = queries.select("query_id", F.explode(F.array_distinct(search_words(F.col("query"), english))).alias("entity"))
     texts = docs.select(order, F.lower(F.concat_ws("\n", *columns)).alias("text"))
-    hit = lookup.containing(texts, asked.select("entity")).select(order, "entity").join(asked, "entity").select("query_id", order).distinct()
+    hit = lookup.first_containing(texts, asked.select("entity"), order, k).join(asked, "entity").select("query_id", order).distinct()
     w = Window.partitionBy("query_id").orderBy(order)
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

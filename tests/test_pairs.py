@@ -29,6 +29,32 @@ def test_contained_entities(spark, monkeypatch, most):
     assert got == sorted((i, e, m) for i, t, m in texts for e in set(entities) if e and e in (t or ""))
 
 
+def test_first_texts_of_each_entity(spark):
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    for kind, key in (("long", lambda i: None if i == 4 else i // 2), ("string", lambda i: f"é{i}" if i % 3 else str(i)), ("double", lambda i: float(-i))):
+        rows = [(key(i), None if i == 7 else " ".join(r.choices(words, k=6))) for i in range(300)]
+        df = spark.createDataFrame(rows, f"at {kind}, text string").repartition(3)
+        got = sorted(((x.at, x.entity) for x in lookup.first_containing(df, spark.createDataFrame([(w,) for w in words], "entity string"), "at", 4).collect()), key=str)
+        order = lambda a: (a is not None, a if kind != "string" else (a or "").encode())
+        want = [(a, w) for w in words for a in sorted({a for a, t in rows if t and w in t}, key=order)[:4]]
+        assert got == sorted(want, key=str)
+
+
+def test_rows_of_contained_entities_leave_in_bounded_batches():
+    import pyarrow as pa
+
+    class Sent:
+        value = [a + b for a in "abcdefghij" for b in "abcdefghij"]
+
+    text = "".join(Sent.value) * 500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([text] * 40)], ["id", "text"])
+    out = list(lookup._hits(Sent, 1)([batch]))
+    assert max(b.nbytes for b in out) < 20 << 20 and sum(b.num_rows for b in out) == 40 * 100
+    out = list(lookup._first_hits(Sent, 1, 0, 5)([batch]))
+    assert [b.num_rows for b in out] == [5 * 100] and out[0].schema.names == ["id", "entity"]
+
+
 def test_first_words(spark):
     from pyspark.sql import functions as F
 
