@@ -1,12 +1,15 @@
 """A full-text index on disk: postings in blocks with upper bounds, searched without scoring what can't reach the top k.
 
-Documents are numbered in order of length and dealt over ranges of RANGE neighbours. A block holds one term's postings in one
-range, and the most that any of them adds to a BM25 score (without the term's idf). A search first reads only the blocks'
-headers: the bounds of a query's terms add up, range by range, to the most that a document there can score. The SEEDS best
-ranges are scored; the k-th score found is the threshold. In each range, the terms of smallest bounds whose sum stays below it
-can't bring a document there by themselves: only the blocks of the other terms are opened, the documents found whose score
-could still reach the threshold are kept, and the remaining terms are looked up for these alone. Bounds are never below the
-scores, so the rows are those of search.bm25.
+Documents are dealt by length over ranges of some RANGE neighbours. A block holds one term's postings in one range, and the most
+that any of them adds to a BM25 score (without the term's idf). A search first reads only the blocks' headers: the bounds of a
+query's terms add up, range by range, to the most that a document there can score. The SEEDS best ranges are scored; the k-th score
+found is the threshold. In each range, the terms of smallest bounds whose sum stays below it can't bring a document there by
+themselves: only the blocks of the other terms are opened, the documents found whose score could still reach the threshold are
+kept, and the remaining terms are looked up for these alone. Bounds are never below the scores, so the rows are those of
+search.bm25.
+
+Little is moved or kept: a build deals each posting once, gathered by term where the texts are read; a search deals blocks by range,
+once however many queries ask for them, and a query's ranges are kept with the least bound that is opened, not with their terms.
 
 Postings are partitioned by a hash of the term: a search reads the folders of its terms. Document frequencies come from the
 headers, so they count all documents, as do the number of documents and their mean length."""
@@ -14,7 +17,12 @@ headers, so they count all documents, as do the number of documents and their me
 from __future__ import annotations
 
 import json
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,16 +30,57 @@ from pyspark.sql import types as T
 from strandline.operators import search
 from strandline.sources import storage
 
-#: Documents of a range; folders of postings; ranges that are scored first for each query.
+#: Documents of a range, about; folders of postings; ranges that are scored first for each query.
 RANGE, SHARDS, SEEDS = 64, 32, 4
 #: Score that rounding may lose; ranges this close below the threshold are scored.
 SLACK = 1e-6
-#: Query terms (some 50 bytes each) that are broadcast; more are joined by shuffle.
+#: Query terms (some 50 bytes each) and ranges that are broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 500_000
+#: Tokens that are gathered at a time; tokens, or postings scored for a query, of a task.
+GATHER, TASK = 1_000_000, 1_000_000
+#: Parts of a folder of a small table; a large one has more, so that a common term's postings are dealt over tasks.
+PARTS = 4
 
 
 def shard(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(SHARDS)).cast("int")
+
+
+@contextmanager
+def _by_range(spark: SparkSession):
+    """What runs inside joins rows of a query and range where both sides are dealt by range, without dealing them again."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _near(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, len, range, part, ts: the postings of some GATHER tokens at a time, a row for each part of a folder, in order of terms."""
+    lists = ["term", "doc", "range", "len", "tf"]
+    for b in batches:
+        ends, lo = pc.cumulative_sum(pc.cast(b.column("len"), pa.int64())).to_numpy(), 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(ends.searchsorted((ends[lo - 1] if lo else 0) + GATHER, "right")))
+            some, lo = b.slice(lo, hi - lo), hi
+            ts = some.column("ts")
+            terms = pc.list_flatten(ts).dictionary_encode()
+            folder = pa.array([zlib.crc32(x.encode()) % SHARDS for x in terms.dictionary.to_pylist()], pa.int32())
+            t = pa.table({"row": pc.list_parent_indices(ts), "at": terms.indices}).group_by(["row", "at"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+            row, at = t["row"].combine_chunks(), t["at"].combine_chunks()
+            part = pc.add(pc.multiply(some.column("part").take(row), pa.scalar(SHARDS, pa.int32())), folder.take(at))
+            x = pa.table({"part": part, "at": at, "tf": pc.cast(t["count_all"], pa.int32()), "row": row}).sort_by([("part", "ascending"), ("at", "ascending")])
+            x = pa.table({"part": x["part"], "term": terms.dictionary.take(x["at"]), "tf": x["tf"], **{c: some.column(c).take(x["row"].combine_chunks()) for c in ("doc", "range", "len")}})
+            x = x.group_by("part", use_threads=False).aggregate([(c, "list") for c in lists])
+            yield from x.select(["part", *(f"{c}_list" for c in lists)]).rename_columns(["part", *lists]).to_batches()
 
 
 class TextIndex:
@@ -47,18 +96,31 @@ class TextIndex:
         """Writes a new index over whatever is at the path; several columns are read as one text."""
         spark = docs.sparkSession
         text = F.concat_ws(" ", *columns) if len(columns) > 1 else F.coalesce(F.col(columns[0]), F.lit(""))
-        t = docs.select(F.col(doc_id).alias("doc"), search.tokens(text).alias("ts"))
-        # neighbours in length share a range: bounds are close to the scores
-        numbered = storage.cut(t.withColumn("len", F.size("ts")).repartitionByRange("len", "doc").sortWithinPartitions("len", "doc").withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE.bit_length() - 1)), "numbered")
-        posting = T.ArrayType(T.StructType([T.StructField("doc", numbered.schema["doc"].dataType), T.StructField("tf", T.IntegerType()), T.StructField("len", T.IntegerType())]))
+        t = docs.select(F.col(doc_id).alias("doc"), search.tokens(text).alias("ts")).withColumn("len", F.size("ts"))
+        sizes = storage.cut(t.groupBy("len").agg(F.count(F.lit(1)).alias("n")), "sizes")  # a row a length
+        field = T.StructField("doc", t.schema["doc"].dataType)
+        posting = T.ArrayType(T.StructType([field, T.StructField("tf", T.IntegerType()), T.StructField("len", T.IntegerType())]))
         kind = T.StructType([T.StructField("term", T.StringType()), T.StructField("range", T.LongType()), T.StructField("df", T.IntegerType()), T.StructField("bound", T.DoubleType()), T.StructField("postings", posting), T.StructField("shard", T.IntegerType())])
-        stats = numbered.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).withColumn("blocks", F.lit(kind.json()))
+        tokens = F.sum(F.col("len") * F.col("n"))
+        stats = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (tokens / F.sum("n")).alias("mean"), F.coalesce(tokens, F.lit(0)).alias("tokens")).withColumn("blocks", F.lit(kind.json()))
         stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
         index = cls(spark, path, k1, b)
-        tf = numbered.select("doc", "len", "range", F.explode("ts").alias("term")).groupBy("term", "range", "doc", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        blocks = tf.groupBy("term", "range").agg(F.count(F.lit(1)).cast("int").alias("df"), F.max(index._gain(F.col("tf"), F.col("len"))).alias("bound"), F.collect_list(F.struct("doc", "tf", "len")).alias("postings"))
-        blocks = blocks.withColumn("shard", shard(F.col("term")))
-        blocks.repartition("shard", F.pmod(F.xxhash64("term", "range"), F.lit(4))).sortWithinPartitions("shard", "term", "range").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/blocks")
+        many = spark.read.parquet(f"{path}/stats").first()["tokens"] // TASK
+        parts = max(PARTS, many // SHARDS)
+        # neighbours in length share a range: bounds are close to the scores. Those of one length are dealt by hash, so that no text moves
+        before = F.sum("n").over(Window.orderBy("len")) - F.col("n")
+        lengths = _near(storage.cut(sizes.select("len", "n", before.alias("before")), "lengths"))
+        place = F.col("before") + F.pmod(F.xxhash64("doc"), F.col("n"))
+        ranged = t.join(lengths, "len").select("doc", "len", F.shiftright(place, RANGE.bit_length() - 1).cast("int").alias("range"), "ts")
+        lists = [("term", T.StringType()), ("doc", field.dataType), ("range", T.IntegerType()), ("len", T.IntegerType()), ("tf", T.IntegerType())]
+        gathered = ranged.withColumn("part", F.pmod(F.xxhash64("range"), F.lit(parts)).cast("int")).mapInArrow(_gathered, T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(c, T.ArrayType(d)) for c, d in lists)]))
+        dealt = gathered.repartition(int(min(parts * SHARDS, max(spark.sparkContext.defaultParallelism, many))), "part")
+        rows = dealt.select("part", F.inline(F.arrays_zip(*(c for c, _ in lists)))).withColumn("range", F.col("range").cast("long"))
+        tf = rows.groupBy("part", "term", "range", "doc", "len").agg(F.sum("tf").cast("int").alias("tf"))
+        blocks = tf.groupBy("part", "term", "range").agg(F.count(F.lit(1)).cast("int").alias("df"), F.max(index._gain(F.col("tf"), F.col("len"))).alias("bound"), F.collect_list(F.struct("doc", "tf", "len")).alias("postings"))
+        blocks = blocks.select("term", "range", "df", "bound", "postings", (F.col("part") % SHARDS).alias("shard"))
+        blocks.sortWithinPartitions("shard", "term", "range").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/blocks")
+        storage.tidy(spark)
         return index
 
     def _gain(self, tf: Column, length: Column) -> Column:
@@ -75,48 +137,70 @@ class TextIndex:
 
     def search_terms(self, terms: DataFrame, k: int) -> DataFrame:
         """terms: query_id, term, each once."""
-        known, _, docs = self._survivors(terms, k)
-        return self._top(self._rest(known, docs), k)
+        known, _, docs, n = self._survivors(terms, k)
+        with _by_range(self.spark):
+            return storage.cut(self._top(self._opened(known, docs, n), k), "found")
 
-    def _survivors(self, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The terms with their idf; query_id, range, terms of the blocks that were opened; query_id, range, docs that can be among
-        the k best."""
+    def _survivors(self, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+        """The terms with their idf; query_id, range, the least bound of the blocks that were opened; query_id, range, docs that can be
+        among the k best; partitions that ranges are dealt over."""
         asked = terms.withColumn("shard", shard(F.col("term")))
         wanted = storage.cut(asked.select("shard", "term").distinct(), "terms")
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
-        heads = storage.cut(self.blocks().select("shard", "term", "range", "df", "bound").join(wanted, ["shard", "term"], "left_semi"), "heads")
+        heads = storage.cut(self._of_terms(wanted).select("term", "range", "df", "bound"), "heads")
         df = heads.groupBy("term").agg(F.sum("df").alias("df"))
-        known = storage.cut(asked.join(df, "term").select("query_id", "shard", "term", F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "known")
-        # a row a query and range: its terms, the smaller bounds first
-        each = F.struct((F.col("idf") * F.col("bound")).alias("bound"), "term")
-        bounds = heads.join(known.select("query_id", "term", "idf"), "term").groupBy("query_id", "range").agg(F.array_sort(F.collect_list(each)).alias("bounds"))
-        bounds = storage.cut(bounds.withColumn("most", F.aggregate("bounds", F.lit(0.0), lambda s, x: s + x["bound"])), "bounds")
+        known = storage.cut(asked.join(df, "term").select("query_id", "shard", "term", "df", F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "known")
+        n = max(self.spark.sparkContext.defaultParallelism, (known.agg(F.sum("df")).first()[0] or 0) // TASK)
+        # dealt by range, what belongs to a query and range needs no further shuffle
+        bounds = heads.repartition(n, "range").join(_near(known), "term").select("query_id", "range", (F.col("idf") * F.col("bound")).alias("bound"))
         best = Window.partitionBy("query_id").orderBy(F.desc("most"), "range")
-        seeds = bounds.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= SEEDS).select("query_id", "range", F.transform("bounds", lambda x: x["term"]).alias("terms"))
-        reached = self._top(self._opened(known, storage.cut(seeds, "seeds")), k).where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least"))
-        left = bounds.join(reached, "query_id", "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least")))
-        sums = F.aggregate("bounds", F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["bound"])))
-        # terms whose bounds together stay below the threshold
-        weak = F.size(F.filter(F.slice("sums", 2, F.size("bounds")), lambda x: x < F.coalesce(F.col("least"), F.lit(0.0))))
-        left = left.withColumn("sums", sums).withColumn("weak", weak)
-        left = left.select("query_id", "range", "least", F.element_at("sums", F.col("weak") + 1).alias("weak_sum"), F.transform(F.slice("bounds", F.col("weak") + 1, F.size("bounds")), lambda x: x["term"]).alias("terms"))
+        seeds = bounds.groupBy("query_id", "range").agg(F.sum("bound").alias("most")).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= SEEDS)
+        seeds = storage.cut(seeds.select("query_id", "range", F.lit(0.0).alias("from")), "seeds")
+        storage.tidy(self.spark)
+        with _by_range(self.spark):
+            reached = _near(storage.cut(self._top(self._opened(known, seeds, n), k).where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least")), "reached"))
+        # terms whose bounds, the smaller ones first, together stay below the threshold are weak
+        least, none = F.coalesce(F.col("least"), F.lit(0.0)), F.lit(None).cast("double")
+        start = F.struct(F.lit(0.0).alias("most"), F.lit(0.0).alias("weak_sum"), none.alias("from"))
+
+        def add(s: Column, x: Column) -> Column:
+            most = s["most"] + x
+            weak = most < least
+            return F.struct(most.alias("most"), F.when(weak, most).otherwise(s["weak_sum"]).alias("weak_sum"), F.when(weak, none).otherwise(F.coalesce(s["from"], x)).alias("from"))
+
+        left = bounds.groupBy("query_id", "range").agg(F.array_sort(F.collect_list("bound")).alias("bounds")).join(reached, "query_id", "left")
+        left = left.select("query_id", "range", "least", F.aggregate("bounds", start, add).alias("s")).select("query_id", "range", "least", "s.weak_sum", "s.from").where("from is not null")
         left = storage.cut(left, "ranges")
-        partial = self._opened(known, left).groupBy("query_id", "range", "doc").agg(F.sum("gain").alias("score"))
-        close = partial.join(left.select("query_id", "range", "least", "weak_sum"), ["query_id", "range"]).where(F.col("least").isNull() | (F.col("score") + F.col("weak_sum") >= F.col("least")))
-        return known, left, storage.cut(close.groupBy("query_id", "range").agg(F.collect_list("doc").alias("docs")), "docs")
-
-    def _opened(self, known: DataFrame, ranges: DataFrame) -> DataFrame:
-        """query_id, range, doc, gain of all postings in the blocks of (query_id, range, terms)."""
-        pairs = ranges.select("query_id", "range", F.explode("terms").alias("term")).join(known, ["query_id", "term"])
-        rows = self.blocks().select("shard", "term", "range", "postings").join(pairs, ["shard", "term", "range"]).select("query_id", "range", "idf", F.inline("postings"))
-        return rows.select("query_id", "range", "doc", (F.col("idf") * self._gain(F.col("tf"), F.col("len"))).alias("gain"))
-
-    def _rest(self, known: DataFrame, docs: DataFrame) -> DataFrame:
-        """query_id, doc, gain of every term's postings of these documents (RANGE of a row at most)."""
-        pairs = docs.join(known, "query_id")
-        found = self.blocks().select("shard", "term", "range", "postings").join(pairs, ["shard", "term", "range"])
-        rows = found.select("query_id", "idf", F.inline(F.filter("postings", lambda p: F.array_contains("docs", p["doc"]))))
-        return rows.select("query_id", "doc", (F.col("idf") * self._gain(F.col("tf"), F.col("len"))).alias("gain"))
+        storage.tidy(self.spark)
+        partial = self._opened(known, left, n).groupBy("query_id", "range", "doc").agg(F.sum("gain").alias("score"), F.max("least").alias("least"), F.max("weak_sum").alias("weak_sum"))
+        close = partial.where(F.col("least").isNull() | (F.col("score") + F.col("weak_sum") >= F.col("least")))
+        docs = close.groupBy("query_id", "range").agg(F.collect_list(F.struct("doc")).alias("docs"), F.lit(0.0).alias("from"))
+        with _by_range(self.spark):
+            docs = storage.cut(docs, "docs")
+        storage.tidy(self.spark)
+        return known, left, docs, n
+
+    def _of_terms(self, wanted: DataFrame) -> DataFrame:
+        """The blocks of these terms (shard, term), from their folders alone."""
+        shards = [r["shard"] for r in wanted.select("shard").distinct().collect()]  # SHARDS of them at most
+        return self.blocks().where(F.col("shard").isin(shards)).join(_near(wanted), ["shard", "term"], "left_semi")
+
+    def _opened(self, known: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
+        """query_id, range, doc, gain of the postings in the blocks of (query_id, range) whose bounds are `from` or more, of `docs` alone
+        where ranges have them; with the other columns of ranges."""
+        blocks = self._of_terms(known.select("shard", "term").distinct())
+        if "docs" in ranges.columns:  # other documents' postings stay where they are
+            every = _near(storage.cut(ranges.groupBy("range").agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("every")), "every"))
+            blocks = blocks.join(every, "range").withColumn("postings", F.filter("postings", lambda p: F.array_contains("every", F.struct(p["doc"])))).where(F.size("postings") > 0)
+        else:
+            blocks = blocks.join(_near(ranges.select("range").distinct()), "range", "left_semi")
+        dealt = blocks.select("term", "range", "bound", "postings.doc", "postings.tf", "postings.len").repartition(n, "range")
+        pairs = dealt.join(_near(known.select("query_id", "term", "idf")), "term")
+        found = pairs.join(ranges.repartition(n, "range").hint("shuffle_hash"), ["query_id", "range"]).where(F.col("idf") * F.col("bound") >= F.col("from"))
+        more = [c for c in ranges.columns if c not in ("query_id", "range", "from", "docs")]
+        postings = F.arrays_zip("doc", "tf", "len")
+        postings = F.filter(postings, lambda p: F.array_contains("docs", F.struct(p["doc"]))) if "docs" in ranges.columns else postings
+        rows = found.select("query_id", "range", "idf", *more, F.inline(postings))
+        return rows.select("query_id", "range", "doc", *more, (F.col("idf") * self._gain(F.col("tf"), F.col("len"))).alias("gain"))
 
     def _top(self, scored: DataFrame, k: int) -> DataFrame:
         s = scored.groupBy("query_id", "doc").agg(F.round(F.sum("gain"), 9).alias("score"))
@@ -126,9 +210,8 @@ class TextIndex:
     def opened(self, queries: DataFrame, k: int) -> tuple[int, int]:
         """Postings that a search scores, and postings of its terms in all."""
         terms = queries.select("query_id", F.explode(F.array_distinct(search.tokens(F.col("query")))).alias("term"))
-        known, ranges, docs = self._survivors(terms, k)
-        every = self.blocks().select("term", "df").join(known, "term").agg(F.sum("df")).first()[0]
-        return self._opened(known, ranges).count() + self._rest(known, docs).count(), every or 0
+        known, ranges, docs, n = self._survivors(terms, k)
+        return self._opened(known, ranges, n).count() + self._opened(known, docs, n).count(), known.agg(F.sum("df")).first()[0] or 0
 
 
 #: Words too general to search for by themselves.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -66,6 +67,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of results that are written: they go when their last reference is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def files(spark: SparkSession, path: str) -> list[str]:
     """Names of the files in a folder, in order; none if it isn't there."""
     fs, p = _fs(spark, path)

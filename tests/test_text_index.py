@@ -39,6 +39,28 @@ def test_rows_are_those_of_the_plain_search(spark, docs, tmp_path):
     assert scored < 0.5 * every
 
 
+def test_postings_are_gathered_before_they_move():
+    import pyarrow as pa
+
+    ts = [["a", "b", "a"], [], ["b"], ["a", "c", "c", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7, 8]), pa.array([len(t) for t in ts], pa.int32()), pa.array([0, 0, 1, 1], pa.int32()), pa.array([0, 0, 1, 1], pa.int32()), pa.array(ts, pa.list_(pa.string()))], ["doc", "len", "range", "part", "ts"])
+    found = [r for b in text_index._gathered([batch]) for r in b.to_pylist()]
+    parts = [r["part"] for r in found]
+    assert len(parts) == len(set(parts))  # one row a part, however many postings
+    got = sorted((t, d, g, n, f) for r in found for t, d, g, n, f in zip(r["term"], r["doc"], r["range"], r["len"], r["tf"]))
+    assert got == [("a", 5, 0, 3, 2), ("a", 8, 1, 4, 1), ("b", 5, 0, 3, 1), ("b", 7, 1, 1, 1), ("c", 8, 1, 4, 3)]
+
+
+def test_ranges_are_kept_without_their_terms(spark, docs, tmp_path):
+    index = TextIndex.build(docs, str(tmp_path / "i"), "doc_id", ["text"])
+    terms = asked(spark, "the of and term5").select("query_id", F.explode(F.split("query", " ")).alias("term"))
+    known, ranges, found, n = index._survivors(terms, 3)
+    with text_index._by_range(spark):  # postings are dealt by range alone, not once more for each query
+        plan = index._opened(known, ranges, n)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(range" in plan and "hashpartitioning(query_id" not in plan
+    assert ranges.columns == ["query_id", "range", "least", "weak_sum", "from"] and found.count() <= ranges.count()
+
+
 def test_two_columns_are_one_text(spark, docs, tmp_path):
     index = TextIndex.build(docs, str(tmp_path / "i"), "doc_id", ["title", "text"])
     q = asked(spark, "gamma", "alpha term7")
