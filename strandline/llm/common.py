@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import importlib
 import os
@@ -10,7 +11,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +114,21 @@ def bounded_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(20260), F.col(key)), F.col(key)).limit(n)
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, for mapInArrow. Once a task's rows are done, what the allocators keep goes back to the system: a worker stays
+    for later tasks, and would hold it beside stages that run no Python."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+
+    return freed
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of results that are written: they go when their last reference is collected."""
     gc.collect()

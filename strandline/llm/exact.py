@@ -161,15 +161,15 @@ def classes(docs: DataFrame) -> DataFrame:
     common.prepare(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     key = ["fp", "length"]
-    p = common.durable(docs.mapInArrow(_prints(False), "doc_id long, tkey long, fp long, length long, sha string"), "prints")
+    p = common.durable(docs.mapInArrow(common.freeing(_prints(False)), "doc_id long, tkey long, fp long, length long, sha string"), "prints")
     groups = common.durable(p.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     # from here on texts move only of groups with two members or more
-    members = docs.mapInArrow(_prints(True), "doc_id long, tkey long, fp long, length long, sha string, text string").join(groups, key)
+    members = docs.mapInArrow(common.freeing(_prints(True)), "doc_id long, tkey long, fp long, length long, sha string, text string").join(groups, key)
     members = common.durable(members.withColumn("salts", F.ceil(F.col("n") / SALT).cast("int")), "members")
     first = members.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(key)
     first = first.select(*key, F.col("text").alias("first_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "sha"), F.col("salts")).cast("int")).select("doc_id", "tkey", "sha", *key, "salt", "text")
-    found = salted.join(first, [*key, "salt"]).select("doc_id", "tkey", "sha", *key, "text", "first_text").mapInArrow(_compare, "doc_id long, tkey long, sha string, fp long, length long, same boolean")
+    found = salted.join(first, [*key, "salt"]).select("doc_id", "tkey", "sha", *key, "text", "first_text").mapInArrow(common.freeing(_compare), "doc_id long, tkey long, sha string, fp long, length long, same boolean")
     found = common.durable(found.withColumn("part", F.when(F.col("same"), F.lit("")).otherwise(F.col("sha"))), "compared")
     sizes = found.groupBy(*key, "part").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     many = found.join(sizes, [*key, "part"]).select("doc_id", "tkey", "keep_id", "group_size", F.col("sha").alias("text_sha256"))

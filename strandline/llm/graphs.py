@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
     joins it back, so a hub's neighbours are never gathered in one task. Every step is cut off in the shared folder."""
     now = common.durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     if now.count() <= LOCAL_EDGES:
-        return now.coalesce(1).mapInArrow(_settle, "node long, comp long")
+        return now.coalesce(1).mapInArrow(common.freeing(_settle), "node long, comp long")
     for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))

@@ -40,7 +40,7 @@ DISCOUNT = 0.75
 #: Cells (n-grams of the highest order times languages) up to which a model is fitted in the driver, and rows of a part of a larger one.
 LOCAL, PART = 4_000_000, 500_000
 #: Looked up at once: so many values of n-grams x languages. Longer tables than INDEXED are searched by bisection.
-CELLS, INDEXED = 8 << 20, 1 << 22
+CELLS, INDEXED = 2 << 20, 1 << 22
 REJECT, MARGIN = 0.001, 1.1
 BINS = 4096
 SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
@@ -137,7 +137,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    found = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
+    found = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(common.freeing(run), "lang string, gram long, n long")
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -250,9 +250,9 @@ def _ship(rows: DataFrame, floor: np.ndarray) -> str:
                 block = np.where(np.isnan(logs[mine]), floor.astype(np.float32), logs[mine]) if k == 1 else logs[mine]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h[mine], block, backs[mine]))], ["k", "hashes", "logs", "back"])
 
-    keyed = rows.mapInArrow(key, "k int, key long, v array<struct<j: int, log: float, back: float>>")
+    keyed = rows.mapInArrow(common.freeing(key), "k int, key long, v array<struct<j: int, log: float, back: float>>")
     parts = keyed.repartitionByRange(rows.count() * n // (8 * PART) + 1, "k", "key").sortWithinPartitions("k", "key")
-    blocks = parts.mapInArrow(pack, "k int, hashes binary, logs binary, back binary")
+    blocks = parts.mapInArrow(common.freeing(pack), "k int, hashes binary, logs binary, back binary")
     folder, name = tempfile.mkdtemp(prefix="strandline_model_"), f"langid-{uuid.uuid4().hex}"
     atexit.register(shutil.rmtree, folder, True)  # the driver serves it while the context lives
     out = {(kind, k): open(os.path.join(folder, f"{name}-{kind}{k}"), "wb") for kind in ("hashes", "logs", "back") for k in range(1, ORDER + 1)}
@@ -418,7 +418,7 @@ def calibrate(model: Model, docs: DataFrame) -> Model:
         rows = [(j, at, c, 0.0) for (j, at), c in found.items()] + [(-1, i, 0, x) for i, x in enumerate(loss.tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.float64()))], ["j", "at", "n", "loss"])
 
-    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(run, "j int, at long, n long, loss double")
+    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(common.freeing(run), "j int, at long, n long, loss double")
     got = rows.groupBy("j", "at").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")).orderBy("j", "at").toArrow()
     j, at, n, loss = (got[c].to_numpy() for c in ("j", "at", "n", "loss"))
     if not n.sum():
@@ -465,7 +465,7 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], [*(b.schema.names[i] for i in kept), "lang_pred", "score", "entropy", "rejected"])
 
     out = type(docs.schema)([f for f in docs.schema.fields if keep_text or f.name != "text"]).add("lang_pred", "string").add("score", "double").add("entropy", "double").add("rejected", "boolean")
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(common.freeing(run), out)
 
 
 def learn(docs: DataFrame) -> Model:

@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             off = np.r_[0, np.cumsum(np.minimum(n, K))].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(n), pa.array(class_ids(sets)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["doc_id", "tkey", "n", "cid", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, "doc_id long, tkey long, n long, cid long, sketch array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(common.freeing(run), "doc_id long, tkey long, n long, cid long, sketch array<long>")
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -128,7 +128,7 @@ class _Job:
         """The pairs (a, b) that the sketch of the union lets pass, with est."""
         s = self.classes.select("cid", "sketch")
         x = pairs.join(s.select(F.col("cid").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("cid").alias("b"), F.col("sketch").alias("sb")), "b")
-        return common.durable(x.select("a", "b", "sa", "sb").mapInArrow(_estimate(self.need / K), "a long, b long, est double"), "near")
+        return common.durable(x.select("a", "b", "sa", "sb").mapInArrow(common.freeing(_estimate(self.need / K)), "a long, b long, est double"), "near")
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """cid, set: the whole shingle sets of the classes of pairs, read from their smallest documents."""
@@ -146,7 +146,7 @@ class _Job:
                 off = np.r_[0, np.cumsum([len(found[k]) for k in keep])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(keep)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["cid", "set"])
 
-        out = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("cid", "text").mapInArrow(run, "cid long, set array<long>")
+        out = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("cid", "text").mapInArrow(common.freeing(run), "cid long, set array<long>")
         out = common.durable(out, "sets")
         ends = out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cid").alias("k")).first()
         return out if ends["n"] == ends["k"] else common.durable(out.dropDuplicates(["cid"]), "sets")  # rows repeat

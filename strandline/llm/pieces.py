@@ -210,7 +210,7 @@ def distinct_segments(docs: DataFrame, cutter) -> DataFrame:
             segs = pa.concat_arrays([x[1] for x in found]).take(pa.array(first))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), segs, pa.array(n)], ["h", "seg", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, seg string, n long").groupBy("h", "seg").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(common.freeing(run), "h long, seg string, n long").groupBy("h", "seg").agg(F.sum("n").alias("n"))
 
 
 def lattice(segs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -429,11 +429,11 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFra
 
     keyed = docs.withColumn("key", F.xxhash64("text"))
     # copies share a key
-    wanted = keyed.select("key", "text").mapInArrow(rare, "key long, h long, rank int").repartition("h").distinct()
+    wanted = keyed.select("key", "text").mapInArrow(common.freeing(rare), "key long, h long, rank int").repartition("h").distinct()
     own = wanted.join(found.select("h", "codes"), "h").groupBy("key").agg(F.collect_list(F.struct("rank", "codes")).alias("own"))
     own = own.select("key", F.col("own.rank").alias("ranks"), F.flatten("own.codes").alias("codes"), F.transform("own.codes", F.size).alias("sizes"))
     shared = _dictionary(docs)
-    packed = keyed.mapInArrow(_pack(cutter, cast, shared), keyed.select("row").schema.add("key", "long").add("zip", "binary"))
+    packed = keyed.mapInArrow(common.freeing(_pack(cutter, cast, shared)), keyed.select("row").schema.add("key", "long").add("zip", "binary"))
     joined = packed.join(own, "key", "left").select("row", "zip", "ranks", "codes", "sizes")
     table = pieces.bytes_of()
 
@@ -480,7 +480,7 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFra
             out = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
             yield pa.RecordBatch.from_arrays([b.column("row"), out, pa.array(np.concatenate([np.zeros(0, bool), *exact]))], ["row", "ids", "exact"])
 
-    done = joined.mapInArrow(assemble, keyed.select("row").schema.add("ids", T.ArrayType(T.IntegerType())).add("exact", "boolean"))
+    done = joined.mapInArrow(common.freeing(assemble), keyed.select("row").schema.add("ids", T.ArrayType(T.IntegerType())).add("exact", "boolean"))
     return done.select("row.*", "ids", "exact")
 
 

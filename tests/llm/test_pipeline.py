@@ -1,11 +1,13 @@
+import ctypes
 import os
 import re
 
+import numpy as np
 import pytest
 from llm_fixtures import corpus, shingles, table
 
 import corpus_pipeline
-from strandline.llm import pieces
+from strandline.llm import common, pieces
 
 pytestmark = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="the vocabulary file is not here")
 
@@ -56,3 +58,35 @@ def test_empty_table(spark, tmp_path):
     docs = table(spark, corpus(8)).limit(0)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="glibc's allocator only")
+def test_workers_give_memory_back():
+    """Freed blocks below one in use stay with the process unless they are handed back."""
+    used = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+    held = []
+
+    def run(batches):
+        for b in batches:
+            blocks = [np.ones(8 << 10) for _ in range(2000)]  # 64 KB each, too small for maps of their own
+            held.append(np.ones(8 << 10))
+            del blocks
+            yield b
+
+    found = []
+    for f in (run, common.freeing(run)):
+        before = used()
+        assert list(f(iter([1, 2]))) == [1, 2]
+        found.append(used() - before)
+    assert found[0] > 60 and found[1] < 0, found
+
+
+def test_stages_free_memory(spark, tmp_path, monkeypatch):
+    """Every stage that runs Python hands its memory back."""
+    seen, freeing = [], common.freeing
+    monkeypatch.setattr(common, "freeing", lambda run: seen.append(run) or freeing(run))
+    docs = table(spark, corpus(8))
+    for name, stage in corpus_pipeline.STAGES:
+        del seen[:]
+        stage(spark, docs, str(tmp_path))
+        assert seen or name == "mixing", name
