@@ -4,8 +4,8 @@
    two characters side by side: no path crosses such a place, so the best path of a text is the best paths of its
    segments, and each distinct segment is worked on once. Pieces that a path of other pieces beats in any text are left
    out before (load()).
-2. The substrings of a segment, up to the longest piece's length, are exploded and equi-joined to the piece table, which
-   is broadcast (its size is the vocabulary's). A character without a piece gets an edge of its UTF-8 bytes, at the
+2. The substrings of a segment, of the lengths that pieces of the same first characters have, are exploded and equi-joined to
+   the piece table, which is broadcast (its size is the vocabulary's). A character without a piece gets an edge of its UTF-8 bytes, at the
    least score less 10. Edges name their segment by an eight-byte number.
 3. Edges are grouped by segment and sorted by end and start; a higher-order aggregate folds them into the best score and
    path at each place. Of equal scores the one of the earlier start is kept.
@@ -42,6 +42,8 @@ from strandline.llm import common, textvec
 MODEL, MODEL_KEY = "/opt/tokenizers/piece_bpe_32k.model", "spark.strandline.pieces.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Characters of a substring that are looked up before longer ones of its start are made.
+HEAD = 3
 #: Characters that one fold takes; longer segments are folded in parts.
 PART = 256
 #: Segments that are broadcast at most: numbers, offsets and ids of so many, some 40 bytes each.
@@ -77,6 +79,16 @@ class Pieces:
 
         return [int(i) for i in np.flatnonzero(self.normal) if len(t := self.text[i]) == 1 or split(t) <= (x := self.score[i]) + 1e-6 * (1 + abs(x))]
 
+    def heads(self) -> list[tuple[str, list[int]]]:
+        """The first HEAD characters of pieces, each with 1 and the lengths of all pieces that a text which goes on like this
+        can begin with. Where a text goes on otherwise, only shorter ones than HEAD can be pieces."""
+        used = {self.text[i] for i in self.used}
+        lens: dict[str, set[int]] = {}
+        for t in used:
+            if len(t) >= HEAD:
+                lens.setdefault(t[:HEAD], {1, *(k for k in range(2, HEAD) if t[:k] in used)}).add(len(t))
+        return [(t, sorted(n)) for t, n in sorted(lens.items())]
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(self.text[i], i, float(self.score[i])) for i in self.used], "piece string, id int, score double")
 
@@ -213,16 +225,26 @@ def distinct_segments(docs: DataFrame, cutter) -> DataFrame:
     return docs.select("text").mapInArrow(common.freeing(run), "h long, seg string, n long").groupBy("h", "seg").agg(F.sum("n").alias("n"))
 
 
+def substrings(segs: DataFrame, pieces: Pieces) -> DataFrame:
+    """segs: h, i, t, starts. h, i, s, len, piece: from each start its character, and the substrings that can be a piece: of
+    the lengths of the pieces that begin with the same HEAD characters. No other substring is one."""
+    heads = segs.sparkSession.createDataFrame(pieces.heads(), "head string, lens array<int>")
+    heads = F.broadcast(heads.select(F.xxhash64("head").alias("k"), F.col("head").alias("hit"), "lens"))
+    x = segs.select("h", "i", "t", F.length("t").alias("size"), F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("s"))
+    x = x.withColumn("head", F.col("t").substr(F.col("s") + 1, F.lit(HEAD))).withColumn("k", F.xxhash64("head"))
+    x = x.join(heads, (x["k"] == heads["k"]) & (x["head"] == heads["hit"]), "left")
+    few = F.array(*(F.lit(k) for k in range(1, HEAD)))
+    x = x.select("h", "i", "t", "size", "s", F.explode(F.coalesce("lens", few)).alias("len")).where(F.col("len") <= F.col("size") - F.col("s"))
+    return x.select("h", "i", "s", "len", F.col("t").substr(F.col("s") + 1, F.col("len")).alias("piece"))
+
+
 def lattice(segs: DataFrame, pieces: Pieces) -> DataFrame:
     """segs: h, i, t, starts (edges start before this place). h, i, edges: the edges sorted by end and start, each with
     score and v, its start above and its code below 32 bits. A code is an id, or -1 less the code point of a character
     without a piece."""
     # an eight-byte key probes the table far faster than a string; the strings are compared where it hits
     table = F.broadcast(pieces.table(segs.sparkSession).select(F.xxhash64("piece").alias("k"), F.length("piece").alias("most"), F.col("piece").alias("hit"), "id", "score"))
-    x = segs.select("h", "i", "t", F.length("t").alias("size"), F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("s"))
-    x = x.select("h", "i", "t", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("size") - F.col("s")))).alias("len"))
-    x = x.select("h", "i", "s", "len", F.col("t").substr(F.col("s") + 1, F.col("len")).alias("piece"))
-    x = x.withColumn("k", F.xxhash64("piece"))
+    x = substrings(segs, pieces).withColumn("k", F.xxhash64("piece"))
     x = x.join(table, (x["k"] == table["k"]) & (x["len"] <= table["most"]) & F.startswith(x["piece"], table["hit"]), "left").where("id is not null or len = 1")
     code = F.coalesce("id", -F.ascii("piece") - 1).cast("long") + F.lit(_LOW)
     edge = F.struct((F.col("s") + F.col("len")).alias("e"), F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(code).alias("v"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))

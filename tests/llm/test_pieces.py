@@ -106,3 +106,16 @@ def test_piece_path_is_a_setting(spark):
     finally:
         spark.conf.unset(pieces.MODEL_KEY)
     assert pieces.load(spark) is pieces.load()
+
+
+def test_substrings_hold_every_piece_and_little_else(spark):
+    """Every substring that is a piece is made, and each character; of the others less than half."""
+    p = pieces.load()
+    used = {p.text[i] for i in p.used}
+    texts = ["▁interesting", "▁Donaudampfschiff", "▁a", "▁xq", "ééé▁" * 5, "▁zzzzzzzzzzzzzzzzzzzz", "漢字", "▁the"]
+    segs = spark.createDataFrame([(k, 1, t, len(t)) for k, t in enumerate(texts)], "h long, i long, t string, starts int")
+    got = [(r.h, r.s, r.len, r.piece) for r in pieces.substrings(segs, p).collect()]
+    every = {(k, s, n, t[s : s + n]) for k, t in enumerate(texts) for s in range(len(t)) for n in range(1, min(p.longest, len(t) - s) + 1)}
+    assert len(got) == len(set(got)) and set(got) <= every
+    assert {x for x in every if x[2] == 1 or x[3] in used} <= set(got)
+    assert len(got) < 0.5 * len(every), (len(got), len(every))
